@@ -10,6 +10,7 @@ from arealis.operators.features import (
     prepare_features,
     train_test_split,
 )
+from arealis.operators.geo import points_within
 from arealis.operators.grouping import (
     add_to_set,
     first,
@@ -28,7 +29,13 @@ from arealis.operators.grouping import (
 )
 from arealis.operators.keyed import fit_by_key, for_keys, restrict_keys
 from arealis.operators.metrics import regression_metrics
-from arealis.operators.regression import LinearParams, linear_metrics_by_key, linear_regression_by_key, score_by_key
+from arealis.operators.regression import (
+    LinearParams,
+    linear_metrics_by_key,
+    linear_regression_by_key,
+    linear_regression_with_test,
+    score_by_key,
+)
 from arealis.operators.skew import LargeKey, find_large_keys
 from arealis.operators.stages import (
     add_fields,
@@ -49,6 +56,5 @@ from arealis.operators.stages import (
 from arealis.operators.timeseries import date_range, range_average, time_bucket_agg, top_n_per_bucket
 from arealis.operators.trees import BoostParams, ForestParams, gbt_by_key, random_forest_by_key
 from arealis.operators.windows import moving_average, moving_average_docs
-from arealis.operators.geo import points_within
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -92,23 +92,28 @@ def _ordered(order: Sequence[str]) -> list[str]:
     return names
 
 
-def collect_parts(df: DataFrame, by: Sequence[str], element: Column, out: str, *, max_array: int) -> DataFrame:
+def collect_parts(
+    df: DataFrame, by: Sequence[str], element: Column, out: str, *, max_array: int, carry: str | None = None
+) -> DataFrame:
     """Arrays of at most ``max_array`` elements per group, block and position.
 
-    ``df`` carries the block and a 0-based position ``_at`` inside it.  Where
-    the position comes from a window over the same columns, the grouping needs
-    no further shuffle.
+    ``df`` carries the block and a 0-based position ``_at`` inside it; null
+    elements are left out.  Where the position comes from a window over the
+    same columns, the grouping needs no further shuffle.  ``carry`` is a column
+    that is constant in a group and is kept.
     """
     if max_array < 1:
         raise ValueError("max_array must be at least 1")
     chunk = F.floor(F.col("_at") / max_array).cast("bigint")
+    row = F.when(element.isNotNull(), F.struct(F.col("_at"), element.alias("_e")))
+    kept = [carry] if carry else []
     arrays = (
-        df.select(*by, BLOCK, chunk.alias("_chunk"), F.struct(F.col("_at"), element.alias("_e")).alias("_row"))
+        df.select(*by, BLOCK, *kept, chunk.alias("_chunk"), row.alias("_row"))
         .groupBy(*by, BLOCK, "_chunk")
-        .agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+        .agg(F.array_sort(F.collect_list("_row")).alias("_rows"), *[F.min(c).alias(c) for c in kept])
     )
     part = F.coalesce(BLOCK, F.lit(0)).cast("bigint") * _PARTS_PER_BLOCK + F.col("_chunk")
-    return arrays.select(*by, part.alias("part"), F.transform("_rows", lambda r: r["_e"]).alias(out))
+    return arrays.select(*by, part.alias("part"), *kept, F.transform("_rows", lambda r: r["_e"]).alias(out))
 
 
 def push_parts(

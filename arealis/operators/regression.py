@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from arealis.functions.split import split_percentile
 from arealis.operators.features import assemble
 from arealis.operators.keyed import fit_by_key, for_keys, restrict_keys, spread_by_size
 from arealis.operators.params import check_choice, check_range
@@ -104,7 +105,7 @@ def linear_regression_by_key(
     rows = df if keys is None else restrict_keys(df, key, keys)
     rows = complete_rows(rows.where(F.col(key).isNotNull()).select(key, *features, label), [*features, label], nulls)
     if params.closed_form:
-        models = _from_moments(_moments(rows, key, features, label), key, features, params)
+        models = _from_moments(rows.groupBy(key).agg(*_moment_columns(features, label)), key, features, params)
     elif keys is None:
         raise ValueError("this loss or penalty fits key by key and needs an explicit list of keys")
     else:
@@ -112,27 +113,26 @@ def linear_regression_by_key(
     return models if keys is None else for_keys(models, list(dict.fromkeys(keys)), key).drop("ord")
 
 
-def _moments(rows: DataFrame, key: str, features: Sequence[str], label: str) -> DataFrame:
-    """Per key: row count, means, and the covariances of features and label."""
-    p = len(features)
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg(label).alias("mean_y"), F.var_pop(label).alias("var_y")]
-    aggs += [F.avg(f).alias(f"mean_{i}") for i, f in enumerate(features)]
-    aggs += [F.covar_pop(f, label).alias(f"cov_{i}_y") for i, f in enumerate(features)]
-    aggs += [
-        (F.var_pop(features[i]) if i == j else F.covar_pop(features[i], features[j])).alias(f"cov_{i}_{j}")
-        for i in range(p)
-        for j in range(i, p)
+def _moment_columns(features: Sequence[str], label: str, prefix: str = "", where: Column | None = None) -> list[Column]:
+    """Row count, means, and covariances of features and label, over the rows that meet ``where``."""
+
+    def side(name: str) -> Column:
+        return F.col(name) if where is None else F.when(where, F.col(name))
+
+    p, y = len(features), side(label)
+    x = [side(f) for f in features]
+
+    def cov(i: int, j: int) -> Column:
+        return F.var_pop(x[i]) if i == j else F.covar_pop(x[min(i, j)], x[max(i, j)])
+
+    return [
+        F.count(y).alias(f"{prefix}n"),
+        F.avg(y).alias(f"{prefix}mean_y"),
+        F.var_pop(y).alias(f"{prefix}var_y"),
+        F.array(*[F.avg(v) for v in x]).alias(f"{prefix}mean_x"),
+        F.array(*[F.covar_pop(v, y) for v in x]).alias(f"{prefix}cov_xy"),
+        F.array(*[cov(i, j) for i in range(p) for j in range(p)]).alias(f"{prefix}cov_xx"),
     ]
-    grouped = rows.groupBy(key).agg(*aggs)
-    return grouped.select(
-        key,
-        "n",
-        "mean_y",
-        "var_y",
-        F.array(*[F.col(f"mean_{i}") for i in range(p)]).alias("mean_x"),
-        F.array(*[F.col(f"cov_{i}_y") for i in range(p)]).alias("cov_xy"),
-        F.array(*[F.col(f"cov_{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)]).alias("cov_xx"),
-    )
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -159,7 +159,30 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def _from_moments(moments: DataFrame, key: str, features: Sequence[str], params: LinearParams) -> DataFrame:
+def _residual_variance(w: Column, p: int, prefix: str = "") -> Column:
+    """Variance of ``y - w.x`` from moments: var(y) - 2 w.s + w.S.w."""
+    quadratic = reduce(
+        lambda a, b: a + b,
+        [
+            F.get(w, F.lit(i)) * F.get(w, F.lit(j)) * F.get(f"{prefix}cov_xx", F.lit(i * p + j))
+            for i in range(p)
+            for j in range(p)
+        ],
+    )
+    spread = F.col(f"{prefix}var_y") - F.lit(2.0) * _dot(w, F.col(f"{prefix}cov_xy")) + quadratic
+    return F.when(w.isNotNull(), F.greatest(spread, F.lit(0.0)))
+
+
+def _quality(w: Column, b: Column, p: int, prefix: str) -> tuple[Column, Column]:
+    """RMSE and r2 of the model ``b + w.x`` on rows given by their moments."""
+    bias = F.col(f"{prefix}mean_y") - b - _dot(w, F.col(f"{prefix}mean_x"))
+    mse = bias * bias + _residual_variance(w, p, prefix)
+    return F.sqrt(mse), F.when(F.col(f"{prefix}var_y") > 0, 1 - mse / F.col(f"{prefix}var_y"))
+
+
+def _from_moments(
+    moments: DataFrame, key: str, features: Sequence[str], params: LinearParams, keep: Sequence[str] = ()
+) -> DataFrame:
     p = len(features)
     lam = F.lit(float(params.reg))
     # the penalty is relative to the label's spread; none is defined for a constant label
@@ -181,24 +204,16 @@ def _from_moments(moments: DataFrame, key: str, features: Sequence[str], params:
         solved = _solve(system, F.col("cov_xy"))
     moments = moments.withColumn("coefficients", F.when(usable & varying, solved))
     w = F.col("coefficients")
-    # mean squared error of the fit from the same moments: var(y) - 2 w.s + w.S.w
-    explained = F.lit(2.0) * _dot(w, F.col("cov_xy")) - reduce(
-        lambda a, b: a + b,
-        [
-            F.get(w, F.lit(i)) * F.get(w, F.lit(j)) * F.get("cov_xx", F.lit(i * p + j))
-            for i in range(p)
-            for j in range(p)
-        ],
-    )
-    mse = F.greatest(F.col("var_y") - explained, F.lit(0.0))
+    mse = _residual_variance(w, p)
     return moments.select(
         key,
         F.lit(0).alias("total_iterations"),
-        F.when(w.isNotNull(), F.sqrt(mse)).alias("rmse"),
-        F.when(w.isNotNull() & (F.col("var_y") > 0), 1 - mse / F.col("var_y")).alias("r2"),
+        F.sqrt(mse).alias("rmse"),
+        F.when(F.col("var_y") > 0, 1 - mse / F.col("var_y")).alias("r2"),
         (F.col("mean_y") - _dot(w, F.col("mean_x"))).alias("intercept"),
         w.alias("coefficients"),
         F.array(F.lit(0.0)).alias("objective_history"),
+        *keep,
     )
 
 
@@ -283,27 +298,45 @@ def linear_metrics_by_key(
     check_columns(key, features, label)
     p = len(features)
     rows = complete_rows(df.where(F.col(key).isNotNull()).select(key, *features, label), [*features, label], nulls)
-    moments = _moments(rows, key, features, label)
+    moments = rows.groupBy(key).agg(*_moment_columns(features, label))
     weights = models.select(key, F.col("intercept").alias("_b"), F.col("coefficients").alias("_w"))
-    w = F.col("_w")
-    # mean error and error variance of y - b - w.x
-    bias = F.col("mean_y") - F.col("_b") - _dot(w, F.col("mean_x"))
-    spread = (
-        F.col("var_y")
-        - F.lit(2.0) * _dot(w, F.col("cov_xy"))
-        + reduce(
-            lambda a, b: a + b,
-            [
-                F.get(w, F.lit(i)) * F.get(w, F.lit(j)) * F.get("cov_xx", F.lit(i * p + j))
-                for i in range(p)
-                for j in range(p)
-            ],
-        )
-    )
-    mse = bias * bias + F.greatest(spread, F.lit(0.0))
-    return moments.join(weights, key).select(
-        key,
-        "n",
-        F.sqrt(mse).alias("rmse"),
-        F.when(F.col("var_y") > 0, 1 - mse / F.col("var_y")).alias("r2"),
+    rmse, r2 = _quality(F.col("_w"), F.col("_b"), p, "")
+    return moments.join(weights, key).select(key, "n", rmse.alias("rmse"), r2.alias("r2"))
+
+
+def linear_regression_with_test(
+    df: DataFrame,
+    key: str,
+    features: Sequence[str],
+    label: str,
+    *,
+    id_cols: Sequence[str],
+    train_pct: int = 80,
+    keys: Sequence[Any] | None = None,
+    params: LinearParams = LinearParams(),
+    nulls: str = "error",
+) -> DataFrame:
+    """Fit on the training rows and measure on the others, in one scan and one shuffle.
+
+    The columns of :func:`linear_regression_by_key` and ``test_n``,
+    ``test_rmse``, ``test_r2``.  The moments of both sides are gathered by one
+    group-by, so the table is read once.  For models with a closed form.
+    """
+    check_columns(key, features, label)
+    params.validate()
+    if not params.closed_form:
+        raise ValueError("these parameters have no closed form; use linear_regression_by_key on a split")
+    if not 0 < train_pct < 100:
+        raise ValueError("train_pct must be between 1 and 99")
+    rows = df if keys is None else restrict_keys(df, key, keys)
+    placed = rows.where(F.col(key).isNotNull()).withColumn("_train", split_percentile(df, id_cols) < train_pct)
+    rows = complete_rows(placed.select(key, *features, label, "_train"), [*features, label], nulls)
+    train = F.col("_train")
+    moments = rows.groupBy(key).agg(
+        *_moment_columns(features, label, "", train), *_moment_columns(features, label, "test_", ~train)
     )
+    test = [f"test_{c}" for c in ("n", "mean_y", "var_y", "mean_x", "cov_xy", "cov_xx")]
+    models = _from_moments(moments, key, features, params, test)
+    rmse, r2 = _quality(F.col("coefficients"), F.col("intercept"), len(features), "test_")
+    models = models.withColumns({"test_rmse": rmse, "test_r2": r2}).drop(*test[1:])
+    return models if keys is None else for_keys(models, list(dict.fromkeys(keys)), key).drop("ord")

@@ -114,15 +114,32 @@ def moving_average_docs(
     ``max_array`` windows continues in further documents with a higher
     ``part``, so arrays stay bounded and nothing is left out.
     """
-    windows = _full_windows(df, key, date, feature, days, tie_breakers, large_keys)
-    parts = collect_parts(
-        windows.withColumn("_at", F.col("_at") - 1),
-        [key],
-        F.struct(F.col(date).alias("date"), F.col("_mean").alias("avg")),
-        "movingAverages",
-        max_array=max_array,
-    )
-    starts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(date).alias("startDate"))
+    if days < 1:
+        raise ValueError("days must be at least 1")
+    rows, order = _series(df, key, date, feature, tie_breakers)
+    large = resolve_large_keys(rows, [key], date, large_keys)
+    element = F.struct(F.col(date).alias("date"), F.col("_mean").alias("avg"))
+    if not large:
+        # one pass: the rows before the first full window add nothing to the
+        # array but keep their key, and the start date comes from the same sort
+        frame = Window.partitionBy(key).orderBy(*order)
+        whole = rows.withColumns(
+            {
+                BLOCK: F.lit(None).cast("int"),
+                "_mean": F.avg("_value").over(frame.rowsBetween(-(days - 1), 0)),
+                "_place": F.row_number().over(frame),
+                "startDate": F.min(date).over(Window.partitionBy(key)),
+            }
+        )
+        placed = whole.withColumn("_at", F.greatest(F.col("_place") - days, F.lit(0)))
+        element = F.when(F.col("_place") >= days, element)
+        documents = collect_parts(placed, [key], element, "movingAverages", max_array=max_array, carry="startDate")
+        return documents.select(key, "part", F.lit(days).alias("numDays"), "startDate", "movingAverages")
+
+    windows = _full_windows(df, key, date, feature, days, tie_breakers, large)
+    placed = windows.withColumn("_at", F.col("_at") - 1)
+    parts = collect_parts(placed, [key], element, "movingAverages", max_array=max_array)
+    starts = rows.groupBy(key).agg(F.min(date).alias("startDate"))
     kind = parts.schema["movingAverages"].dataType
     return starts.join(parts, key, "left").select(
         key,

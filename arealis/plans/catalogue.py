@@ -551,6 +551,22 @@ def linear_metrics_by_key(spark, root):
     return metrics.select("l_suppkey", "n", F.round("rmse", 4).alias("rmse"), F.round("r2", 6).alias("r2"))
 
 
+@query
+def linear_regression_with_test(spark, root):
+    """Fit and held-out metrics of all suppliers from one scan."""
+    models = ops.linear_regression_with_test(
+        load(spark, root, "lineitem"), "l_suppkey", ["l_quantity"], "l_extendedprice", id_cols=LINE_ID
+    )
+    return models.select(
+        "l_suppkey",
+        F.round("rmse", 4).alias("rmse"),
+        F.round(F.get("coefficients", F.lit(0)), 6).alias("slope"),
+        "test_n",
+        F.round("test_rmse", 4).alias("test_rmse"),
+        F.round("test_r2", 6).alias("test_r2"),
+    )
+
+
 @query
 def random_forest_by_key(spark, root):
     return ops.random_forest_by_key(

@@ -344,6 +344,14 @@ SELECT s.l_suppkey, round(sqrt(avg(pow(l_extendedprice - intercept - w1 * l_quan
 FROM split s JOIN model m ON s.l_suppkey = m.l_suppkey WHERE place < 80 GROUP BY 1
 """
 
+ORACLE["linear_regression_with_test"] = f"""
+WITH split AS ({_LINE_SPLIT})
+SELECT s.l_suppkey, round(sqrt(any_value(mse)), 4) AS rmse, round(any_value(slope), 6) AS slope, count(*) AS test_n,
+       round(sqrt(avg(pow(l_extendedprice - intercept - slope * l_quantity, 2))), 4) AS test_rmse,
+       round(1 - avg(pow(l_extendedprice - intercept - slope * l_quantity, 2)) / var_pop(l_extendedprice), 6) AS test_r2
+FROM split s JOIN ({_LINE_MODEL}) m ON s.l_suppkey = m.l_suppkey WHERE place >= 80 GROUP BY 1
+"""
+
 ORACLE["score_by_key"] = f"""
 WITH split AS ({_LINE_SPLIT})
 SELECT l_orderkey, l_linenumber, l_partkey, round(intercept + slope * l_quantity, 4) AS prediction

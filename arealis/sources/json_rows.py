@@ -48,8 +48,8 @@ def explode_json_objects(df: DataFrame, column: str, *, out: str = "value") -> D
     row.  The objects come back as ``VARIANT`` next to the other columns.
     """
     body = F.col(column)
-    is_array = F.coalesce(F.schema_of_variant(F.try_parse_json(body)).startswith("ARRAY"), F.lit(False))
-    as_array = F.when(is_array, body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
+    # JSON text is an array exactly if it opens with a bracket, so one parse will do
+    as_array = F.when(body.rlike(r"^\s*\["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
     kept = [name for name in df.columns if name != out]
     elements = (
         df.withColumn("_body", F.try_parse_json(as_array))
