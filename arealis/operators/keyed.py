@@ -72,12 +72,21 @@ def spread_by_size(
     # one count per requested key
     sizes = {row[key]: row["n"] for row in rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()}
     share = max(1.0, sum(sizes.values()) / n)
-    schema = StructType([StructField(key, df.schema[key].dataType), StructField("_splits", IntegerType())])
-    splits = df.sparkSession.createDataFrame([(k, math.ceil(c / share)) for k, c in sizes.items()], schema)
-    salted = rows.join(F.broadcast(splits), key).withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread_by), F.col("_splits").cast("bigint"))
+    slots, before = [], 0
+    for value in sorted(sizes):
+        slots.append((value, int(before / share), math.ceil(sizes[value] / share)))
+        before += sizes[value]
+    schema = StructType(
+        [
+            StructField(key, df.schema[key].dataType),
+            StructField("_slot", IntegerType()),
+            StructField("_width", IntegerType()),
+        ]
     )
-    return salted.repartition(n, key, "_salt").sortWithinPartitions(key, *spread_by).drop("_splits", "_salt")
+    placed = rows.join(F.broadcast(df.sparkSession.createDataFrame(slots, schema)), key)
+    salt = F.pmod(F.xxhash64(*spread_by), F.col("_width").cast("bigint"))
+    partition = F.pmod(F.col("_slot") + salt, F.lit(n)).cast("int")
+    return placed.repartitionById(n, partition).sortWithinPartitions(key, *spread_by).drop("_slot", "_width")
 
 
 def fit_by_key(

@@ -1,0 +1,179 @@
+import datetime as dt
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from arealis import operators as ops
+from arealis.functions import in_intervals, inside_polygon, int_range, normalize_key, parse_date, slice_from, window_means
+
+
+@pytest.fixture(scope="module")
+def people(spark):
+    return spark.createDataFrame(
+        [(1, "ann", 10.0), (2, "bob", None), (3, None, 30.0), (4, "cid", 40.0)], "id int, name string, v double"
+    )
+
+
+def ids(df):
+    return sorted(r["id"] for r in df.collect())
+
+
+@pytest.mark.parametrize(
+    "spec, want",
+    [
+        ({}, [1, 2, 3, 4]),
+        ({"name": "ann"}, [1]),
+        ({"name": None}, [3]),
+        ({"v": {"$gt": 10, "$lte": 40}}, [3, 4]),
+        ({"v": {"$gte": 10, "$lt": 40}}, [1, 3]),
+        ({"v": {"$eq": 10.0}}, [1]),
+        ({"v": {"$ne": 10.0}}, [2, 3, 4]),
+        ({"name": {"$ne": None}}, [1, 2, 4]),
+        ({"name": {"$in": ["ann", None]}}, [1, 3]),
+        ({"name": {"$in": []}}, []),
+        ({"name": {"$nin": ["ann", "bob"]}}, [3, 4]),
+        ({"name": {"$nin": [None]}}, [1, 2, 4]),
+        ({"v": {"$exists": False}}, [2]),
+        ({"v": {"$exists": True}}, [1, 3, 4]),
+        ({"name": {"$regex": "^[ab]"}}, [1, 2]),
+        ({"v": {"$not": {"$gt": 20}}}, [1, 2]),
+        ({"$or": [{"id": 1}, {"v": {"$gt": 35}}]}, [1, 4]),
+        ({"$and": [{"id": {"$gt": 1}}, {"id": {"$lt": 4}}]}, [2, 3]),
+        ({"$nor": [{"id": 1}, {"name": "bob"}]}, [3, 4]),
+        ({"id": {"$gt": 1}, "$or": [{"name": "bob"}, {"name": None}]}, [2, 3]),
+    ],
+)
+def test_match(people, spec, want):
+    assert ids(ops.match(people, spec)) == want
+
+
+def test_match_rejects_unknown_operators(people):
+    for spec in ({"id": {"$near": 1}}, {"$where": "1"}):
+        with pytest.raises(ValueError):
+            ops.match(people, spec)
+
+
+def test_projection_and_fields(people):
+    assert ops.project(people, include=["id"]).columns == ["id"]
+    assert ops.project(people, exclude=["id"]).columns == ["name", "v"]
+    with pytest.raises(ValueError):
+        ops.project(people)
+    added = ops.add_fields(people, one=1, twice=F.col("v") * 2).orderBy("id").first()
+    assert (added["one"], added["twice"]) == (1, 20.0)
+    assert ops.rename(people, {"v": "w"}).columns == ["id", "name", "w"]
+    assert ids(ops.drop_incomplete(people)) == [1, 4]
+    assert ids(ops.drop_incomplete(people, ["v"])) == [1, 3, 4]
+
+
+def test_sort_puts_nulls_first_ascending_and_last_descending(people):
+    assert [r["id"] for r in ops.sort(people, {"v": 1}).collect()] == [2, 1, 3, 4]
+    assert [r["id"] for r in ops.sort(people, {"v": -1}).collect()] == [4, 3, 1, 2]
+    with pytest.raises(ValueError):
+        ops.sort(people, {"v": 2})
+
+
+def test_unwind(spark):
+    df = spark.createDataFrame([(1, [5, 6]), (2, []), (3, None)], "id int, a array<int>")
+    assert sorted((r["id"], r["a"]) for r in ops.unwind(df, "a").collect()) == [(1, 5), (1, 6)]
+    kept = {(r["id"], r["a"]) for r in ops.unwind(df, "a", keep_empty=True).collect()}
+    assert kept == {(1, 5), (1, 6), (2, None), (3, None)}
+    placed = {(r["i"], r["a"]) for r in ops.unwind(df, "a", index="i").collect()}
+    assert placed == {(0, 5), (1, 6)}
+
+
+@pytest.mark.parametrize("max_array", [2, 100])
+def test_lookup(spark, max_array):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "zz")], "id int, k string")
+    right = spark.createDataFrame(
+        [("a", 1), ("a", 2), ("a", 3), ("b", 9), (None, 7)], "r string, w int"
+    )
+    got = {}
+    for r in ops.lookup(left, right, "k", "r", "found", max_array=max_array).orderBy("id", "found_part").collect():
+        assert len(r["found"]) <= max_array
+        got.setdefault(r["id"], []).extend(e["w"] for e in r["found"])
+    assert got == {1: [1, 2, 3], 2: [9], 3: [7], 4: []}
+
+
+def test_lookup_with_a_cut_key(spark):
+    left = spark.createDataFrame([(1, "a")], "id int, k string")
+    right = spark.createDataFrame([("a", i) for i in range(100)], "r string, w int")
+    keyed = right.withColumn("_lookup_key", F.col("r"))
+    large = ops.find_large_keys(keyed, ["_lookup_key"], "w", rows_per_task=9)
+    rows = ops.lookup(left, right, "k", "r", "found", order=["w"], large_keys=large).orderBy("found_part").collect()
+    assert len(rows) > 5 and [e["w"] for r in rows for e in r["found"]] == list(range(100))
+
+
+def test_union_and_replace_root(spark):
+    a = spark.createDataFrame([(1, "x")], "id int, p string")
+    b = spark.createDataFrame([(2, 5)], "id int, q int")
+    assert sorted(map(tuple, ops.union_with(a, b).collect())) == [(1, "x", None), (2, None, 5)]
+    nested = spark.createDataFrame([((1, "x"), 9)], "s struct<id:int,p:string>, z int")
+    assert [tuple(r) for r in ops.replace_root(nested, "s").collect()] == [(1, "x")]
+
+
+def test_bucket(spark):
+    df = spark.createDataFrame([(float(v),) for v in (0, 5, 10, 19, 20, -1)], "v double")
+    got = {r["bucket"]: r["count"] for r in ops.bucket(df, "v", [0, 10, 20], default="other").collect()}
+    assert got == {"0": 2, "10": 2, "other": 2}
+    got = {r["bucket"]: r["count"] for r in ops.bucket(df, "v", [-1, 0, 21], default=-9).collect()}
+    assert got == {-1: 1, 0: 5}
+    with pytest.raises(PySparkException):
+        ops.bucket(df, "v", [0, 10, 20]).collect()
+    with pytest.raises(ValueError):
+        ops.bucket(df, "v", [10, 0])
+
+
+def test_bucket_auto(spark):
+    df = spark.range(1000).select(F.col("id").alias("v"))
+    rows = ops.bucket_auto(df, "v", 4).orderBy("bucket").collect()
+    assert sum(r["count"] for r in rows) == 1000 and len(rows) == 4
+    assert all(abs(r["count"] - 250) <= 2 for r in rows)
+    assert all(a["max"] < b["min"] for a, b in zip(rows, rows[1:]))
+    # equal values share a bucket
+    same = ops.bucket_auto(spark.range(10).select(F.lit(3).alias("v")), "v", 5).collect()
+    assert [r["count"] for r in same] == [10]
+
+
+def test_sample(spark):
+    df = spark.range(100)
+    drawn = [r["id"] for r in ops.sample_n(df, 10, 3).collect()]
+    assert len(set(drawn)) == 10
+    assert len(ops.sample_n(df, 1000, 3).collect()) == 100
+    with pytest.raises(ValueError):
+        ops.sample_n(df, 0, 3)
+
+
+def test_array_helpers(spark):
+    df = spark.createDataFrame([([1.0, None, 3.0, 5.0],), ([1.0],), ([None, None],)], "a array<double>")
+    got = [list(r[0]) for r in df.select(window_means(F.col("a"), 2)).collect()]
+    assert got == [[1.0, 3.0, 4.0], [], [None]]
+    assert spark.range(1).select(int_range(3), int_range(0), int_range(-2)).first() == ([0, 1, 2], [], [])
+    assert df.select(slice_from(F.col("a"), 1, 2)).first()[0] == [None, 3.0]
+    with pytest.raises(ValueError):
+        window_means(F.col("a"), 0)
+
+
+def test_keys_and_dates(spark):
+    df = spark.createDataFrame([('"G01"', "2020-01-25 23:30:00.000 UTC")], "k string, s string")
+    row = df.select(normalize_key("k"), parse_date("s")).first()
+    assert tuple(row) == ("G01", dt.date(2020, 1, 25))
+
+
+def test_intervals_are_half_open(spark):
+    stamps = ["1979-01-01 00:00:00", "1998-12-31 23:59:59", "1999-01-01 00:00:00", "2001-06-01 00:00:00", "2002-01-01 00:00:00"]
+    df = spark.createDataFrame([(s,) for s in stamps], "s string").select(F.col("s").cast("timestamp_ntz").alias("t"))
+    inside = df.where(in_intervals(df, "t", [("1979-01-01", "1999-01-01"), ("2001-01-01", "2002-01-01")]))
+    assert sorted(str(r["t"]) for r in inside.collect()) == [stamps[0], stamps[1], stamps[3]]
+    with pytest.raises(ValueError):
+        in_intervals(df, "t", [])
+
+
+def test_polygon(spark):
+    points = [(0.5, 0.5), (1.5, 0.5), (0.9, 0.95), (0.25, 0.9)]
+    df = spark.createDataFrame(points, "x double, y double")
+    notched = [(0, 0), (1, 0), (1, 1), (0.5, 0.6), (0, 1), (0, 0)]
+    got = [tuple(r) for r in ops.points_within(df, "x", "y", notched).collect()]
+    assert got == [(0.5, 0.5)]
+    with pytest.raises(ValueError):
+        inside_polygon("x", "y", [(0, 0), (1, 1), (0, 0)])
