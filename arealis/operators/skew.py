@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
     DateType,
-    LongType,
+    DoubleType,
+    IntegerType,
     NumericType,
     StructField,
     StructType,
@@ -32,16 +34,22 @@ BLOCK = "_block"
 # holds less than n / 4096, which is a normal share for one task.
 MAX_LISTED = 4096
 ROWS_PER_TASK = 5_000_000
+# Cuts kept per listed key.
+MAX_CUTS = 255
 
 
 @dataclass(frozen=True)
 class LargeKey:
-    """A key to cut, the range of its order values and the number of blocks."""
+    """A key to cut.
+
+    ``cuts`` are ascending order values, from the smallest to the largest,
+    with about equally many rows between neighbours; the span between two
+    cuts is divided into ``parts`` of equal width.
+    """
 
     key: tuple[Any, ...]
-    low: float
-    high: float
-    blocks: int
+    cuts: tuple[float, ...]
+    parts: int = 1
 
 
 def order_number(df: DataFrame, column: str) -> Column | None:
@@ -60,6 +68,10 @@ def order_number(df: DataFrame, column: str) -> Column | None:
     return None
 
 
+def _same_key(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(df[k]) for n, k in zip(names, keys)])
+
+
 def find_large_keys(
     df: DataFrame,
     keys: Sequence[str],
@@ -68,61 +80,91 @@ def find_large_keys(
     rows_per_task: int = ROWS_PER_TASK,
     max_listed: int = MAX_LISTED,
 ) -> list[LargeKey]:
-    """Keys with more than ``rows_per_task`` rows, largest first.
+    """Keys with more than ``rows_per_task`` rows, largest first, and where to cut them.
 
-    One job over the key and order columns only.  Counts are combined on the
-    map side, so a large key costs no more than any other, and at most
-    ``max_listed`` rows reach the driver.  The list decides only *where* keys
-    are cut; a key left out of it is still computed in full.
+    One job counts the rows per key; counts are combined on the map side, so a
+    large key costs no more than any other, and at most ``max_listed`` rows
+    reach the driver.  Only if there are large keys, a second job takes
+    approximate quantiles of their order column, so that the blocks hold
+    similar numbers of rows even where rows come in bursts.
+
+    The list decides only *where* keys are cut; a key left out of it is still
+    computed in full.
     """
     position = order_number(df, order)
     if position is None:
         return []
+    needed = df.select(*keys, position.alias("_at"))
     sizes = (
-        df.select(*keys, position.alias("_at"))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_low"), F.max("_at").alias("_high"))
-        .where((F.col("_n") > rows_per_task) & (F.col("_low") < F.col("_high")))
+        needed.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > rows_per_task)
         .orderBy(F.desc("_n"))
         .limit(max_listed)
+        .collect()
     )
-    return [
-        LargeKey(tuple(row[k] for k in keys), row["_low"], row["_high"], math.ceil(row["_n"] / rows_per_task))
-        for row in sizes.collect()
-    ]
+    if not sizes:
+        return []
+    names = [f"_key{i}" for i in range(len(keys))]
+    schema = StructType([StructField(n, df.schema[k].dataType) for n, k in zip(names, keys)])
+    entries = [tuple(row[k] for k in keys) for row in sizes]
+    listed = F.broadcast(df.sparkSession.createDataFrame(entries, schema))
+    blocks = {entry: math.ceil(row["_n"] / rows_per_task) for entry, row in zip(entries, sizes)}
+    spans = min(MAX_CUTS - 1, max(blocks.values()))
+    quantiles = F.percentile_approx("_at", [i / spans for i in range(spans + 1)], 10 * MAX_CUTS)
+    cuts = {
+        tuple(row[k] for k in keys): row["_cuts"]
+        for row in needed.join(listed, _same_key(needed, keys, names), "left_semi")
+        .groupBy(*keys)
+        .agg(quantiles.alias("_cuts"))
+        .collect()
+    }
+    found = []
+    for entry in entries:
+        wanted = min(spans, blocks[entry])
+        picked = sorted({cuts[entry][round(i * spans / wanted)] for i in range(wanted + 1)} if cuts[entry] else set())
+        if len(picked) > 1:
+            found.append(LargeKey(entry, tuple(picked), math.ceil(blocks[entry] / spans)))
+    return found
 
 
 def with_blocks(df: DataFrame, keys: Sequence[str], order: str, large: Sequence[LargeKey]) -> DataFrame:
-    """Add the block number: null for keys that are not cut.
+    """Add the block number, which grows with the order column; null for keys that are not cut.
 
-    ``large`` has at most ``MAX_LISTED`` entries, so it is always small enough
-    to broadcast, and adding the number moves no row.
+    ``large`` has at most ``MAX_LISTED`` entries of at most ``MAX_CUTS`` cuts,
+    so it is always small enough to broadcast, and adding the number moves no
+    row.
     """
     if not large:
         return df.withColumn(BLOCK, F.lit(None).cast("int"))
-    if len(large) > MAX_LISTED:
-        raise ValueError(f"at most {MAX_LISTED} keys can be cut, got {len(large)}")
+    if len(large) > MAX_LISTED or any(len(entry.cuts) > MAX_CUTS for entry in large):
+        raise ValueError(f"at most {MAX_LISTED} keys with {MAX_CUTS} cuts each can be cut")
     names = [f"_key{i}" for i in range(len(keys))]
     schema = StructType(
         [StructField(n, df.schema[k].dataType) for n, k in zip(names, keys)]
-        + [StructField("_range", ArrayType(LongType(), False))]
+        + [StructField("_cuts", ArrayType(DoubleType(), False)), StructField("_parts", IntegerType())]
     )
-    entries = [(*entry.key, [math.floor(entry.low), math.ceil(entry.high), entry.blocks]) for entry in large]
+    steps = max(len(entry.cuts) for entry in large).bit_length()
+    padded = 2**steps - 1
+    entries = [
+        (*entry.key, [float(c) for c in entry.cuts] + [math.inf] * (padded - len(entry.cuts)), entry.parts)
+        for entry in large
+    ]
     listed = F.broadcast(df.sparkSession.createDataFrame(entries, schema))
-    condition = None
-    for name, key in zip(names, keys):
-        same = F.col(name).eqNullSafe(df[key])
-        condition = same if condition is None else condition & same
-    # a missing order value sorts first, so it belongs to the first block
-    place = F.coalesce(order_number(df, order), F.get("_range", F.lit(0)).cast("double"))
-    number = F.width_bucket(
-        place,
-        F.get("_range", F.lit(0)).cast("double"),
-        F.get("_range", F.lit(1)).cast("double"),
-        F.get("_range", F.lit(2)),
+    rows = df.join(listed, _same_key(df, keys, names), "left").withColumns(
+        {"_place": order_number(df, order), "_span": F.lit(0)}
     )
-    block = F.when(F.col("_range").isNotNull(), number.cast("int"))
-    return df.join(listed, condition, "left").withColumn(BLOCK, block).drop(*names, "_range")
+    # binary search for the number of cuts at or below the value
+    cuts, parts, place, span = F.col("_cuts"), F.col("_parts"), F.col("_place"), F.col("_span")
+    for step in (2**i for i in reversed(range(steps))):
+        rows = rows.withColumn("_span", span + (F.get(cuts, span + (step - 1)) <= place).cast("int") * step)
+    low, high = F.get(cuts, span - 1), F.get(cuts, span)
+    inner = (span > 0) & (high < F.lit(math.inf)) & (parts > 1)
+    part = F.when(inner, F.width_bucket(place, low, high, parts) - 1).otherwise(F.lit(0))
+    within = F.coalesce(F.least(part, parts - 1), F.lit(0)).cast("int")
+    # a missing order value sorts first, so it belongs to the first block
+    block = F.when(cuts.isNotNull(), F.coalesce(span * parts + within, F.lit(0)))
+    return rows.withColumn(BLOCK, block).drop(*names, "_cuts", "_parts", "_place", "_span")
 
 
 def resolve_large_keys(

@@ -4,6 +4,7 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from arealis.operators import find_large_keys, for_keys, moving_average, moving_average_docs
 from arealis.operators.skew import LargeKey, order_number, with_blocks
@@ -92,13 +93,14 @@ def test_cut_keys_equal_uncut(spark, days, rows_per_task):
 @given(
     data=st.lists(st.tuples(st.integers(0, 12), st.integers(-50, 50)), min_size=2, max_size=40),
     days=st.integers(1, 8),
-    blocks=st.integers(1, 9),
+    cuts=st.sets(st.integers(-2, 14), min_size=2, max_size=12),
+    parts=st.integers(1, 4),
 )
-def test_any_cut_is_exact(spark, data, days, blocks):
+def test_any_cut_is_exact(spark, data, days, cuts, parts):
     rows = [("a", day(d), i, float(v)) for i, (d, v) in enumerate(data)]
     df = spark.createDataFrame(rows, SCHEMA)
     first = (dt.date(2024, 1, 1) - dt.date(1970, 1, 1)).days
-    large = [LargeKey(("a",), float(first), float(first + 12), blocks)]
+    large = [LargeKey(("a",), tuple(float(first + c) for c in sorted(cuts)), parts)]
     assert actual(moving_average(df, "k", "d", "v", days, tie_breakers=["id"], large_keys=large)) == expected(rows, days)
 
 
@@ -109,7 +111,36 @@ def test_large_keys_are_listed_largest_first_and_bounded(spark):
     assert [e.key for e in find_large_keys(df, ["k"], "d", rows_per_task=10, max_listed=1)] == [("a",)]
     assert find_large_keys(df, ["k"], "d") == []
     with pytest.raises(ValueError):
-        with_blocks(df, ["k"], "d", [LargeKey(("a",), 0, 1, 2)] * 5000)
+        with_blocks(df, ["k"], "d", [LargeKey(("a",), (0, 1), 2)] * 5000)
+
+
+def test_block_numbers_follow_the_order(spark):
+    df = spark.range(1000).select(F.lit("a").alias("k"), (F.col("id") % 100).alias("v"))
+    cuts = tuple(float(c) for c in range(0, 100, 2))
+    rows = with_blocks(df, ["k"], "v", [LargeKey(("a",), cuts, 2)]).distinct().orderBy("v").collect()
+    # two spans' width of two, in two parts each: every value has its own block
+    assert [r["_block"] for r in rows] == sorted(r["_block"] for r in rows)
+    assert len({r["_block"] for r in rows}) >= 98
+    other = with_blocks(df.withColumn("k", F.lit("b")), ["k"], "v", [LargeKey(("a",), cuts, 2)])
+    assert {r["_block"] for r in other.collect()} == {None}
+
+
+def test_blocks_are_even_despite_bursts(spark):
+    # nine tenths of the rows in a thousandth of the range
+    df = spark.range(10_000).select(
+        F.lit("a").alias("k"), F.when(F.col("id") < 9000, F.col("id") / 1000.0).otherwise(F.col("id") - 0.0).alias("v")
+    )
+    large = find_large_keys(df, ["k"], "v", rows_per_task=500)
+    sizes = [r["count"] for r in with_blocks(df, ["k"], "v", large).groupBy("_block").count().collect()]
+    assert sum(sizes) == 10_000 and max(sizes) < 1_000
+
+
+def test_very_large_keys_are_cut_further(spark):
+    df = spark.range(20_000).select(F.lit("a").alias("k"), F.col("id").alias("v"))
+    large = find_large_keys(df, ["k"], "v", rows_per_task=10)
+    assert len(large[0].cuts) <= 255 and large[0].parts == 8
+    sizes = [r["count"] for r in with_blocks(df, ["k"], "v", large).groupBy("_block").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 40
 
 
 def test_order_numbers_grow_with_the_value(spark):
