@@ -13,6 +13,7 @@ from arealis.operators.features import (
 from arealis.operators.geo import points_within
 from arealis.operators.grouping import (
     add_to_set,
+    count_rows,
     first,
     greatest,
     group,

@@ -199,6 +199,11 @@ def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: s
     return joined.select(*keys, *rest)
 
 
+def count_rows(df: DataFrame, out: str = "count") -> DataFrame:
+    """The number of rows, as one row."""
+    return df.agg(F.count(F.lit(1)).alias(out))
+
+
 def sort_by_count(df: DataFrame, column: str) -> DataFrame:
     """Values of a column with their number of rows, most frequent first."""
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), F.asc_nulls_first(column))

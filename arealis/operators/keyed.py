@@ -18,6 +18,8 @@ T = TypeVar("T")
 MAX_IN_FILTER = 1_000
 # A request holds its key list in memory; a longer one belongs in a table.
 MAX_REQUESTED = 100_000
+# Fits run many short jobs; smaller partitions than this only add tasks.
+MIN_ROWS_PER_PARTITION = 10_000
 
 
 def _check(keys: Sequence[Any]) -> list[Any]:
@@ -68,10 +70,12 @@ def spread_by_size(
     on the data alone: a lost partition is rebuilt identically.
     """
     rows = restrict_keys(df, key, keys)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one count per requested key
     sizes = {row[key]: row["n"] for row in rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = max(1.0, sum(sizes.values()) / n)
+    total = sum(sizes.values())
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(1, min(most, math.ceil(total / MIN_ROWS_PER_PARTITION)))
+    share = max(1.0, total / n)
     slots, before = [], 0
     for value in sorted(sizes):
         slots.append((value, int(before / share), math.ceil(sizes[value] / share)))

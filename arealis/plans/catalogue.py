@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from arealis import operators as ops
 from arealis.functions import int_range, normalize_key, parse_date, slice_from, window_means
 from arealis.operators.skew import find_large_keys
-from arealis.sources import explode_json_objects, load, stats_table, to_json_rows
+from arealis.sources import explode_json_objects, from_json_rows, load, stats_table, to_json_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -164,6 +164,11 @@ def sort_by_count(spark, root):
     return ops.sort_by_count(load(spark, root, "lineitem"), "l_suppkey")
 
 
+@query
+def count_matching(spark, root):
+    return ops.match(load(spark, root, "lineitem"), {"l_quantity": {"$gt": 25}}).transform(ops.count_rows, "n")
+
+
 @query
 def unwind(spark, root):
     vectors = load(spark, root, "embeddings")
@@ -675,6 +680,12 @@ def json_rows_with_defaults(spark, root):
     return to_json_rows(rows, drop_nulls=False, defaults={"order_count": 0})
 
 
+@query
+def json_documents(spark, root):
+    texts = load(spark, root, "events").select("event_id", "event_type", "props")
+    return from_json_rows(texts, "props", "k bigint, missing string")
+
+
 @query
 def explode_json_objects_array(spark, root):
     """Each body is an array of two objects and a number, which is skipped."""

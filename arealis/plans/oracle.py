@@ -104,6 +104,8 @@ SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderk
 
 ORACLE["sort_by_count"] = 'SELECT l_suppkey, count(*) AS "count" FROM lineitem GROUP BY 1'
 
+ORACLE["count_matching"] = "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 25"
+
 ORACLE["unwind"] = """
 SELECT vec_id, place - 1 AS place, CAST(embedding[place] AS DOUBLE) AS component
 FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS place FROM embeddings)
@@ -394,6 +396,12 @@ SELECT CAST(to_json(struct_pack(c_custkey := c_custkey, c_name := c_name, order_
 FROM ({_CUSTOMER_STATS})
 """
 
+ORACLE["json_documents"] = """
+SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+       json_extract_string(props, '$.missing') AS missing
+FROM events
+"""
+
 ORACLE["explode_json_objects_array"] = """
 SELECT event_id, 2::BIGINT AS n, 2 * CAST(json_extract(props, '$.k') AS BIGINT) AS sum_k FROM events
 """

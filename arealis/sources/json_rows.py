@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def to_json_rows(
@@ -35,6 +36,16 @@ def to_json_rows(
     return df.select(F.to_json(F.struct(*df.columns), options).alias(column))
 
 
+def from_json_rows(df: DataFrame, column: str, schema: StructType | str) -> DataFrame:
+    """Parse a column of JSON documents; the document's fields replace the column.
+
+    Fields absent from a document are null, and so are all fields of a text
+    that is no valid JSON.
+    """
+    kept = [name for name in df.columns if name != column]
+    return df.select(*kept, F.from_json(column, schema).alias("_doc")).select(*kept, "_doc.*")
+
+
 def write_json_rows(df: DataFrame, path: str, *, drop_nulls: bool = True, mode: str = "errorifexists") -> None:
     """Write rows as JSON lines, one file per task."""
     df.write.mode(mode).option("ignoreNullFields", str(drop_nulls).lower()).json(path)

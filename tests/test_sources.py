@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from arealis.sources import explode_json_objects, load, stats_table, to_json_rows, write_json_rows
+from arealis.sources import explode_json_objects, from_json_rows, load, stats_table, to_json_rows, write_json_rows
 from arealis.streaming import stream_json
 
 
@@ -51,6 +51,12 @@ def test_json_rows(spark):
         to_json_rows(df, defaults={"q": 1})
 
 
+def test_json_documents(spark):
+    df = spark.createDataFrame([(1, '{"a": 1, "s": {"t": "x"}}'), (2, "{}"), (3, "oops")], "id int, body string")
+    rows = from_json_rows(df, "body", "a int, s struct<t:string>").orderBy("id").collect()
+    assert [(r["id"], r["a"], r["s"] and r["s"]["t"]) for r in rows] == [(1, 1, "x"), (2, None, None), (3, None, None)]
+
+
 def test_json_delivery(spark, tmp_path):
     df = spark.range(20).withColumn("s", F.when(F.col("id") > 3, F.lit("x"))).repartition(3)
     assert sorted(json.loads(t)["id"] for t in stream_json(df)) == list(range(20))
