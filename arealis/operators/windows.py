@@ -38,36 +38,36 @@ def _full_windows(
         raise ValueError("days must be at least 1")
     rows, order = _series(df, key, date, feature, ties)
     large = resolve_large_keys(rows, [key], date, large_keys)
-    frame = Window.partitionBy(key, BLOCK).orderBy(*order) if large else Window.partitionBy(key).orderBy(*order)
-    mean = F.avg("_value").over(frame.rowsBetween(-(days - 1), 0))
-    place = F.row_number().over(frame)
     out = [key, BLOCK, date, "_at", "_mean"]
+
+    def windows(part: DataFrame, by: list[str]) -> DataFrame:
+        frame = Window.partitionBy(*by).orderBy(*order)
+        mean = F.avg("_value").over(frame.rowsBetween(-(days - 1), 0))
+        return part.withColumns({"_mean": mean, "_at": F.row_number().over(frame)})
+
+    is_large = F.col(key).isin([entry.key[0] for entry in large])
+    small = rows.where(~is_large) if large else rows
+    whole = windows(small.withColumn(BLOCK, F.lit(None).cast("int")), [key])
+    whole = whole.where(F.col("_at") >= days).select(*out)
     if not large:
-        whole = rows.withColumn(BLOCK, F.lit(None).cast("int")).withColumns({"_mean": mean, "_at": place})
-        return whole.where(F.col("_at") >= days).select(*out)
+        return whole
 
     # Within a block every window that fits is final.  The first days-1 rows of
     # a block also need the last days-1 rows before it.  Those edge rows alone
     # are ordered across the whole key: a few rows per block, not the series.
+    # Both uses of the blocks read the same shuffle.
     size = F.count(F.lit(1)).over(Window.partitionBy(key, BLOCK))
-    blocked = with_blocks(rows, [key], date, large).withColumns({"_mean": mean, "_at": place, "_size": size})
+    blocked = windows(with_blocks(rows.where(is_large), [key], date, large), [key, BLOCK]).withColumn("_size", size)
     inner = blocked.where(F.col("_at") >= days).select(*out)
-    edge = F.when(
-        F.col(BLOCK).isNotNull(), (F.col("_at") < days) | (F.col("_at") > F.col("_size") - (days - 1))
-    )
     across = Window.partitionBy(key).orderBy(BLOCK, "_at")
+    frame = across.rowsBetween(-(days - 1), 0)
     seams = (
-        blocked.where(edge)
-        .withColumns(
-            {
-                "_mean": F.avg("_value").over(across.rowsBetween(-(days - 1), 0)),
-                "_before": F.count(F.lit(1)).over(across.rowsBetween(-(days - 1), 0)),
-            }
-        )
+        blocked.where((F.col("_at") < days) | (F.col("_at") > F.col("_size") - (days - 1)))
+        .withColumns({"_mean": F.avg("_value").over(frame), "_before": F.count(F.lit(1)).over(frame)})
         .where((F.col("_at") < days) & (F.col("_before") == days))
         .select(*out)
     )
-    return inner.unionByName(seams)
+    return whole.unionByName(inner).unionByName(seams)
 
 
 def moving_average(
