@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, StructType, TimestampNTZType, TimestampType
 
 
 def _negate(condition: Column) -> Column:
@@ -15,64 +17,73 @@ def _negate(condition: Column) -> Column:
     return ~F.coalesce(condition, F.lit(False))
 
 
-def _equal(column: Column, value: Any) -> Column:
+def _literal(value: Any, kind: DataType | None) -> Column:
+    """A literal; dates and times get the column's own type, so that the column needs no cast."""
     if isinstance(value, Column):
-        return column == value
-    return column.isNull() if value is None else column == F.lit(value)
+        return value
+    if isinstance(value, dt.date) and isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
+        return F.lit(value.isoformat()).cast(kind)
+    return F.lit(value)
 
 
-def _is_in(column: Column, values: Any) -> Column:
-    present = [v for v in values if v is not None]
+def _equal(column: Column, value: Any, kind: DataType | None) -> Column:
+    return column.isNull() if value is None else column == _literal(value, kind)
+
+
+def _is_in(column: Column, values: Any, kind: DataType | None) -> Column:
+    present = [_literal(v, kind) for v in values if v is not None]
     condition = column.isin(present) if present else F.lit(False)
     return condition | column.isNull() if len(present) < len(values) else condition
 
 
 _COMPARE = {
     "$eq": _equal,
-    "$gt": lambda c, v: c > F.lit(v),
-    "$gte": lambda c, v: c >= F.lit(v),
-    "$lt": lambda c, v: c < F.lit(v),
-    "$lte": lambda c, v: c <= F.lit(v),
-    "$ne": lambda c, v: c.isNotNull() if v is None else _negate(_equal(c, v)),
+    "$gt": lambda c, v, kind: c > _literal(v, kind),
+    "$gte": lambda c, v, kind: c >= _literal(v, kind),
+    "$lt": lambda c, v, kind: c < _literal(v, kind),
+    "$lte": lambda c, v, kind: c <= _literal(v, kind),
+    "$ne": lambda c, v, kind: c.isNotNull() if v is None else _negate(_equal(c, v, kind)),
     "$in": _is_in,
-    "$nin": lambda c, v: _negate(_is_in(c, v)),
-    "$exists": lambda c, v: c.isNotNull() if v else c.isNull(),
-    "$regex": lambda c, v: c.rlike(v),
+    "$nin": lambda c, v, kind: _negate(_is_in(c, v, kind)),
+    "$exists": lambda c, v, kind: c.isNotNull() if v else c.isNull(),
+    "$regex": lambda c, v, kind: c.rlike(v),
 }
 
 
-def _field(name: str, condition: Any) -> Column:
-    column = F.col(name)
+def _field(name: str, condition: Any, kinds: Mapping[str, DataType]) -> Column:
+    column, kind = F.col(name), kinds.get(name)
     operators = isinstance(condition, Mapping) and any(str(k).startswith("$") for k in condition)
     if not operators:
-        return _equal(column, condition)
+        return _equal(column, condition, kind)
     parts = []
     for operator, value in condition.items():
         if operator == "$not":
-            parts.append(_negate(_field(name, value)))
+            parts.append(_negate(_field(name, value, kinds)))
         elif operator in _COMPARE:
-            parts.append(_COMPARE[operator](column, value))
+            parts.append(_COMPARE[operator](column, value, kind))
         else:
             raise ValueError(f"unknown operator {operator!r} on {name!r}")
     return reduce(lambda a, b: a & b, parts)
 
 
-def predicate(spec: Mapping[str, Any]) -> Column:
+def predicate(spec: Mapping[str, Any], schema: StructType | None = None) -> Column:
     """Conjunction of the conditions in ``spec``.
 
     ``{"a": 1, "b": {"$gt": 2, "$lt": 5}, "$or": [{...}, {...}]}``; the value
-    ``None`` stands for a missing field.
+    ``None`` stands for a missing field.  With the ``schema`` of the rows,
+    dates are compared in the type of their column.
     """
+    kinds = {f.name: f.dataType for f in schema.fields} if schema is not None else {}
     parts = []
     for name, condition in spec.items():
         if name == "$and":
-            parts.append(reduce(lambda a, b: a & b, [predicate(s) for s in condition]))
+            parts.append(reduce(lambda a, b: a & b, [predicate(s, schema) for s in condition]))
         elif name == "$or":
-            parts.append(reduce(lambda a, b: a | b, [predicate(s) for s in condition]))
+            parts.append(reduce(lambda a, b: a | b, [predicate(s, schema) for s in condition]))
         elif name == "$nor":
-            parts.append(reduce(lambda a, b: a & b, [_negate(predicate(s)) for s in condition]))
+            parts.append(reduce(lambda a, b: a & b, [_negate(predicate(s, schema)) for s in condition]))
         elif name.startswith("$"):
             raise ValueError(f"unknown operator {name!r}")
         else:
-            parts.append(_field(name, condition))
+            parts.append(_field(name, condition, kinds))
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)

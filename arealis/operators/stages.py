@@ -16,7 +16,7 @@ from arealis.operators.skew import LargeKey
 
 def match(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
     """Rows that meet all conditions of ``spec``."""
-    return df.where(predicate(spec))
+    return df.where(predicate(spec, df.schema))
 
 
 def project(df: DataFrame, include: Sequence[str] | None = None, exclude: Sequence[str] | None = None) -> DataFrame:
@@ -46,12 +46,20 @@ def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(names))
 
 
-def sort(df: DataFrame, spec: Mapping[str, int]) -> DataFrame:
-    """Sort by the columns of ``spec``: 1 ascending (nulls first), -1 descending (nulls last)."""
-    bad = {d for d in spec.values() if d not in (1, -1)}
-    if bad or not spec:
+def sort(df: DataFrame, spec: Mapping[str, int], *, spread_ties: bool = True) -> DataFrame:
+    """Sort by the columns of ``spec``: 1 ascending (nulls first), -1 descending (nulls last).
+
+    Rows with equal sort values follow a hash of the whole row.  That makes
+    their order repeatable, and lets many rows with one sort value be sorted
+    by several tasks.
+    """
+    if not spec or set(spec.values()) - {1, -1}:
         raise ValueError("sort directions are 1 and -1")
-    return df.orderBy(*[F.asc_nulls_first(c) if d == 1 else F.desc_nulls_last(c) for c, d in spec.items()])
+    order = [F.asc_nulls_first(c) if d == 1 else F.desc_nulls_last(c) for c, d in spec.items()]
+    if not spread_ties:
+        return df.orderBy(*order)
+    ties = F.xxhash64(*sortable_columns(df))
+    return df.withColumn("_ties", ties).orderBy(*order, "_ties").drop("_ties")
 
 
 def unwind(df: DataFrame, column: str, *, keep_empty: bool = False, index: str | None = None) -> DataFrame:

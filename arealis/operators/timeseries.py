@@ -30,7 +30,7 @@ def range_average(
     out: str = "avg",
 ) -> DataFrame:
     """Average of a feature for one key over a range of days: one row, null if nothing matches."""
-    rows = df.where(predicate({key: key_value})).where(day_bounds(df, date, start, end))
+    rows = df.where(predicate({key: key_value}, df.schema)).where(day_bounds(df, date, start, end))
     return rows.agg(F.avg(feature).alias(out))
 
 
@@ -55,7 +55,7 @@ def time_bucket_agg(
     if intervals is not None:
         rows = rows.where(in_intervals(df, ts, intervals))
     if where is not None:
-        rows = rows.where(where if isinstance(where, Column) else predicate(where))
+        rows = rows.where(where if isinstance(where, Column) else predicate(where, df.schema))
     return rows.groupBy(bucket_start(df, ts, granularity).alias(out), *dims).agg(
         *[column.alias(name) for name, column in aggs.items()]
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,6 +101,21 @@ def match_operators(spark, root):
     )
 
 
+@query
+def match_dates(spark, root):
+    """Dates compared in the column's own type, absence, and a negated group."""
+    orders = load(spark, root, "orders").withColumn(
+        "big", F.when(F.col("o_totalprice") > 300_000, F.col("o_totalprice"))
+    )
+    spec = {
+        "o_orderdate": {"$gte": dt.datetime(1994, 2, 1), "$lt": dt.date(1999, 7, 1)},
+        "big": {"$exists": True, "$not": {"$gt": 450_000.0}},
+        "$nor": [{"o_orderstatus": "P"}, {"o_orderpriority": {"$regex": "LOW$"}}],
+        "$and": [{"o_custkey": {"$ne": 7}}, {"o_custkey": {"$gt": 3}}],
+    }
+    return ops.match(orders, spec).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "big")
+
+
 @query
 def drop_incomplete(spark, root):
     return ops.select_features(customer_stats(spark, root), "c_custkey", ["c_acctbal", "order_count"]).transform(
@@ -529,6 +545,26 @@ def linear_regression_iterative(spark, root):
     return models.select("l_returnflag", "total_iterations", "rmse", "r2", "intercept", "coefficients")
 
 
+@query
+def linear_regression_through_origin(spark, root):
+    """No intercept: fitted per flag, the three flags covering the whole table."""
+    models = ops.linear_regression_by_key(
+        load(spark, root, "lineitem"),
+        "l_returnflag",
+        ["l_quantity"],
+        "l_extendedprice",
+        keys=["R", "A", "N", "none"],
+        params=ops.LinearParams(fit_intercept=False, reg=0.0, solver="normal"),
+    )
+    return models.select(
+        "l_returnflag",
+        F.round("rmse", 4).alias("rmse"),
+        F.round("r2", 6).alias("r2"),
+        "intercept",
+        F.round(F.get("coefficients", F.lit(0)), 6).alias("slope"),
+    )
+
+
 @query
 def score_by_key(spark, root):
     train, test = line_split(spark, root)

@@ -69,6 +69,14 @@ WHERE l_quantity >= 5 AND l_quantity < 45 AND l_returnflag IN ('A', 'R')
   AND (l_discount > 0.05 OR l_tax <= 0.02 OR l_returnflag LIKE 'R%')
 """
 
+ORACLE["match_dates"] = """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_totalprice AS big FROM orders
+WHERE o_orderdate >= TIMESTAMP '1994-02-01' AND o_orderdate < TIMESTAMP '1999-07-01'
+  AND o_totalprice > 300000 AND NOT o_totalprice > 450000
+  AND NOT coalesce(o_orderstatus = 'P', false) AND NOT coalesce(o_orderpriority LIKE '%LOW', false)
+  AND o_custkey <> 7 AND o_custkey > 3
+"""
+
 ORACLE["drop_incomplete"] = f"""
 SELECT c_custkey, c_acctbal, order_count FROM ({_CUSTOMER_STATS}) WHERE order_count IS NOT NULL
 """
@@ -354,6 +362,19 @@ SELECT s.l_suppkey, round(sqrt(any_value(mse)), 4) AS rmse, round(any_value(slop
 FROM split s JOIN ({_LINE_MODEL}) m ON s.l_suppkey = m.l_suppkey WHERE place >= 80 GROUP BY 1
 """
 
+ORACLE["linear_regression_through_origin"] = """
+WITH model AS (
+  SELECT l_returnflag, sum(l_quantity * l_extendedprice) / sum(l_quantity * l_quantity) AS slope
+  FROM lineitem GROUP BY 1),
+fitted AS (
+  SELECT l.l_returnflag, round(sqrt(avg(pow(l_extendedprice - slope * l_quantity, 2))), 4) AS rmse,
+         round(1 - sum(pow(l_extendedprice - slope * l_quantity, 2)) / sum(l_extendedprice * l_extendedprice), 6) AS r2,
+         CAST(0 AS DOUBLE) AS intercept, round(any_value(slope), 6) AS slope
+  FROM lineitem l JOIN model m ON l.l_returnflag = m.l_returnflag GROUP BY 1)
+SELECT asked.l_returnflag, rmse, r2, intercept, slope
+FROM (VALUES ('R'), ('A'), ('N'), ('none')) asked(l_returnflag) LEFT JOIN fitted USING (l_returnflag)
+"""
+
 ORACLE["score_by_key"] = f"""
 WITH split AS ({_LINE_SPLIT})
 SELECT l_orderkey, l_linenumber, l_partkey, round(intercept + slope * l_quantity, 4) AS prediction

@@ -73,6 +73,35 @@ def test_sort_puts_nulls_first_ascending_and_last_descending(people):
         ops.sort(people, {"v": 2})
 
 
+def test_many_rows_with_one_sort_value(spark):
+    df = spark.range(2000, numPartitions=4).select((F.col("id") % 2).alias("k"), "id")
+    rows = ops.sort(df, {"k": -1})
+    got = rows.collect()
+    assert [r["k"] for r in got] == [1] * 1000 + [0] * 1000 and len({r["id"] for r in got}) == 2000
+    assert rows.columns == ["k", "id"]
+    # no task has to sort all rows of one value
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = ops.sort(df, {"k": -1}).rdd.glom().map(len).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == 2000 and max(sizes) < 1000
+    assert [r["id"] for r in ops.sort(df.repartition(3), {"k": -1}).collect()] == [r["id"] for r in got]
+
+
+def test_dates_are_compared_in_the_column_type(spark):
+    from tests.plans import plan_of
+
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    found = ops.match(orders, {"o_orderdate": {"$gte": dt.datetime(1995, 1, 1), "$lt": dt.date(1996, 1, 1)}})
+    assert "GreaterThanOrEqual(o_orderdate" in plan_of(found)
+    want = orders.where("year(o_orderdate) = 1995").count()
+    assert found.count() == want > 0
+    dates = orders.select(F.to_date("o_orderdate").alias("d"))
+    some = dates.first()["d"]
+    assert ops.match(dates, {"d": {"$in": [some]}}).count() == dates.where(F.col("d") == some).count()
+
+
 def test_unwind(spark):
     df = spark.createDataFrame([(1, [5, 6]), (2, []), (3, None)], "id int, a array<int>")
     assert sorted((r["id"], r["a"]) for r in ops.unwind(df, "a").collect()) == [(1, 5), (1, 6)]
