@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arealis.functions.predicates import predicate
 from arealis.operators.grouping import MAX_ARRAY, push, push_parts, sortable_columns
-from arealis.operators.skew import LargeKey
+from arealis.operators.skew import BLOCK, MAX_CUTS, ROWS_PER_TASK, LargeKey, order_number, with_blocks
 
 
 def match(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
@@ -153,24 +153,43 @@ def bucket(
     return df.groupBy(label.alias(out)).agg(*[c.alias(n) for n, c in accumulators.items()])
 
 
-def bucket_auto(df: DataFrame, column: str, n: int, *, accuracy: int = 10_000) -> DataFrame:
+def bucket_auto(df: DataFrame, column: str, n: int, *, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """At most ``n`` buckets with about as many rows each: bucket, min, max, count.
 
-    The cuts are approximate quantiles, merged from per-task sketches of
-    bounded size; equal values always share a bucket.
+    A value goes to bucket ``floor(n * rows before it / all rows)``, so equal
+    values share a bucket; buckets that stay empty are not numbered.  The rows
+    before a value are counted exactly: values are first combined with their
+    frequency, ranges of values are accumulated in parallel, and the ranges'
+    totals (a few thousand rows at most) are accumulated last.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    known = df.where(F.col(column).isNotNull())
-    cuts: list[Any] = []
-    if n > 1:
-        quantiles = known.agg(F.percentile_approx(column, [i / n for i in range(1, n)], accuracy).alias("q")).first()
-        cuts = sorted(set(quantiles["q"] or []))
-    value = F.col(column)
-    number = reduce(lambda a, b: a + b, [(value >= F.lit(c)).cast("int") for c in cuts], F.lit(0))
-    return known.groupBy(number.alias("bucket")).agg(
-        F.min(column).alias("min"), F.max(column).alias("max"), F.count(F.lit(1)).alias("count")
+    known = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_v"))
+    position = order_number(known, "_v")
+    if position is None:
+        raise ValueError(f"values of {column!r} have no order to cut at")
+    spans = MAX_CUTS - 1
+    quantiles = F.percentile_approx(position, [i / spans for i in range(spans + 1)], 10 * MAX_CUTS)
+    summary = known.agg(F.count(F.lit(1)).alias("n"), quantiles.alias("cuts")).first()
+    everything, cuts = max(summary["n"], 1), sorted(set(summary["cuts"] or []))
+    parts = min(64, math.ceil(everything / rows_per_task / spans))
+    ranges = [LargeKey((0,), tuple(cuts), parts)] if everything > rows_per_task and len(cuts) > 1 else []
+
+    values = known.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0))
+    placed = with_blocks(values, ["_all"], "_v", ranges).withColumn(BLOCK, F.coalesce(BLOCK, F.lit(0)))
+    totals = placed.groupBy(BLOCK).agg(F.sum("_n").alias("_sum"))
+    offsets = totals.select(BLOCK, (F.sum("_sum").over(Window.orderBy(BLOCK)) - F.col("_sum")).alias("_offset"))
+    inside = F.sum("_n").over(Window.partitionBy(BLOCK).orderBy("_v")) - F.col("_n")
+    before = F.col("_offset") + F.col("_inside")
+    number = F.floor(before * n / everything)
+    buckets = (
+        placed.withColumn("_inside", inside)
+        .join(F.broadcast(offsets), BLOCK)
+        .groupBy(number.alias("_bucket"))
+        .agg(F.min("_v").alias("min"), F.max("_v").alias("max"), F.sum("_n").alias("count"))
     )
+    dense = F.row_number().over(Window.orderBy("_bucket")) - 1
+    return buckets.select(dense.cast("bigint").alias("bucket"), "min", "max", "count")
 
 
 def sample_n(df: DataFrame, n: int, seed: int) -> DataFrame:

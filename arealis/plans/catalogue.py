@@ -244,7 +244,14 @@ def bucket(spark, root):
 
 @query
 def bucket_auto(spark, root):
-    return ops.bucket_auto(load(spark, root, "orders"), "o_totalprice", 8)
+    # ranges of at most 2,000 values are accumulated in parallel
+    return ops.bucket_auto(load(spark, root, "orders"), "o_totalprice", 8, rows_per_task=2_000)
+
+
+@query
+def bucket_auto_ties(spark, root):
+    """Fifty different values only, so that buckets hold many equal ones."""
+    return ops.bucket_auto(load(spark, root, "lineitem"), "l_quantity", 7)
 
 
 @query

@@ -153,15 +153,28 @@ def test_bucket(spark):
         ops.bucket(df, "v", [10, 0])
 
 
-def test_bucket_auto(spark):
-    df = spark.range(1000).select(F.col("id").alias("v"))
-    rows = ops.bucket_auto(df, "v", 4).orderBy("bucket").collect()
-    assert sum(r["count"] for r in rows) == 1000 and len(rows) == 4
-    assert all(abs(r["count"] - 250) <= 2 for r in rows)
-    assert all(a["max"] < b["min"] for a, b in zip(rows, rows[1:]))
-    # equal values share a bucket
-    same = ops.bucket_auto(spark.range(10).select(F.lit(3).alias("v")), "v", 5).collect()
-    assert [r["count"] for r in same] == [10]
+@pytest.mark.parametrize("rows_per_task", [30, 5_000_000])
+@pytest.mark.parametrize("n", [1, 4, 7])
+def test_bucket_auto(spark, n, rows_per_task):
+    values = [i % 100 if i < 600 else 7 for i in range(1000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v int").repartition(3)
+    want = {}
+    for v in values:
+        before = sum(1 for w in values if w < v)
+        want.setdefault(before * n // 1000, []).append(v)
+    want = [(i, min(vs), max(vs), len(vs)) for i, (_, vs) in enumerate(sorted(want.items()))]
+    got = ops.bucket_auto(df, "v", n, rows_per_task=rows_per_task).orderBy("bucket").collect()
+    assert [tuple(r) for r in got] == want
+
+
+def test_bucket_auto_edges(spark):
+    even = ops.bucket_auto(spark.range(1000), "id", 4).orderBy("bucket").collect()
+    assert [r["count"] for r in even] == [250] * 4
+    assert ops.bucket_auto(spark.range(0), "id", 4).collect() == []
+    texts = spark.createDataFrame([(c,) for c in "abcdef"], "s string")
+    assert [tuple(r) for r in ops.bucket_auto(texts, "s", 2).orderBy("bucket").collect()] == [(0, "a", "c", 3), (1, "d", "f", 3)]
+    with pytest.raises(ValueError):
+        ops.bucket_auto(spark.range(3), "id", 0)
 
 
 def test_sample(spark):
