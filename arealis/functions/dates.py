@@ -11,11 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
-# Bucket granularities, and those that are a whole number of days.
+# Bucket granularities of whole days, and shorter ones with their seconds.
 CALENDAR = ("day", "week", "month", "quarter", "year")
-CLOCK = ("second", "minute", "hour")
-MINUTE_STEPS = {"five_minute": 5, "ten_minute": 10, "fifteen_minute": 15, "thirty_minute": 30}
-GRANULARITIES = ("all", "none", *CLOCK, *MINUTE_STEPS, *CALENDAR)
+CLOCK = {
+    "second": 1,
+    "minute": 60,
+    "five_minute": 300,
+    "ten_minute": 600,
+    "fifteen_minute": 900,
+    "thirty_minute": 1800,
+    "hour": 3600,
+}
+GRANULARITIES = ("all", "none", *CLOCK, *CALENDAR)
 
 
 def parse_date(column: Column | str, pattern: str = "yyyy-MM-dd HH:mm:ss.SSS z") -> Column:
@@ -72,7 +79,8 @@ def in_intervals(df: DataFrame, column: str, intervals: Sequence[tuple[Any, Any]
 def bucket_start(df: DataFrame, column: str, granularity: str) -> Column:
     """First instant of the bucket that holds the column's value.
 
-    A ``date`` for day and longer buckets, a ``timestamp`` for shorter ones.
+    A ``date`` for day and longer buckets, the column's kind of timestamp for
+    shorter ones.
     ``all`` puts every row into one bucket, ``none`` keeps the instant itself.
     """
     grain = granularity.lower()
@@ -87,11 +95,16 @@ def bucket_start(df: DataFrame, column: str, granularity: str) -> Column:
         return moment.cast("date")
     if grain in CALENDAR:
         return F.trunc(moment.cast("date"), grain)
-    moment = moment.cast("timestamp")
     if grain == "none":
         return moment
-    if grain in MINUTE_STEPS:
-        step = MINUTE_STEPS[grain] * 60
-        seconds = F.unix_seconds(moment)
-        return F.timestamp_seconds(seconds - F.pmod(seconds, F.lit(step)))
-    return F.date_trunc(grain, moment)
+    seconds = CLOCK.get(grain)
+    if isinstance(df.schema[column].dataType, TimestampNTZType):
+        # wall-clock arithmetic, free of any time zone
+        of_day = F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)
+        since_midnight = F.make_dt_interval(secs=of_day - F.pmod(of_day, F.lit(seconds)))
+        return moment.cast("date").cast("timestamp_ntz") + since_midnight
+    moment = moment.cast("timestamp")
+    if grain in ("second", "minute", "hour"):
+        return F.date_trunc(grain, moment)
+    instant = F.unix_seconds(moment)
+    return F.timestamp_seconds(instant - F.pmod(instant, F.lit(seconds)))

@@ -1,4 +1,4 @@
-"""Deterministic row hash for train/test splits."""
+"""Deterministic row hash for splits and samples."""
 
 from __future__ import annotations
 
@@ -14,8 +14,8 @@ MODULUS = 2_147_483_647
 MULTIPLIER = 48_271
 
 
-def split_percentile(df: DataFrame, id_cols: Sequence[str]) -> Column:
-    """A number in ``0..99`` that depends only on the id columns.
+def row_hash(df: DataFrame, id_cols: Sequence[str], seed: int = 1) -> Column:
+    """A number in ``0..MODULUS-1`` that depends only on the id columns and the seed.
 
     Every id is folded in with one step of the generator and three more steps
     mix the result.  All products stay far below 2**63, and the same integer
@@ -23,7 +23,7 @@ def split_percentile(df: DataFrame, id_cols: Sequence[str]) -> Column:
     """
     if not id_cols:
         raise ValueError("at least one id column is needed")
-    state: Column = F.lit(1).cast("bigint")
+    state: Column = F.lit(seed % MODULUS).cast("bigint")
     for name in id_cols:
         value = F.col(name)
         if not isinstance(df.schema[name].dataType, IntegralType):
@@ -31,4 +31,9 @@ def split_percentile(df: DataFrame, id_cols: Sequence[str]) -> Column:
         state = F.pmod((state + F.pmod(value.cast("bigint"), F.lit(MODULUS))) * MULTIPLIER, F.lit(MODULUS))
     for _ in range(3):
         state = F.pmod(state * MULTIPLIER, F.lit(MODULUS))
-    return F.floor(state * 100 / MODULUS).cast("int")
+    return state
+
+
+def split_percentile(df: DataFrame, id_cols: Sequence[str]) -> Column:
+    """The row hash as a number in ``0..99``."""
+    return F.floor(row_hash(df, id_cols) * 100 / MODULUS).cast("int")

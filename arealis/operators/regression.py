@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -20,6 +19,10 @@ from arealis.operators.keyed import fit_by_key, for_keys, restrict_keys, spread_
 from arealis.operators.params import check_choice, check_range
 
 
+# Beyond this many features, requested keys are fitted one by one.
+MAX_MOMENT_FEATURES = 32
+
+
 @dataclass(frozen=True)
 class LinearParams:
     """Hyper-parameters; a value out of its range is an error."""
@@ -104,7 +107,9 @@ def linear_regression_by_key(
     params.validate()
     rows = df if keys is None else restrict_keys(df, key, keys)
     rows = complete_rows(rows.where(F.col(key).isNotNull()).select(key, *features, label), [*features, label], nulls)
-    if params.closed_form:
+    # with many features the covariances outgrow an aggregation row
+    wide = len(features) > MAX_MOMENT_FEATURES and keys is not None
+    if params.closed_form and not wide:
         models = _from_moments(rows.groupBy(key).agg(*_moment_columns(features, label)), key, features, params)
     elif keys is None:
         raise ValueError("this loss or penalty fits key by key and needs an explicit list of keys")
@@ -161,14 +166,10 @@ def _dot(a: Column, b: Column) -> Column:
 
 def _residual_variance(w: Column, p: int, prefix: str = "") -> Column:
     """Variance of ``y - w.x`` from moments: var(y) - 2 w.s + w.S.w."""
-    quadratic = reduce(
-        lambda a, b: a + b,
-        [
-            F.get(w, F.lit(i)) * F.get(w, F.lit(j)) * F.get(f"{prefix}cov_xx", F.lit(i * p + j))
-            for i in range(p)
-            for j in range(p)
-        ],
+    rows = F.transform(
+        F.sequence(F.lit(0), F.lit(p - 1)), lambda i: _dot(w, F.slice(f"{prefix}cov_xx", i * p + 1, F.lit(p)))
     )
+    quadratic = _dot(w, rows)
     spread = F.col(f"{prefix}var_y") - F.lit(2.0) * _dot(w, F.col(f"{prefix}cov_xy")) + quadratic
     return F.when(w.isNotNull(), F.greatest(spread, F.lit(0.0)))
 
@@ -190,7 +191,7 @@ def _from_moments(
     penalty = F.when(F.col("var_y") > 0, lam / F.sqrt("var_y")).otherwise(F.lit(0.0))
     diagonal = [F.get("cov_xx", F.lit(i * p + i)) for i in range(p)]
     extra = [d * penalty if params.standardization else penalty for d in diagonal]
-    varying = reduce(lambda a, b: a & b, [d > 0 for d in diagonal])
+    varying = F.forall(F.array(*diagonal), lambda d: d > 0)
     if p == 1:
         solved = F.array(F.get("cov_xy", F.lit(0)) / (diagonal[0] + extra[0]))
     else:

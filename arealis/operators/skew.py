@@ -59,8 +59,12 @@ def order_number(df: DataFrame, column: str) -> Column | None:
         return F.col(column).cast("double")
     if isinstance(kind, DateType):
         return F.unix_date(column).cast("double")
-    if isinstance(kind, (TimestampType, TimestampNTZType)):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(column).cast("double")
+    if isinstance(kind, TimestampNTZType):
+        # from its parts: a detour over an instant would depend on the time zone
+        minutes = (F.unix_date(F.col(column).cast("date")) * 24 + F.hour(column)) * 60 + F.minute(column)
+        return minutes * 60.0 + F.date_part(F.lit("SECOND"), column).cast("double")
     if kind.typeName() == "string":
         # the first six bytes, left-aligned, as one number below 2**48
         head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arealis.functions.predicates import predicate
+from arealis.functions.split import row_hash
 from arealis.operators.grouping import MAX_ARRAY, push, push_parts, sortable_columns
 from arealis.operators.skew import BLOCK, MAX_CUTS, ROWS_PER_TASK, LargeKey, order_number, with_blocks
 
@@ -192,8 +193,14 @@ def bucket_auto(df: DataFrame, column: str, n: int, *, rows_per_task: int = ROWS
     return buckets.select(dense.cast("bigint").alias("bucket"), "min", "max", "count")
 
 
-def sample_n(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` rows drawn at random."""
+def sample_n(df: DataFrame, n: int, seed: int, *, id_cols: Sequence[str] | None = None) -> DataFrame:
+    """``n`` rows drawn at random.
+
+    With ``id_cols`` the draw depends on the ids and the seed alone, so it is
+    the same however the rows are laid out.
+    """
     if n < 1:
         raise ValueError("n must be at least 1")
-    return df.orderBy(F.rand(seed)).limit(n)
+    if id_cols is None:
+        return df.orderBy(F.rand(seed)).limit(n)
+    return df.orderBy(row_hash(df, id_cols, seed), *id_cols).limit(n)

@@ -256,6 +256,12 @@ def bucket_auto_ties(spark, root):
 
 @query
 def sample_rows(spark, root):
+    orders = load(spark, root, "orders").select("o_orderkey", "o_totalprice")
+    return ops.sample_n(orders, 100, seed=7, id_cols=["o_orderkey"])
+
+
+@query
+def sample_rows_random(spark, root):
     return ops.sample_n(load(spark, root, "orders"), 100, seed=7).select("o_orderkey", "o_totalprice")
 
 
@@ -367,7 +373,7 @@ def time_bucket_hours(spark, root):
     hourly = ops.time_bucket_agg(
         load(spark, root, "events"), "ts", "hour", aggs={"total": F.round(F.sum("value"), 6), "n": F.count(F.lit(1))}
     )
-    return hourly.withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd HH:mm:ss"))
+    return hourly.withColumn("bucket", F.col("bucket").cast("string"))
 
 
 @query

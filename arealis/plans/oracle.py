@@ -12,13 +12,17 @@ def _step(state: str, value: str = "0") -> str:
     return f"((({state}) + (({value}) % {_M})) * {_A}) % {_M}"
 
 
-def _percentile(*ids: str) -> str:
-    state = "1::BIGINT"
+def _hash(*ids: str, seed: int = 1) -> str:
+    state = f"{seed}::BIGINT"
     for name in ids:
         state = _step(state, name)
     for _ in range(3):
         state = f"(({state}) * {_A}) % {_M}"
-    return f"(({state}) * 100) // {_M}"
+    return state
+
+
+def _percentile(*ids: str) -> str:
+    return f"(({_hash(*ids)}) * 100) // {_M}"
 
 
 _LINE_SPLIT = f"""
@@ -154,6 +158,10 @@ SELECT row_number() OVER (ORDER BY b) - 1 AS bucket, lo AS min, hi AS max, rows
 ORACLE["bucket_auto"] = _bucket_auto("orders", "o_totalprice", 8)
 ORACLE["bucket_auto_ties"] = _bucket_auto("lineitem", "l_quantity", 7)
 
+ORACLE["sample_rows"] = f"""
+SELECT o_orderkey, o_totalprice FROM orders ORDER BY {_hash("o_orderkey", seed=7)}, o_orderkey LIMIT 100
+"""
+
 ORACLE["moving_average"] = f"""
 SELECT user_id, day, round(avg, 6) AS avg FROM (
   SELECT user_id, day,

@@ -139,6 +139,17 @@ def test_closed_form_equals_the_library(spark, planted, features, reg, standardi
         assert row["objective_history"] == list(model.summary.objectiveHistory) == [0.0]
 
 
+def test_many_features(spark):
+    rng = random.Random(8)
+    names = [f"f{i}" for i in range(40)]
+    rows = [("a", *[rng.gauss(0, 1) for _ in names]) for _ in range(120)]
+    df = spark.createDataFrame(rows, ["k", *names]).withColumn("y", F.col("f0") * 3 - F.col("f39") + 1)
+    params = ops.LinearParams(reg=0.0)
+    for keys in (["a"], None):
+        row = ops.linear_regression_by_key(df, "k", names, "y", keys=keys, params=params).first()
+        assert row["coefficients"] == pytest.approx([3.0, *[0.0] * 38, -1.0], abs=1e-6)
+
+
 def test_exact_line(spark):
     df = spark.createDataFrame([("a", float(x), 2.0 * x + 1) for x in range(10)], "k string, x double, y double")
     row = ops.linear_regression_by_key(df, "k", ["x"], "y", params=ops.LinearParams(reg=0.0)).first()

@@ -184,6 +184,9 @@ def test_sample(spark):
     assert len(ops.sample_n(df, 1000, 3).collect()) == 100
     with pytest.raises(ValueError):
         ops.sample_n(df, 0, 3)
+    by_id = {r["id"] for r in ops.sample_n(df, 10, 3, id_cols=["id"]).collect()}
+    assert by_id == {r["id"] for r in ops.sample_n(df.repartition(5), 10, 3, id_cols=["id"]).collect()}
+    assert by_id != {r["id"] for r in ops.sample_n(df, 10, 4, id_cols=["id"]).collect()}
 
 
 def test_array_helpers(spark):
@@ -219,3 +222,9 @@ def test_polygon(spark):
     assert got == [(0.5, 0.5)]
     with pytest.raises(ValueError):
         inside_polygon("x", "y", [(0, 0), (1, 1), (0, 0)])
+
+
+def test_lookup_into_itself(spark):
+    df = spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, 2)], "id int, parent int")
+    rows = ops.lookup(df, df, "id", "parent", "children", fields=["id"], order=["id"]).collect()
+    assert {r["id"]: [c["id"] for c in r["children"]] for r in rows} == {1: [2, 3], 2: [4], 3: [], 4: []}

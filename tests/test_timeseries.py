@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arealis import operators as ops
+from arealis.operators.skew import order_number
 from tests.plans import plan_of
 
 
@@ -91,6 +92,21 @@ def test_granularities(spark, grain, want):
     assert got == str(want)
 
 
+def test_wall_clock_times_do_not_depend_on_the_zone(spark):
+    """02:30 does not exist on this day in New York, but may well be a stored wall-clock time."""
+    texts = ["2024-03-10 01:59:00", "2024-03-10 02:30:00", "2024-03-10 03:00:00", "2024-03-10 03:10:00.5"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").select(F.col("s").cast("timestamp_ntz").alias("t"))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        numbers = [r[0] for r in df.orderBy("t").select(order_number(df, "t")).collect()]
+        hours = ops.time_bucket_agg(df, "t", "hour", aggs={"n": F.count(F.lit(1))})
+        got = sorted((str(r["bucket"]), r["n"]) for r in hours.collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert numbers == sorted(numbers) and len(set(numbers)) == 4
+    assert got == [("2024-03-10 01:00:00", 1), ("2024-03-10 02:00:00", 1), ("2024-03-10 03:00:00", 2)]
+
+
 def test_unknown_granularity(readings):
     with pytest.raises(ValueError):
         ops.time_bucket_agg(readings, "t", "fortnight", aggs={"n": F.count(F.lit(1))})
