@@ -149,15 +149,28 @@ def with_blocks(df: DataFrame, keys: Sequence[str], order: str, large: Sequence[
         + [StructField("_cuts", ArrayType(DoubleType(), False)), StructField("_parts", IntegerType())]
     )
     steps = max(len(entry.cuts) for entry in large).bit_length()
-    padded = 2**steps - 1
-    entries = [
-        (*entry.key, [float(c) for c in entry.cuts] + [math.inf] * (padded - len(entry.cuts)), entry.parts)
-        for entry in large
-    ]
+    entries = [(*entry.key, _padded(entry.cuts, steps), entry.parts) for entry in large]
     listed = F.broadcast(df.sparkSession.createDataFrame(entries, schema))
-    rows = df.join(listed, _same_key(df, keys, names), "left").withColumns(
-        {"_place": order_number(df, order), "_span": F.lit(0)}
-    )
+    joined = df.join(listed, _same_key(df, keys, names), "left")
+    return _number_blocks(joined, order, steps).drop(*names)
+
+
+def with_ranges(df: DataFrame, order: str, cuts: Sequence[float], parts: int = 1) -> DataFrame:
+    """Add the block number, taking all rows as one large key."""
+    if len(cuts) > MAX_CUTS:
+        raise ValueError(f"at most {MAX_CUTS} cuts")
+    steps = len(cuts).bit_length()
+    padded = F.lit(_padded(cuts, steps)).cast(ArrayType(DoubleType(), False))
+    return _number_blocks(df.withColumns({"_cuts": padded, "_parts": F.lit(parts)}), order, steps)
+
+
+def _padded(cuts: Sequence[float], steps: int) -> list[float]:
+    return [float(c) for c in cuts] + [math.inf] * (2**steps - 1 - len(cuts))
+
+
+def _number_blocks(rows: DataFrame, order: str, steps: int) -> DataFrame:
+    """Replace the columns ``_cuts`` and ``_parts`` by the block number."""
+    rows = rows.withColumns({"_place": order_number(rows, order), "_span": F.lit(0)})
     # binary search for the number of cuts at or below the value
     cuts, parts, place, span = F.col("_cuts"), F.col("_parts"), F.col("_place"), F.col("_span")
     for step in (2**i for i in reversed(range(steps))):
@@ -168,7 +181,7 @@ def with_blocks(df: DataFrame, keys: Sequence[str], order: str, large: Sequence[
     within = F.coalesce(F.least(part, parts - 1), F.lit(0)).cast("int")
     # a missing order value sorts first, so it belongs to the first block
     block = F.when(cuts.isNotNull(), F.coalesce(span * parts + within, F.lit(0)))
-    return rows.withColumn(BLOCK, block).drop(*names, "_cuts", "_parts", "_place", "_span")
+    return rows.withColumn(BLOCK, block).drop("_cuts", "_parts", "_place", "_span")
 
 
 def resolve_large_keys(

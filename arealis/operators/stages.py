@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from arealis.functions.predicates import predicate
 from arealis.functions.split import row_hash
 from arealis.operators.grouping import MAX_ARRAY, push, push_parts, sortable_columns
-from arealis.operators.skew import BLOCK, MAX_CUTS, ROWS_PER_TASK, LargeKey, order_number, with_blocks
+from arealis.operators.skew import BLOCK, MAX_CUTS, ROWS_PER_TASK, LargeKey, order_number, with_ranges
 
 
 def match(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
@@ -174,10 +174,8 @@ def bucket_auto(df: DataFrame, column: str, n: int, *, rows_per_task: int = ROWS
     summary = known.agg(F.count(F.lit(1)).alias("n"), quantiles.alias("cuts")).first()
     everything, cuts = max(summary["n"], 1), sorted(set(summary["cuts"] or []))
     parts = min(64, math.ceil(everything / rows_per_task / spans))
-    ranges = [LargeKey((0,), tuple(cuts), parts)] if everything > rows_per_task and len(cuts) > 1 else []
-
-    values = known.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0))
-    placed = with_blocks(values, ["_all"], "_v", ranges).withColumn(BLOCK, F.coalesce(BLOCK, F.lit(0)))
+    values = known.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    placed = with_ranges(values, "_v", cuts if everything > rows_per_task else [], parts)
     totals = placed.groupBy(BLOCK).agg(F.sum("_n").alias("_sum"))
     offsets = totals.select(BLOCK, (F.sum("_sum").over(Window.orderBy(BLOCK)) - F.col("_sum")).alias("_offset"))
     inside = F.sum("_n").over(Window.partitionBy(BLOCK).orderBy("_v")) - F.col("_n")
