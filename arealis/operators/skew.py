@@ -157,8 +157,8 @@ def with_blocks(df: DataFrame, keys: Sequence[str], order: str, large: Sequence[
 
 def with_ranges(df: DataFrame, order: str, cuts: Sequence[float], parts: int = 1) -> DataFrame:
     """Add the block number, taking all rows as one large key."""
-    if len(cuts) > MAX_CUTS:
-        raise ValueError(f"at most {MAX_CUTS} cuts")
+    if not 0 < len(cuts) <= MAX_CUTS:
+        raise ValueError(f"between 1 and {MAX_CUTS} cuts are needed")
     steps = len(cuts).bit_length()
     padded = F.lit(_padded(cuts, steps)).cast(ArrayType(DoubleType(), False))
     return _number_blocks(df.withColumns({"_cuts": padded, "_parts": F.lit(parts)}), order, steps)

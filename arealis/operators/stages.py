@@ -175,17 +175,20 @@ def bucket_auto(df: DataFrame, column: str, n: int, *, rows_per_task: int = ROWS
     everything, cuts = max(summary["n"], 1), sorted(set(summary["cuts"] or []))
     parts = min(64, math.ceil(everything / rows_per_task / spans))
     values = known.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
-    placed = with_ranges(values, "_v", cuts if everything > rows_per_task else [], parts)
-    totals = placed.groupBy(BLOCK).agg(F.sum("_n").alias("_sum"))
-    offsets = totals.select(BLOCK, (F.sum("_sum").over(Window.orderBy(BLOCK)) - F.col("_sum")).alias("_offset"))
-    inside = F.sum("_n").over(Window.partitionBy(BLOCK).orderBy("_v")) - F.col("_n")
-    before = F.col("_offset") + F.col("_inside")
+    if everything > rows_per_task and len(cuts) > 1:
+        placed = with_ranges(values, "_v", cuts, parts)
+        totals = placed.groupBy(BLOCK).agg(F.sum("_n").alias("_sum"))
+        offsets = totals.select(BLOCK, (F.sum("_sum").over(Window.orderBy(BLOCK)) - F.col("_sum")).alias("_offset"))
+        inside = F.sum("_n").over(Window.partitionBy(BLOCK).orderBy("_v")) - F.col("_n")
+        counted = placed.withColumn("_inside", inside).join(F.broadcast(offsets), BLOCK)
+        before = F.col("_offset") + F.col("_inside")
+    else:
+        # few enough values for one task
+        counted = values.withColumn("_inside", F.sum("_n").over(Window.orderBy("_v")) - F.col("_n"))
+        before = F.col("_inside")
     number = F.floor(before * n / everything)
-    buckets = (
-        placed.withColumn("_inside", inside)
-        .join(F.broadcast(offsets), BLOCK)
-        .groupBy(number.alias("_bucket"))
-        .agg(F.min("_v").alias("min"), F.max("_v").alias("max"), F.sum("_n").alias("count"))
+    buckets = counted.groupBy(number.alias("_bucket")).agg(
+        F.min("_v").alias("min"), F.max("_v").alias("max"), F.sum("_n").alias("count")
     )
     dense = F.row_number().over(Window.orderBy("_bucket")) - 1
     return buckets.select(dense.cast("bigint").alias("bucket"), "min", "max", "count")

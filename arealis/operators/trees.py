@@ -162,7 +162,7 @@ def _fit_all(
     rows = complete_rows(placed.select(*columns, "_place"), [*features, label], nulls)
     laid_out = spread_by_size(rows, key, wanted, [*id_cols, *features, label])
     vectors = assemble(laid_out, features, keep=[key, label, "_place"], out="_features")
-    cut = round(params.train_split * 100)
+    cut = min(max(round(params.train_split * 100), 1), 99)
 
     def fit(value: Any, part: DataFrame) -> tuple | None:
         train, test = part.where(F.col("_place") < cut), part.where(F.col("_place") >= cut)

@@ -62,9 +62,6 @@ def explode_json_objects(df: DataFrame, column: str, *, out: str = "value") -> D
     # JSON text is an array exactly if it opens with a bracket, so one parse will do
     as_array = F.when(body.rlike(r"^\s*\["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
     kept = [name for name in df.columns if name != out]
-    elements = (
-        df.withColumn("_body", F.try_parse_json(as_array))
-        .where(F.col("_body").isNotNull())
-        .select(*kept, F.explode(F.expr("cast(_body as array<variant>)")).alias(out))
-    )
-    return elements.where(F.schema_of_variant(out).startswith("OBJECT"))
+    # a body that does not parse is null, and null explodes to nothing
+    elements = F.explode(F.try_parse_json(as_array).cast("array<variant>"))
+    return df.select(*kept, elements.alias(out)).where(F.schema_of_variant(out).startswith("OBJECT"))
