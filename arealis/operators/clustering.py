@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -13,7 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arealis.operators.features import as_vector, prepare_features
+from arealis.operators.features import as_vector, prepare_and_count
+from arealis.operators.keyed import MIN_ROWS_PER_PARTITION
 
 _WEIGHT = "_weight"
 
@@ -35,7 +37,7 @@ def _check(k: int, max_iter: int) -> None:
 
 
 @contextmanager
-def _weighted_points(prepared: DataFrame, partitions: int | None):
+def _weighted_points(prepared: DataFrame, n: int, partitions: int | None):
     """Distinct feature arrays with their multiplicity, kept while a model is fitted.
 
     Equal points count as one point of higher weight.  They are combined on
@@ -46,6 +48,9 @@ def _weighted_points(prepared: DataFrame, partitions: int | None):
     points = prepared.groupBy("features").agg(F.count(F.lit(1)).cast("double").alias(_WEIGHT))
     if partitions is not None:
         points = points.repartition(partitions, "features")
+    else:
+        # every iteration visits every partition: few rows, few partitions
+        points = points.coalesce(max(1, math.ceil(n / MIN_ROWS_PER_PARTITION)))
     points = as_vector(points.sortWithinPartitions("features")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield points
@@ -74,8 +79,8 @@ def kmeans(
 ) -> Clustering:
     """k-means; components: cluster, center (on the [0, 1] scale)."""
     _check(k, max_iter)
-    prepared = prepare_features(df, key, features)
-    with _weighted_points(prepared, partitions) as points:
+    prepared, n = prepare_and_count(df, key, features)
+    with _weighted_points(prepared, n, partitions) as points:
         model = KMeans(k=k, maxIter=max_iter, seed=seed, weightCol=_WEIGHT).fit(points)
     summary = {"training_cost": model.summary.trainingCost, "iterations": float(model.summary.numIter)}
     return Clustering(_predict(model, prepared, key), _centers(df, model), summary)
@@ -93,8 +98,8 @@ def bisecting_kmeans(
 ) -> Clustering:
     """Bisecting k-means; components: cluster, center (on the [0, 1] scale)."""
     _check(k, max_iter)
-    prepared = prepare_features(df, key, features)
-    with _weighted_points(prepared, partitions) as points:
+    prepared, n = prepare_and_count(df, key, features)
+    with _weighted_points(prepared, n, partitions) as points:
         model = BisectingKMeans(k=k, maxIter=max_iter, seed=seed, weightCol=_WEIGHT).fit(points)
     summary = {"training_cost": model.summary.trainingCost}
     return Clustering(_predict(model, prepared, key), _centers(df, model), summary)
@@ -112,8 +117,8 @@ def gaussian_mixture(
 ) -> Clustering:
     """Gaussian mixture; components: cluster, weight, mean, covariance."""
     _check(k, max_iter)
-    prepared = prepare_features(df, key, features)
-    with _weighted_points(prepared, partitions) as points:
+    prepared, n = prepare_and_count(df, key, features)
+    with _weighted_points(prepared, n, partitions) as points:
         model = GaussianMixture(k=k, maxIter=max_iter, seed=seed, weightCol=_WEIGHT).fit(points)
     rows = [
         (
@@ -141,7 +146,7 @@ def lda(
     and log_perplexity.
     """
     _check(k, max_iter)
-    prepared = prepare_features(df, key, features)
+    prepared, _ = prepare_and_count(df, key, features)
     corpus = as_vector(prepared).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = LDA(k=k, maxIter=max_iter, seed=seed).fit(corpus)
