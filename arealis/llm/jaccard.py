@@ -12,8 +12,9 @@ the members exactly.
   of their own.  A large group of near copies thus costs one comparison a copy.
 * Matrix: a pair above the threshold shares a token among the first few of each
   side under one order of all tokens, so only these are entered, by token:
-  which query meets which block of another group.  The order puts the most
-  frequent shingles last, so that a passage found in many documents joins none.
+  which query meets which block of another group.  The order puts shingles of
+  one class only first and the most frequent ones last, so that a passage found
+  in several documents joins none of them.
 * A block and its queries meet in one task, in parts of ``query_block``.  The
   query's overlap with the block's union bounds every overlap inside.
 
@@ -47,9 +48,12 @@ from arealis.llm.spread import (
 )
 
 RANGE_BYTES = 16 << 20
-#: shingles in at least so many documents are ordered last, at most FREQUENT of them; only speed depends on it
+#: Shingles found in several documents come late in the order, those in at least FREQUENT_FROM, up to FREQUENT of
+#: them, last.  The former are known by a bit for the first REPEATED_BITS bits of their hash, an array of fixed size;
+#: only speed depends on either.
 FREQUENT_FROM = 32
 FREQUENT = 200_000
+REPEATED_BITS = 26
 BLOCK = 256
 QUERY_BLOCK = 4096
 
@@ -110,60 +114,89 @@ def _describe(size: int):
     return run
 
 
-def _count(size: int, ranges: int):
-    """How many documents of a slice hold each shingle, by the upper 48 bits of its hash."""
+def _count(size: int, ranges: int, copies):
+    """How many documents of a slice hold each shingle, by the upper 48 bits of its hash; without known copies."""
     starts = np.array([(r << 48) // ranges for r in range(ranges)], np.uint64)
+    schema = pa.schema([("range", pa.int32()), ("shingles", pa.binary()), ("n", pa.binary())])
+
+    def summed(waiting):
+        known, n = np.unique(np.concatenate(waiting), return_counts=True)
+        cuts = [*np.searchsorted(known, starts), len(known)]
+        rows = [
+            {"range": r, "shingles": pack_sorted(known[a:b]), "n": pack_counts(n[a:b])}
+            for r, (a, b) in enumerate(zip(cuts, cuts[1:]))
+            if b > a
+        ]
+        return pa.RecordBatch.from_pylist(rows, schema)
 
     def run(batches):
+        held, waiting = 0, []
         for batch in batches:
-            held, waiting = 0, []
-            sets = _sets_of(batch, size)
-            done = False
-            while not done:
-                _, shingles = next(sets, (0, None))
-                done = shingles is None
-                if not done:
-                    waiting.append(shingles >> np.uint64(16))
-                    held += len(shingles)
-                if waiting and (done or held > 3_000_000):
-                    known, n = np.unique(np.concatenate(waiting), return_counts=True)
-                    cuts = [*np.searchsorted(known, starts), len(known)]
-                    rows = [
-                        {"range": r, "shingles": pack_sorted(known[a:b]), "n": pack_counts(n[a:b])}
-                        for r, (a, b) in enumerate(zip(cuts, cuts[1:]))
-                        if b > a
-                    ]
-                    yield pa.RecordBatch.from_pylist(rows, pa.schema([("range", pa.int32()), ("shingles", pa.binary()), ("n", pa.binary())]))
+            batch = batch.filter(pa.array(~passes(copies.value, batch.column("place").to_numpy(zero_copy_only=False))))
+            for _, shingles in _sets_of(batch, size):
+                waiting.append(shingles >> np.uint64(16))
+                held += len(shingles)
+                if held > 3_000_000:
+                    yield summed(waiting)
                     held, waiting = 0, []
+        if held:
+            yield summed(waiting)
 
     return run
 
 
+_COUNTED = "shingle bigint, n bigint, words binary, bits binary"
+
+
 def _frequent(least: int):
+    """The frequent shingles of a range, and the bits of all that occur in two documents or more."""
+
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         known, place = np.unique(np.concatenate([unpack_sorted(r["shingles"]) for r in rows]), return_inverse=True)
         n = np.bincount(place, np.concatenate([unpack(r["n"]) for r in rows]), len(known)).astype(np.int64)
+        spot = known[n > 1] >> np.uint64(48 - REPEATED_BITS)
+        words, first = np.unique(spot >> np.uint64(6), return_index=True)
+        bit = np.uint64(1) << (spot & np.uint64(63))
+        bits = np.bitwise_or.reduceat(bit, first) if len(spot) else bit
         often = n >= least
-        return pa.table({"shingle": known[often].view(np.int64), "n": n[often]})
+        shingle, count = known[often].view(np.int64).tolist(), n[often].tolist()
+        return pa.table({
+            "shingle": pa.array([None, *shingle], pa.int64()), "n": pa.array([None, *count], pa.int64()),
+            "words": pa.array([words.tobytes(), *[None] * len(shingle)], pa.binary()),
+            "bits": pa.array([bits.tobytes(), *[None] * len(shingle)], pa.binary()),
+        })
 
     return run
 
 
-def _prefixes(size: int, similar: _Similar, frequent: np.ndarray):
-    """The first tokens of each set: frequent shingles last, else by hash."""
+def _token_order(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(bits of repeated shingles, the frequent ones ascending); both of bounded size."""
+    top = counted.where("shingle is not null").orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle")
+    repeated = np.zeros(1 << (REPEATED_BITS - 6), np.uint64)
+    for row in counted.where("words is not null").select("words", "bits").toLocalIterator():
+        repeated[np.frombuffer(row["words"], np.uint64)] |= np.frombuffer(row["bits"], np.uint64)
+    return repeated, np.sort(top.toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
+
+
+def _prefixes(size: int, similar: _Similar, order):
+    """The first tokens of each set under the common order."""
 
     def run(batches):
+        repeated, frequent = order.value
         for batch in batches:
             out: list[bytes | None] = [None] * len(batch)
             for i, shingles in _sets_of(batch, size):
                 if len(shingles):
                     short = shingles >> np.uint64(16)
-                    at = np.searchsorted(frequent, short)
-                    at[at == len(frequent)] = 0
-                    often = frequent[at] == short if len(frequent) else np.zeros(len(short), bool)
-                    ordered = np.concatenate([shingles[~often], shingles[often]])
-                    out[i] = ordered[: similar.prefix(len(shingles))].tobytes()
+                    spot = short >> np.uint64(48 - REPEATED_BITS)
+                    rank = ((repeated[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1)).astype(np.int8)
+                    if len(frequent):
+                        at = np.searchsorted(frequent, short)
+                        at[at == len(frequent)] = 0
+                        rank[frequent[at] == short] = 2
+                    first = np.argsort(rank, kind="stable")[: similar.prefix(len(shingles))]
+                    out[i] = shingles[first].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "prefix"])
 
     return run
@@ -353,19 +386,23 @@ def similar_documents(
 
     # the matrix, by token, and who has to look where
     ranges = max(1, -(-size // range_bytes))
-    often = (
-        source.select("id", "text").mapInArrow(_count(shingle, ranges), "range int, shingles binary, n binary")
-        .groupBy("range").applyInArrow(_frequent(frequent_from), "shingle bigint, n bigint")
-        .orderBy(F.desc("n"), "shingle").limit(FREQUENT)
+    spark = docs.sparkSession
+    copies = described.where("n > 0").join(nodes.select("id"), "id", "left_anti")
+    copies = spark.sparkContext.broadcast(id_filter(copies, "id"))
+    counted = keep(
+        source.select("id", "text", place_column("id").alias("place"))
+        .mapInArrow(_count(shingle, ranges, copies), "range int, shingles binary, n binary")
+        .repartitionById(ranges, F.col("range")).groupBy("range").applyInArrow(_frequent(frequent_from), _COUNTED),
+        "counted",
     )
-    frequent = np.sort(often.toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
-    prefixes = source.where("id is not null").mapInArrow(_prefixes(shingle, similar, frequent), "id bigint, prefix binary")
+    order = spark.sparkContext.broadcast(_token_order(counted))
+    prefixes = source.where("id is not null").mapInArrow(_prefixes(shingle, similar, order), "id bigint, prefix binary")
     entries = (
         prefixes.where("prefix is not null").dropDuplicates(["id"]).join(members, "id")
         .mapInArrow(_entries(ranges), "range int, " + ", ".join(f"{f} binary" for f in _FIELDS))
     )
     meetings = keep(
-        entries.groupBy("range").applyInArrow(_meetings(similar), "id bigint, grp bigint, block bigint").distinct(),
+        entries.repartitionById(ranges, F.col("range")).groupBy("range").applyInArrow(_meetings(similar), "id bigint, grp bigint, block bigint").distinct(),
         "meetings",
     )
 

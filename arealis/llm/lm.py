@@ -339,7 +339,9 @@ def score_corpus(
     requests = chunks.drop("ids").mapInArrow(
         _requests(order, ranges), "range int, k int, chunk bigint, kind int, grams binary, kept binary, dev binary"
     )
-    answers = keep(requests.groupBy("range").applyInArrow(_answers, _ANSWER), "answers")
+    answers = keep(
+        requests.repartitionById(ranges * order, F.col("range")).groupBy("range").applyInArrow(_answers, _ANSWER), "answers"
+    )
     of = {r["k"]: r for r in answers.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("distinct_kept", "distinct_all", "n_kept", "n_all")]).collect()}
     roles = source.groupBy("role").count().collect()
     n_texts = {r["role"]: r["count"] for r in roles}
