@@ -15,6 +15,9 @@ the members exactly.
   which query meets which block of another group.  The order puts shingles of
   one class only first and the most frequent ones last, so that a passage found
   in several documents joins none of them.
+* First the groups at a token ask only the largest of them, and what links is
+  one group from then on; a second round lets every two remaining groups meet.
+  So documents that are all near copies of each other need no pairs.
 * A block and its queries meet in one task, in parts of ``query_block``.  The
   query's overlap with the block's union bounds every overlap inside.
 
@@ -180,12 +183,13 @@ def _token_order(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(size: int, similar: _Similar, order):
-    """The first tokens of each set under the common order."""
+    """The first tokens of each set under the common order, and the parity of all its tokens by 128 places."""
 
     def run(batches):
         repeated, frequent = order.value
         for batch in batches:
             out: list[bytes | None] = [None] * len(batch)
+            parity = np.zeros((2, len(batch)), np.uint64)
             for i, shingles in _sets_of(batch, size):
                 if len(shingles):
                     short = shingles >> np.uint64(16)
@@ -197,16 +201,22 @@ def _prefixes(size: int, similar: _Similar, order):
                         rank[frequent[at] == short] = 2
                     first = np.argsort(rank, kind="stable")[: similar.prefix(len(shingles))]
                     out[i] = shingles[first].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "prefix"])
+                    for k in (0, 1):
+                        half = shingles[(shingles >> np.uint64(6)) & np.uint64(1) == k]
+                        parity[k, i] = np.bitwise_xor.reduce(np.uint64(1) << (half & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(out, pa.binary()), *[pa.array(x.view(np.int64)) for x in parity]],
+                names=["id", "prefix", "parity0", "parity1"],
+            )
 
     return run
 
 
-_FIELDS = ("tokens", "id", "n", "grp", "size", "block")
+_FIELDS = ("tokens", "at", "id", "n", "grp", "size", "block", "parity0", "parity1")
 
 
 def _entries(ranges: int):
-    """Matrix entries by ranges of tokens: parallel arrays of token, document, its size, group, group size, block."""
+    """Matrix entries by ranges of tokens: parallel arrays of token, its place in the set, and what is known of the set."""
     starts = np.array([(r << 64) // ranges for r in range(ranges)], np.uint64)
     schema = pa.schema([("range", pa.int32()), *[(f, pa.binary()) for f in _FIELDS]])
 
@@ -217,13 +227,15 @@ def _entries(ranges: int):
                 continue
             token = np.concatenate(prefixes)
             row = np.repeat(np.arange(len(prefixes)), [len(x) for x in prefixes])
+            place = np.concatenate([np.arange(len(x)) for x in prefixes])
             order = np.argsort(token, kind="stable")
-            token, row = token[order], row[order]
+            token, row, place = token[order], row[order], place[order].astype(np.uint64)
             cuts = [*np.searchsorted(token, starts), len(token)]
-            values = [batch.column(f).to_numpy().astype(np.int64).view(np.uint64) for f in _FIELDS[1:]]
+            values = [batch.column(f).to_numpy().astype(np.int64).view(np.uint64) for f in _FIELDS[2:]]
             yield pa.RecordBatch.from_pylist(
                 [
-                    {"range": r, "tokens": pack_sorted(token[a:b])} | {f: pack(v[row[a:b]]) for f, v in zip(_FIELDS[1:], values)}
+                    {"range": r, "tokens": pack_sorted(token[a:b]), "at": pack(place[a:b])}
+                    | {f: pack(v[row[a:b]]) for f, v in zip(_FIELDS[2:], values)}
                     for r, (a, b) in enumerate(zip(cuts, cuts[1:]))
                     if b > a
                 ],
@@ -233,26 +245,43 @@ def _entries(ranges: int):
     return run
 
 
-def _meetings(similar: _Similar):
-    """Which document has to look into which block of another group: (id, grp, block), each once per range."""
+def _meetings(similar: _Similar, hubs_only: bool):
+    """Which document has to look into which block of another group: (id, grp, block), each once per range.
+
+    ``hubs_only``: of the groups at a token, all ask the largest one only.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         token = np.concatenate([unpack_sorted(r["tokens"]) for r in rows])
-        ids, n, grp, size, block = (np.concatenate([unpack(r[f]).view(np.int64) for r in rows]) for f in _FIELDS[1:])
+        at, ids, n, grp, size, block, *parity = (np.concatenate([unpack(r[f]).view(np.int64) for r in rows]) for f in _FIELDS[1:])
         order = np.lexsort((n, token))
-        token, ids, n, grp, size, block = (x[order] for x in (token, ids, n, grp, size, block))
+        token, at, ids, n, grp, size, block, *parity = (x[order] for x in (token, at, ids, n, grp, size, block, *parity))
+
+        def possible(i, j):
+            """Whether the sets can be linked, were this their first common token; by places and by parities."""
+            after = np.minimum(n[i] - at[i], n[j] - at[j])
+            differ = sum(np.bitwise_count((p[i] ^ p[j]).view(np.uint64)).astype(np.int64) for p in parity)
+            return similar.linked(np.minimum(after, (n[i] + n[j] - differ) // 2), n[i], n[j])
+
         edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         found: list[np.ndarray] = []
         for a, b in zip(edges[:-1], edges[1:]):
             if b - a < 2 or (grp[a:b] == grp[a]).all():
                 continue
+            if hubs_only:
+                hub = a + np.lexsort((grp[a:b], -size[a:b]))[0]
+                asks = a + np.flatnonzero((grp[a:b] != grp[hub]) & possible(np.arange(a, b), hub))
+                if len(asks):
+                    place = np.full(len(asks), hub)
+                    found.append(np.unique(np.stack([ids[asks], grp[place], block[place]], axis=1), axis=0))
+                continue
             # entries by rising n: i meets those after it that are not too large
             last = a + np.searchsorted(n[a:b] * similar.percent, n[a:b] * 100, side="right")
             reach = last - np.arange(a, b) - 1
             i = np.repeat(np.arange(a, b), reach)
             j = np.arange(len(i)) - np.repeat(np.cumsum(reach) - reach, reach) + i + 1
-            other = grp[i] != grp[j]
+            other = (grp[i] != grp[j]) & possible(i, j)
             i, j = i[other], j[other]
             # the smaller group asks; of equal ones, that with the smaller id
             swap = (size[i] > size[j]) | ((size[i] == size[j]) & (grp[i] > grp[j]))
@@ -373,17 +402,6 @@ def similar_documents(
         .mapInArrow(_check_pairs(similar), "a bigint, b bigint"),
         "star",
     )
-    grouped = nodes.join(star, nodes.id == star.a, "left").select(
-        nodes.id, nodes.n, F.coalesce(star.b, nodes.id).alias("grp")
-    )
-    sizes = star.groupBy("b").agg((F.count(F.lit(1)) + 1).alias("in_group"))
-    members = keep(
-        grouped.join(sizes, grouped.grp == sizes.b, "left")
-        .select("id", "n", "grp", F.coalesce("in_group", F.lit(1)).cast("bigint").alias("size"))
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / block_size)).cast("bigint")),
-        "members",
-    )
-
     # the matrix, by token, and who has to look where
     ranges = max(1, -(-size // range_bytes))
     spark = docs.sparkSession
@@ -396,35 +414,50 @@ def similar_documents(
         "counted",
     )
     order = spark.sparkContext.broadcast(_token_order(counted))
-    prefixes = source.where("id is not null").mapInArrow(_prefixes(shingle, similar, order), "id bigint, prefix binary")
-    entries = (
-        prefixes.where("prefix is not null").dropDuplicates(["id"]).join(members, "id")
-        .mapInArrow(_entries(ranges), "range int, " + ", ".join(f"{f} binary" for f in _FIELDS))
-    )
-    meetings = keep(
-        entries.repartitionById(ranges, F.col("range")).groupBy("range").applyInArrow(_meetings(similar), "id bigint, grp bigint, block bigint").distinct(),
-        "meetings",
-    )
-
-    # open the groups that qualify
-    asked = meetings.groupBy("grp", "block").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("parts"))
-    inside = members.join(asked, ["grp", "block"]).select("id", "grp", "block", "parts")
-    needed = keep(meetings.select("id").union(inside.select("id")).distinct(), "needed")
-    sets = keep(sets_for(needed), "sets")
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("bigint")
-    queries = meetings.join(asked, ["grp", "block"]).withColumn("part", part).join(
-        sets.select(F.col("id").alias("id"), F.col("shingles").alias("asked")), "id"
-    )
-    rows = inside.join(sets, "id").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    where = ["grp", "block", "part"]
-    cross = keep(
-        rows.select(*where, "id", "shingles").groupBy(*where)
-        .cogroup(queries.select(*where, "id", "asked").groupBy(*where))
-        .applyInArrow(_open_groups(similar), "a bigint, b bigint"),
-        "cross",
-    )
-
-    reached = connected_components(star.union(cross))
+    prefixes = source.where("id is not null").mapInArrow(_prefixes(shingle, similar, order), "id bigint, prefix binary, parity0 bigint, parity1 bigint")
+    prefixes = keep(prefixes.where("prefix is not null").join(nodes.select("id"), "id", "left_semi").dropDuplicates(["id"]), "prefixes")
+
+    def cross_links(reached: DataFrame, hubs_only: bool) -> DataFrame:
+        """Links between documents of different groups, where ``reached`` (node, component) makes the groups."""
+        grouped = nodes.join(reached, nodes.id == reached.node, "left").select(
+            nodes.id, nodes.n, F.coalesce("component", nodes.id).alias("grp")
+        )
+        sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+        members = keep(
+            grouped.join(sizes.where("size > 1"), "grp", "left")
+            .select("id", "n", "grp", F.coalesce("size", F.lit(1)).alias("size"))
+            .withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / block_size)).cast("bigint")),
+            "members",
+        )
+        entries = prefixes.join(members, "id").mapInArrow(
+            _entries(ranges), "range int, " + ", ".join(f"{f} binary" for f in _FIELDS)
+        )
+        found = entries.repartitionById(ranges, F.col("range")).groupBy("range").applyInArrow(
+            _meetings(similar, hubs_only), "id bigint, grp bigint, block bigint"
+        )
+        meetings = keep(found.distinct(), "meetings")
+        # open the groups that qualify
+        asked = meetings.groupBy("grp", "block").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("parts"))
+        inside = members.join(asked, ["grp", "block"]).select("id", "grp", "block", "parts")
+        needed = keep(meetings.select("id").union(inside.select("id")).distinct(), "needed")
+        sets = keep(sets_for(needed), "sets")
+        part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("bigint")
+        queries = meetings.join(asked, ["grp", "block"]).withColumn("part", part).join(
+            sets.select(F.col("id").alias("id"), F.col("shingles").alias("asked")), "id"
+        )
+        rows = inside.join(sets, "id").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+        where = ["grp", "block", "part"]
+        return keep(
+            rows.select(*where, "id", "shingles").groupBy(*where)
+            .cogroup(queries.select(*where, "id", "asked").groupBy(*where))
+            .applyInArrow(_open_groups(similar), "a bigint, b bigint"),
+            "cross",
+        )
+
+    links = star.union(cross_links(star.select(F.col("a").alias("node"), F.col("b").alias("component")), hubs_only=True))
+    reached = connected_components(links)
+    links = links.union(cross_links(reached, hubs_only=False))
+    reached = connected_components(links)
     named = classes.join(reached, classes["first"] == reached["node"], "left").select(
         *same, F.coalesce("component", "first").alias("component")
     )

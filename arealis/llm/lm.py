@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from arealis.llm import tokens
 from arealis.llm.spread import keep, pack, pack_counts, pack_sorted, text_of, total_bytes, unpack, unpack_sorted
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 #: bytes of text whose n-grams of one order share a hash range
 RANGE_BYTES = 6 << 20
 #: 1 of so many training documents is held out to learn the weights
