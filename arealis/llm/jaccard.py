@@ -50,7 +50,7 @@ from arealis.llm.spread import (
     unpack_sorted,
 )
 
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 #: Shingles found in several documents come late in the order, those in at least FREQUENT_FROM, up to FREQUENT of
 #: them, last.  The former are known by a bit for the first REPEATED_BITS bits of their hash, an array of fixed size;
 #: only speed depends on either.
@@ -139,7 +139,7 @@ def _count(size: int, ranges: int, copies):
             for _, shingles in _sets_of(batch, size):
                 waiting.append(shingles >> np.uint64(16))
                 held += len(shingles)
-                if held > 3_000_000:
+                if held > 1_500_000:
                     yield summed(waiting)
                     held, waiting = 0, []
         if held:

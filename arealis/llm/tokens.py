@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: bytes hashed at once; the arrays of the prefix sums take about 50 times as much
+HASH_BYTES = 256 << 10
 
 _ODD = 0x9E3779B97F4A7C15  # the base of the polynomial; odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -103,7 +105,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     at = 0
     while at < len(starts):
         base = starts[at]
-        to = max(int(np.searchsorted(ends, base + SLICE_BYTES, side="right")), at + 1)
+        to = max(int(np.searchsorted(ends, base + HASH_BYTES, side="right")), at + 1)
         part = data[base : ends[to - 1]]
         n = len(part) + 1
         sums = np.zeros(n, np.uint64)
