@@ -14,18 +14,20 @@ from arealis.sources.tables import load
 def count_frames(frames: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """Count the named frames: ord, name, n, ``ord`` being the place in the list.
 
-    A name given twice is counted once and answered twice.
+    A table given twice is counted once and answered twice; different tables
+    may have the same name.
     """
     if not frames:
         raise ValueError("at least one table is needed")
-    distinct = dict(frames)
+    places: dict[tuple[str, int], list[int]] = {}
+    for place, (name, df) in enumerate(frames):
+        places.setdefault((name, id(df)), []).append(place)
     counted = [
         df.agg(F.count(F.lit(1)).alias("n")).select(
-            F.explode(F.array(*[F.lit(i) for i, (other, _) in enumerate(frames) if other == name])).alias("ord"),
-            F.lit(name).alias("name"),
-            "n",
+            F.explode(F.array(*[F.lit(place) for place in at])).alias("ord"), F.lit(name).alias("name"), "n"
         )
-        for name, df in distinct.items()
+        for (name, _), at in places.items()
+        for df in [frames[at[0]][1]]
     ]
     return reduce(DataFrame.unionByName, counted)
 

@@ -47,20 +47,20 @@ def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(names))
 
 
-def sort(df: DataFrame, spec: Mapping[str, int], *, spread_ties: bool = True) -> DataFrame:
+def sort(df: DataFrame, spec: Mapping[str, int], *, tie_cols: Sequence[str] = ()) -> DataFrame:
     """Sort by the columns of ``spec``: 1 ascending (nulls first), -1 descending (nulls last).
 
-    Rows with equal sort values follow a hash of the whole row.  That makes
-    their order repeatable, and lets many rows with one sort value be sorted
-    by several tasks.
+    Rows with equal sort values follow a hash of ``tie_cols``.  That makes their
+    order repeatable, and lets many rows with one sort value be sorted by
+    several tasks.  Only the named columns are read for it; without any, rows
+    with equal sort values have no set order.
     """
     if not spec or set(spec.values()) - {1, -1}:
         raise ValueError("sort directions are 1 and -1")
     order = [F.asc_nulls_first(c) if d == 1 else F.desc_nulls_last(c) for c, d in spec.items()]
-    if not spread_ties:
+    if not tie_cols:
         return df.orderBy(*order)
-    ties = F.xxhash64(*sortable_columns(df))
-    return df.withColumn("_ties", ties).orderBy(*order, "_ties").drop("_ties")
+    return df.withColumn("_ties", F.xxhash64(*tie_cols)).orderBy(*order, "_ties").drop("_ties")
 
 
 def unwind(df: DataFrame, column: str, *, keep_empty: bool = False, index: str | None = None) -> DataFrame:
@@ -158,7 +158,8 @@ def bucket_auto(df: DataFrame, column: str, n: int, *, rows_per_task: int = ROWS
     """At most ``n`` buckets with about as many rows each: bucket, min, max, count.
 
     A value goes to bucket ``floor(n * rows before it / all rows)``, so equal
-    values share a bucket; buckets that stay empty are not numbered.  The rows
+    values share a bucket; buckets that stay empty are not numbered.  Nulls are
+    the lowest value.  The rows
     before a value are counted exactly: values are first combined with their
     frequency, ranges of values are accumulated in parallel, and the ranges'
     totals (a few thousand rows at most) are accumulated last.
@@ -172,8 +173,9 @@ def bucket_auto(df: DataFrame, column: str, n: int, *, rows_per_task: int = ROWS
     spans = MAX_CUTS - 1
     quantiles = F.percentile_approx(position, [i / spans for i in range(spans + 1)], 10 * MAX_CUTS)
     summary = known.agg(F.count(F.lit(1)).alias("n"), quantiles.alias("cuts")).first()
-    everything, cuts = max(summary["n"], 1), sorted(set(summary["cuts"] or []))
-    parts = min(64, math.ceil(everything / rows_per_task / spans))
+    nulls = df.where(F.col(column).isNull()).count()
+    everything, cuts = max(summary["n"] + nulls, 1), sorted(set(summary["cuts"] or []))
+    parts = math.ceil(everything / rows_per_task / spans)
     values = known.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
     if everything > rows_per_task and len(cuts) > 1:
         placed = with_ranges(values, "_v", cuts, parts)
@@ -186,9 +188,14 @@ def bucket_auto(df: DataFrame, column: str, n: int, *, rows_per_task: int = ROWS
         # few enough values for one task
         counted = values.withColumn("_inside", F.sum("_n").over(Window.orderBy("_v")) - F.col("_n"))
         before = F.col("_inside")
-    number = F.floor(before * n / everything)
-    buckets = counted.groupBy(number.alias("_bucket")).agg(
-        F.min("_v").alias("min"), F.max("_v").alias("max"), F.sum("_n").alias("count")
+    numbered = counted.select("_v", "_n", F.floor((before + nulls) * n / everything).alias("_bucket"))
+    if nulls:
+        lowest = df.sparkSession.range(1).select(F.lit(None).alias("_v"), F.lit(nulls).alias("_n"), F.lit(0).alias("_bucket"))
+        numbered = numbered.union(lowest)
+    # struct order puts a null first, as the least value
+    ends = F.struct("_v")
+    buckets = numbered.groupBy("_bucket").agg(
+        F.min(ends)["_v"].alias("min"), F.max(ends)["_v"].alias("max"), F.sum("_n").alias("count")
     )
     dense = F.row_number().over(Window.orderBy("_bucket")) - 1
     return buckets.select(dense.cast("bigint").alias("bucket"), "min", "max", "count")

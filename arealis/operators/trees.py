@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from arealis.functions.split import split_percentile
+from arealis.functions.split import MODULUS, row_hash
 from arealis.operators.features import assemble
 from arealis.operators.keyed import fit_by_key, for_keys, spread_by_size
 from arealis.operators.metrics import regression_metrics
@@ -158,11 +158,11 @@ def _fit_all(
     wanted = list(dict.fromkeys(keys))
     columns = list(dict.fromkeys([key, *id_cols, *features, label]))
     # the place in the split is taken from the ids as they are stored
-    placed = df.where(F.col(key).isNotNull()).withColumn("_place", split_percentile(df, id_cols))
+    placed = df.where(F.col(key).isNotNull()).withColumn("_place", row_hash(df, id_cols))
     rows = complete_rows(placed.select(*columns, "_place"), [*features, label], nulls)
     laid_out = spread_by_size(rows, key, wanted, [*id_cols, *features, label])
     vectors = assemble(laid_out, features, keep=[key, label, "_place"], out="_features")
-    cut = min(max(round(params.train_split * 100), 1), 99)
+    cut = params.train_split * MODULUS
 
     def fit(value: Any, part: DataFrame) -> tuple | None:
         train, test = part.where(F.col("_place") < cut), part.where(F.col("_place") >= cut)

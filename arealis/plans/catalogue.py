@@ -248,6 +248,13 @@ def bucket_auto(spark, root):
     return ops.bucket_auto(load(spark, root, "orders"), "o_totalprice", 8, rows_per_task=2_000)
 
 
+@query
+def bucket_auto_nulls(spark, root):
+    """One value in seven is missing."""
+    price = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("price")
+    return ops.bucket_auto(load(spark, root, "orders").select(price), "price", 5, rows_per_task=2_000)
+
+
 @query
 def bucket_auto_ties(spark, root):
     """Fifty different values only, so that buckets hold many equal ones."""

@@ -149,13 +149,16 @@ FROM orders GROUP BY 1
 def _bucket_auto(table: str, column: str, n: int) -> str:
     return f"""
 SELECT row_number() OVER (ORDER BY b) - 1 AS bucket, lo AS min, hi AS max, rows AS count FROM (
-  SELECT b, min(v) AS lo, max(v) AS hi, count(*) AS rows FROM (
-    SELECT {column} AS v, ((rank() OVER (ORDER BY {column}) - 1) * {n}) // count(*) OVER () AS b FROM {table})
+  SELECT b, CASE WHEN count(v) = count(*) THEN min(v) END AS lo, max(v) AS hi, count(*) AS rows FROM (
+    SELECT {column} AS v, ((rank() OVER (ORDER BY {column} NULLS FIRST) - 1) * {n}) // count(*) OVER () AS b FROM {table})
   GROUP BY b)
 """
 
 
 ORACLE["bucket_auto"] = _bucket_auto("orders", "o_totalprice", 8)
+ORACLE["bucket_auto_nulls"] = _bucket_auto(
+    "orders", "CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END", 5
+)
 ORACLE["bucket_auto_ties"] = _bucket_auto("lineitem", "l_quantity", 7)
 
 ORACLE["sample_rows"] = f"""

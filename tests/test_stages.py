@@ -75,18 +75,18 @@ def test_sort_puts_nulls_first_ascending_and_last_descending(people):
 
 def test_many_rows_with_one_sort_value(spark):
     df = spark.range(2000, numPartitions=4).select((F.col("id") % 2).alias("k"), "id")
-    rows = ops.sort(df, {"k": -1})
+    rows = ops.sort(df, {"k": -1}, tie_cols=["id"])
     got = rows.collect()
     assert [r["k"] for r in got] == [1] * 1000 + [0] * 1000 and len({r["id"] for r in got}) == 2000
     assert rows.columns == ["k", "id"]
     # no task has to sort all rows of one value
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        sizes = ops.sort(df, {"k": -1}).rdd.glom().map(len).collect()
+        sizes = ops.sort(df, {"k": -1}, tie_cols=["id"]).rdd.glom().map(len).collect()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert sum(sizes) == 2000 and max(sizes) < 1000
-    assert [r["id"] for r in ops.sort(df.repartition(3), {"k": -1}).collect()] == [r["id"] for r in got]
+    assert [r["id"] for r in ops.sort(df.repartition(3), {"k": -1}, tie_cols=["id"]).collect()] == [r["id"] for r in got]
 
 
 def test_dates_are_compared_in_the_column_type(spark):
@@ -158,11 +158,12 @@ def test_bucket(spark):
 def test_bucket_auto(spark, n, rows_per_task):
     values = [i % 100 if i < 600 else 7 for i in range(1000)]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v int").repartition(3)
-    want = {}
+    want = {0: [None]}  # the null comes first
     for v in values:
-        before = sum(1 for w in values if w < v)
-        want.setdefault(before * n // 1000, []).append(v)
-    want = [(i, min(vs), max(vs), len(vs)) for i, (_, vs) in enumerate(sorted(want.items()))]
+        before = sum(1 for w in values if w < v) + 1
+        want.setdefault(before * n // 1001, []).append(v)
+    ends = lambda vs: (vs[0] if vs[0] is None else min(vs), max((v for v in vs if v is not None), default=None))
+    want = [(i, *ends(vs), len(vs)) for i, (_, vs) in enumerate(sorted(want.items()))]
     got = ops.bucket_auto(df, "v", n, rows_per_task=rows_per_task).orderBy("bucket").collect()
     assert [tuple(r) for r in got] == want
 

@@ -141,6 +141,8 @@ def test_top_n_per_bucket(spark):
 
 def test_counts(spark):
     a, b = spark.range(3), spark.range(5)
+    same_name = ops.count_frames([("x", a), ("x", b)]).orderBy("ord").collect()
+    assert [r["n"] for r in same_name] == [a.count(), b.count()]
     got = ops.count_frames([("a", a), ("b", b), ("a", a)]).orderBy("ord").collect()
     assert [(r["ord"], r["name"], r["n"]) for r in got] == [(0, "a", 3), (1, "b", 5), (2, "a", 3)]
     with pytest.raises(ValueError):
