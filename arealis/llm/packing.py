@@ -66,7 +66,7 @@ class Encoder:
             known.clear()
         new = [s for s in stretches if s not in known]
         if new:
-            found = self.tokenizer.encode_batch([s.decode() for s in new], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast([s.decode() for s in new], add_special_tokens=False)
             known.update((s, np.array(e.ids, np.uint16 if max(e.ids) < 1 << 16 else np.uint32)) for s, e in zip(new, found))
         return [known[s] for s in stretches]
 
@@ -89,6 +89,10 @@ class Encoder:
         return flat[at], total[np.searchsorted(starts, offsets)]
 
 
+_WORD = ~tokens.byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
+_PUNCTUATION = ~tokens.byte_class((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+
+
 def _cuts(data: np.ndarray) -> np.ndarray:
     """Places of ASCII white space after a byte that is surely no end of a white space character."""
     space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
@@ -97,7 +101,9 @@ def _cuts(data: np.ndarray) -> np.ndarray:
     ascii_word = (before > 0x20) & (before < 0x7F)
     # Unicode white space is C2 xx, or E1, E2 or E3 and two more bytes
     other_word = (before >= 0x80) & (second != 0xC2) & ~((third >= 0xE1) & (third <= 0xE3) & (second >= 0x80))
-    return at[ascii_word | other_word]
+    # a run of letters or digits also ends before ASCII punctuation, but an apostrophe may start a contraction
+    ends = np.flatnonzero(_WORD[data[:-1]] & _PUNCTUATION[data[1:]]) + 1
+    return np.concatenate([at[ascii_word | other_word], ends])
 
 
 # ---------------------------------------------------------------- packing one pool
