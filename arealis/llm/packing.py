@@ -20,6 +20,8 @@ import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,35 +60,51 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _lookup(self, stretches: list[bytes]) -> list[np.ndarray]:
-        known = self.known
-        if len(known) > self.CACHE:
-            known.clear()
-        new = [s for s in stretches if s not in known]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start anew: ``known`` numbers the stretches, ``first`` says where the ids of each start in ``flat``."""
+        self.known: dict[bytes, int] = {}
+        self.flat, self.first = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _lookup(self, stretches: list[bytes]) -> np.ndarray:
+        """The numbers of the given distinct stretches; unknown ones are tokenised and added."""
+        if len(self.known) > self.CACHE:
+            self._forget()
+        new = [s for s in stretches if s not in self.known]
         if new:
-            found = self.tokenizer.encode_batch_fast([s.decode() for s in new], add_special_tokens=False)
-            known.update((s, np.array(e.ids, np.uint16 if max(e.ids) < 1 << 16 else np.uint32)) for s, e in zip(new, found))
-        return [known[s] for s in stretches]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([s.decode() for s in new], add_special_tokens=False)]
+            n = len(self.known)
+            self.known.update(zip(new, range(n, n + len(new))))
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.first = np.append(self.first, self.first[-1] + np.cumsum(sizes))
+            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(found), np.uint32, sizes.sum()))
+        return np.fromiter(map(self.known.__getitem__, stretches), np.int64, len(stretches))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the n + 1 offsets."""
         if not len(data):
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
-        starts = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], _cuts(data)]))
+        begins = np.zeros(len(data) + 1, bool)
+        begins[_cuts(data)] = True
+        begins[offsets] = True
+        starts = np.flatnonzero(begins[:-1])
         bounds = np.append(starts, len(data)).astype(np.int64)
         stretches = pa.Array.from_buffers(
             pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]
         ).dictionary_encode()
-        ids = self._lookup(stretches.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in ids])
-        flat, first = np.concatenate(ids).astype(np.uint32), np.cumsum(sizes) - sizes
-        which = stretches.indices.to_numpy()
-        n = sizes[which]
-        at = np.repeat(first[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        total = np.concatenate([[0], np.cumsum(n)])
-        return flat[at], total[np.searchsorted(starts, offsets)]
+        which = self._lookup(stretches.dictionary.to_pylist())[stretches.indices.to_numpy()]
+        first = self.first[which]
+        total = np.concatenate([[0], np.cumsum(self.first[which + 1] - first)])
+        n = np.diff(total)
+        at = np.repeat(first - total[:-1], n) + np.arange(total[-1])
+        return self.flat[at], total[np.searchsorted(starts, offsets)]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process, so that a stretch is tokenised once by each."""
+    return Encoder(path)
 
 
 _WORD = ~tokens.byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
@@ -210,7 +228,7 @@ def step_groups(cost: np.ndarray, padded: np.ndarray, step_tokens: int) -> np.nd
 
 def _pack_stream(path: str, windows: tuple[int, ...], pool_tokens: int, schema: pa.Schema, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(path), Packer(windows)
+        encode, packer = encoder(path).encode, Packer(windows)
         task, pools = TaskContext.get().partitionId(), 0
         waiting: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         held = 0
@@ -240,7 +258,7 @@ def _pack_stream(path: str, windows: tuple[int, ...], pool_tokens: int, schema:
             data, offsets = tokens.flatten(batch.column(1))
             for a, b in tokens.slices(offsets):
                 at = offsets[a : b + 1]
-                ids, bounds = encoder.encode(data[at[0] : at[-1]], at - at[0])
+                ids, bounds = encode(data[at[0] : at[-1]], at - at[0])
                 lengths = np.diff(bounds) + 1
                 ends = np.cumsum(lengths) - 1
                 line = np.full(len(ids) + b - a, END_ID, np.uint32)
