@@ -87,7 +87,7 @@ def document_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[
     for a, b in zip(bounds[:-1], bounds[1:]):
         n = b - a
         if n >= size:
-            yield np.unique(grams[a : b - size + 1])
+            yield tokens.distinct(grams[a : b - size + 1])
         else:
             yield tokens.hash_grams(words[a:b], n, salt=n) if n else words[:0]
 

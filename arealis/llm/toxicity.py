@@ -119,7 +119,7 @@ def _word_sets(column: pa.Array) -> Iterator[np.ndarray]:
         starts, ends, bounds = tokens.find_words(part, at - at[0], tokens.ALPHANUMERIC)
         words = tokens.hash_words(part, starts, ends)
         for lo, hi in zip(bounds[:-1], bounds[1:]):
-            yield np.unique(words[lo:hi])
+            yield tokens.distinct(words[lo:hi])
 
 
 def _sample_words(bits: np.ndarray):
