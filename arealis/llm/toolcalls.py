@@ -1,9 +1,9 @@
 """Tool calls of conversations: linked with their results, ordered, validated and written as canonical JSON.
 
 Calls and results are hash-joined by identifier.  A call comes after the calls
-it depends on: in each round the calls that wait for nothing get the next level
-(rounds = the longest chain of dependencies).  Arguments are checked against
-the JSON schema of the tool.  One canonical JSON text per call has sorted keys,
+it depends on: chains of single dependencies are followed by doubling pointers,
+and in rounds the calls with several get a level once all of these have one.
+Arguments are checked against the JSON schema of the tool.  One canonical JSON text per call has sorted keys,
 no spaces and no escapes but those JSON requires.
 
 No step gathers a conversation: one that holds most of the rows is spread like
@@ -103,35 +103,74 @@ def _finish(schemas: dict[str, dict]):
     return run
 
 
+def _paths(singles: DataFrame, scope: list[str], own: str) -> DataFrame:
+    """For each call with one dependency: the first call behind it without one or with several (``end``), and the steps there.
+
+    Pointers double in each round, so a chain of n calls takes about log2(n).
+    Rows that are not ``final`` then are in or behind a cycle.
+    """
+    keys = [*scope, own]
+    inner = singles.select(*scope, F.col(own).alias("end"), F.lit(False).alias("final"))
+    paths = keep(
+        singles.withColumnRenamed("dep", "end").join(inner, [*scope, "end"], "left")
+        .select(*keys, "end", F.lit(1).cast("bigint").alias("steps"), F.coalesce("final", F.lit(True)).alias("final")),
+        "paths",
+    )
+    for _ in range(paths.count().bit_length()):
+        if not paths.where("not final").limit(1).count():
+            break
+        behind = paths.select(*scope, F.col(own).alias("end"), F.struct("end", "steps", "final").alias("behind"))
+        longer = paths.where("not final").join(behind, [*scope, "end"]).select(
+            *keys, F.col("behind.end").alias("end"), (F.col("steps") + F.col("behind.steps")).alias("steps"), F.col("behind.final").alias("final")
+        )
+        before, paths = paths, keep(paths.where("final").union(longer), "paths")
+        drop(before)
+    return paths
+
+
 def topological_levels(calls: DataFrame, keys: list[str], depends_on: str = "depends_on") -> DataFrame:
     """``keys``, ``level``: 0 for calls that depend on no known call, else one more than the latest of those.
 
     ``keys`` ends with the call's identifier, ``depends_on`` holds identifiers
     with the same other keys.  Unknown and null identifiers are ignored.  Calls
     in or behind a cycle are left out.
+
+    Calls with one dependency are steps on a path to its end; only calls with
+    several wait in rounds, as many as the longest chain of such calls has.
     """
     *scope, own = keys
     nodes = keep(calls.select(*keys, depends_on).where(F.col(own).isNotNull()), "calls")
     known = nodes.select(*scope, F.col(own).alias("dep")).distinct()
     edges = nodes.select(*keys, F.explode(depends_on).alias("dep")).distinct()
-    waiting = keep(edges.join(known, [*scope, "dep"], "left_semi").select(*keys, "dep"), "edges")
-    ids = nodes.select(*keys).distinct()
-    ready = keep(ids.join(waiting.select(*keys).distinct(), keys, "left_anti"), "ready")
-    levels = ready.withColumn("level", F.lit(0))
-    level = 0
+    edges = keep(edges.join(known, [*scope, "dep"], "left_semi").select(*keys, "dep"), "edges")
+    counted = keep(edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("dep")), "counted")
+    paths = _paths(counted.where("n = 1").drop("n"), scope, own)
+
+    ready = nodes.select(*keys).distinct().join(counted.select(*keys), keys, "left_anti")
+    ready = keep(ready.withColumn("level", F.lit(0).cast("bigint")), "ready")
+    levels = ready
+    dep = paths.select(*scope, F.col(own).alias("dep"), F.when(F.col("final"), F.struct("end", "steps")).alias("path"))
+    waiting = edges.join(counted.where("n > 1").select(*keys), keys, "left_semi").join(dep, [*scope, "dep"], "left")
+    waiting = waiting.groupBy(*keys, F.coalesce("path.end", "dep").alias("end")).agg(F.max(1 + F.coalesce("path.steps", F.lit(0))).alias("steps"))
+    waiting = keep(waiting.withColumn("level", F.lit(None).cast("bigint")), "waiting")
     while waiting.limit(1).count():
-        level += 1
-        before = ready.select(*scope, F.col(own).alias("dep"))
-        left = keep(waiting.join(before, [*scope, "dep"], "left_anti").select(*keys, "dep"), "edges")
-        ready = keep(
-            waiting.select(*keys).distinct().join(left.select(*keys).distinct(), keys, "left_anti"), "ready"
-        )
+        came = ready.select(*scope, F.col(own).alias("end"), F.col("level").alias("from"))
+        seen = keep(
+            waiting.join(came, [*scope, "end"], "left")
+            .select(*keys, "end", "steps", F.coalesce("level", F.col("from") + F.col("steps")).alias("level")),
+            "seen",
+        )
+        done = seen.groupBy(*keys).agg(F.max("level").alias("level"), F.count_if(F.col("level").isNull()).alias("open"))
+        ready = keep(done.where("open = 0").drop("open"), "ready")
         drop(waiting)
-        waiting = left
+        waiting = keep(seen.join(ready.select(*keys), keys, "left_anti"), "waiting")
+        drop(seen)
         if not ready.limit(1).count():
             break
-        levels = levels.union(ready.withColumn("level", F.lit(level)))
-    return levels
+        levels = levels.union(ready)
+    ends = levels.withColumnRenamed(own, "end")
+    along = paths.where("final").join(ends, [*scope, "end"]).select(*keys, F.col("level") + F.col("steps"))
+    return levels.union(along).select(*keys, F.col("level").cast("int").alias("level"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, Any]]) -> DataFrame:

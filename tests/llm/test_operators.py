@@ -447,3 +447,23 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
             clean.add(i)
     got = corpus_pipeline.run(spark, root)
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == clean
+
+
+def test_levels_equal_the_longest_chains(spark):
+    """Chains, joins of chains, a cycle and what is behind it, against recursion."""
+    rng = np.random.default_rng(8)
+    deps: dict[tuple[int, str], list[str]] = {}
+    for conv in range(4):
+        for i in range(40):
+            earlier = rng.integers(0, i, min(i, int(rng.choice([0, 1, 1, 1, 3])))) if i else []
+            deps[conv, f"c{i}"] = [f"c{j}" for j in earlier]
+    deps |= {(9, f"c{i}"): [f"c{i - 1}"] for i in range(150)}  # one long chain from an unknown call
+    deps |= {(10, "a"): ["b"], (10, "b"): ["a"], (10, "d"): ["b", "e"], (10, "e"): [], (10, "f"): ["d"], (10, "g"): ["e"]}
+    calls = spark.createDataFrame([(c, k, d) for (c, k), d in deps.items()], "conv_id int, call_id string, depends_on array<string>")
+    got = {(r.conv_id, r.call_id): r.level for r in toolcalls.topological_levels(calls, ["conv_id", "call_id"]).collect()}
+
+    def level(conv, call):
+        return 1 + max((level(conv, d) for d in deps[conv, call] if (conv, d) in deps), default=-1)
+
+    expected = {k: level(*k) for k in deps if k[0] != 10} | {(10, "e"): 0, (10, "g"): 1}
+    assert got == expected
