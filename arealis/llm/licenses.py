@@ -7,8 +7,9 @@ rules: a rule is a sequence of identifiers; where it occurs it names a licence
 and takes its sentences away from later rules.  Sentences that no rule takes
 are reported.
 
-Texts are split twice, once with every line end as a break and once with line
-ends as spaces, so both a one-line notice and a wrapped licence text are seen.
+Texts are split twice, once with line ends as spaces and, inside the sentences
+that are not known so, once more with every line end as a break, so both a
+wrapped licence text and a one-line notice are seen, in one text too.
 All of it is expressions within the row: no join, no shuffle.
 """
 
@@ -73,6 +74,8 @@ MARKS = ("licens", "permission", "redistribut", "warrant", "public domain")
 
 BY_LINE = r"[.!?:]+[ \t]+|[.!?:]*[\r\n]+"
 BY_SENTENCE = r"[.!?:]+\s+|\n[ \t\r]*\n"
+#: a line that goes on after the end of a sentence
+ACROSS = r"(?s)[A-Za-z0-9].*[.!?:][\x0B\f].*[A-Za-z0-9]"
 
 
 def sequence_of(ids) -> str:
@@ -80,11 +83,25 @@ def sequence_of(ids) -> str:
     return "".join(f";{x};" for x in ids)
 
 
-def _identifiers(text: Column, pattern: str) -> Column:
+def _identifiers(text: Column) -> Column:
+    """Known sentences of both splits in text order; what both find counts once.
+
+    A break between sentences is one between lines too, so lines lie within
+    sentences.  Only punctuation right before a form feed or vertical tab ends
+    no line: the known lines across such a place come last.
+    """
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    normal = F.transform(F.split(text, pattern), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    found = F.transform(normal, lambda s: F.try_element_at(known, s))
-    return F.filter(found, lambda x: x.isNotNull())
+
+    def look(s: Column) -> Column:
+        return F.try_element_at(known, F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+
+    def both(s: Column) -> Column:
+        return F.when(look(s).isNotNull(), F.array(look(s))).otherwise(F.transform(F.split(s, BY_LINE), look))
+
+    found = F.flatten(F.transform(F.split(text, BY_SENTENCE), both))
+    across = F.filter(F.split(text, BY_LINE), lambda s: F.rlike(s, F.lit(ACROSS)))
+    across = F.when(F.rlike(text, F.lit(r"[.!?:][\x0B\f]")), F.transform(across, look)).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.concat(found, across), lambda x: x.isNotNull())
 
 
 def _matched(ids: Column) -> Column:
@@ -108,8 +125,8 @@ def _matched(ids: Column) -> Column:
 def scan_licenses(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``licence_ids`` (known sentences in text order), ``licences`` (sorted) and ``unmatched``.
 
-    ``licence_ids`` are those of the split by lines, or of the split by
-    sentences where that finds more.  ``unmatched`` are identifiers that no rule
+    ``licence_ids`` are those of the split by sentences and those of the split
+    by lines, each occurrence once.  ``unmatched`` are identifiers that no rule
     took.  Null and empty texts have none.  Existing columns of these names are
     replaced; rows are handled one by one.
     """
@@ -120,9 +137,7 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         marked = marked | F.contains(lower, F.lit(mark))
     none = F.array().cast("array<string>")
     columns = [c for c in docs.columns if c not in ("licence_ids", "licences", "unmatched")]
-    found = docs.select(*columns, F.when(marked, _identifiers(text, BY_LINE)).otherwise(none).alias("__line"), F.when(marked, _identifiers(text, BY_SENTENCE)).otherwise(none).alias("__sentence"))
-    ids = F.when(F.size("__sentence") > F.size("__line"), F.col("__sentence")).otherwise(F.col("__line"))
-    found = found.select(*columns, ids.alias("licence_ids"))
+    found = docs.select(*columns, F.when(marked, _identifiers(text)).otherwise(none).alias("licence_ids"))
     found = found.withColumn("__m", F.when(F.size("licence_ids") > 0, _matched(F.col("licence_ids"))))
     left = F.filter(F.split(F.col("__m.left"), "[;|]+"), lambda x: x != "")
     return found.select(

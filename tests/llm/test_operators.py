@@ -375,6 +375,39 @@ def test_licences(spark, empty):
     assert licenses.licence_report(empty).count() == 0
 
 
+def both_splits(text):
+    """Known sentences of the splits by line and by sentence, by position; one inside another is the same occurrence."""
+    spans = set()
+    for pattern in (licenses.BY_LINE, licenses.BY_SENTENCE):
+        cuts = [(m.start(), m.end()) for m in re.finditer(pattern, text, re.ASCII)]
+        for a, b in zip([0] + [e for _, e in cuts], [s for s, _ in cuts] + [len(text)]):
+            words = [(m.start() + a, m.end() + a) for m in re.finditer("[a-z0-9]+", text[a:b].lower())]
+            known = licenses.SENTENCES.get(" ".join(text[x:y].lower() for x, y in words))
+            if known:
+                spans.add((words[0][0], words[-1][1], known))
+    return [k for a, b, k in sorted(spans) if not any((x, y) != (a, b) and x <= a and b <= y for x, y, _ in spans)]
+
+
+def test_licences_of_both_splits(spark):
+    sentence = {v: k for k, v in licenses.SENTENCES.items()}
+    bsd = ".\n".join(sentence[x].replace(" ", "\n", 9) for x in ("BSDgrant", "BSDsource", "BSDbinary")) + "."
+    texts = [
+        "Released under the MIT License\nby A. B.\n\n" + bsd,
+        "Released under the MIT License\nby A. B.\n\n" + sentence["ISCgrant"].replace(" ", "\n") + ".",
+        bsd + "\n\nLicensed under CC BY 4.0\nby A. B.",
+        "This software is\nreleased under the MIT License.",
+        "x\nLicensed under CC BY 4.\f0\ny",
+    ]
+    rng = random.Random(9)
+    some = [sentence[x] for x in ("MITref", "ISCgrant", "CCBY4ref", "BSDgrant", "Unlicense", "GPL3ref")] + ["by a", "this work is"]
+    for _ in range(60):
+        texts.append("".join(rng.choice(some).replace(" ", rng.choice([" ", "\n", "\r\n", "- "]), rng.choice([0, 1, 99])) + rng.choice(["\n", ".\n", "\n\n", ". ", " ", "\r", ":\n \n"]) for _ in range(6)))
+    rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], DOC)
+    got = {r.doc_id: r for r in licenses.scan_licenses(rows).collect()}
+    assert [got[i].licences for i in range(3)] == [["BSD-2-Clause", "MIT"], ["ISC", "MIT"], ["BSD-2-Clause", "CC-BY-4.0"]]
+    assert [got[i].licence_ids for i in range(len(texts))] == [both_splits(t) for t in texts]
+
+
 def test_every_sentence_has_a_mark():
     assert [s for s in licenses.SENTENCES if not any(m in s for m in licenses.MARKS)] == []
 
