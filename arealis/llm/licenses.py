@@ -69,8 +69,9 @@ RULES = (
     ("Unlicense", ("Unlicense",)),
 )
 
-#: every known sentence has one of these words, so a text with none of them needs no splitting
-MARKS = ("licens", "permission", "redistribut", "warrant", "public domain")
+#: every known sentence has one of these words, so a text with none of them needs no splitting;
+#: single words only, as a text may have anything where the sentence has a space
+MARKS = ("licens", "permission", "redistribut", "warrant", "unencumbered")
 
 BY_LINE = r"[.!?:]+[ \t]+|[.!?:]*[\r\n]+"
 BY_SENTENCE = r"[.!?:]+\s+|\n[ \t\r]*\n"

@@ -412,6 +412,13 @@ def test_every_sentence_has_a_mark():
     assert [s for s in licenses.SENTENCES if not any(m in s for m in licenses.MARKS)] == []
 
 
+@pytest.mark.parametrize("space", ["\n", "-", "  "])
+def test_every_sentence_is_found_however_it_is_spaced(spark, space):
+    rows = [(i, s.replace(" ", space), None) for i, s in enumerate(licenses.SENTENCES)]
+    got = {r.doc_id: r.licence_ids for r in licenses.scan_licenses(spark.createDataFrame(rows, DOC)).collect()}
+    assert [got[i] for i in range(len(rows))] == [[x] for x in licenses.SENTENCES.values()]
+
+
 # ---------------------------------------------------------------- 10
 
 CALL = "conv_id long, call_id string, position int, tool string, arguments string, depends_on array<string>"
