@@ -49,17 +49,23 @@ class Encoder:
 
     A byte-level vocabulary never joins a character to white space before it,
     so a text may be cut before each ASCII white space character that follows
-    something else, and the ids are those of the whole.
+    something else, and the ids are those of the whole.  The texts of added
+    tokens are not cut.  With ``special`` the special ones among them get their
+    own ids, as from the tokenizer as loaded; else they are text like any other.
     """
 
     CACHE = 1_000_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, *, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        if not special:
+            self.tokenizer.encode_special_tokens = True
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
+        #: text, and whether the token also depends on what is beside it
+        self.added = [(t.content.encode(), t.single_word or t.lstrip or t.rstrip) for t in added]
         self._forget()
 
     def _forget(self) -> None:
@@ -87,6 +93,12 @@ class Encoder:
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
         begins = np.zeros(len(data) + 1, bool)
         begins[_cuts(data)] = True
+        raw = data.tobytes() if self.added else b""
+        for text, beside in self.added:
+            at = raw.find(text)
+            while at >= 0:
+                begins[at + (not beside) : at + len(text) + beside] = False
+                at = raw.find(text, at + 1)
         begins[offsets] = True
         starts = np.flatnonzero(begins[:-1])
         bounds = np.append(starts, len(data)).astype(np.int64)
@@ -104,7 +116,7 @@ class Encoder:
 @cache
 def encoder(path: str) -> Encoder:
     """One encoder for all tasks of a worker process, so that a stretch is tokenised once by each."""
-    return Encoder(path)
+    return Encoder(path, special=True)
 
 
 _WORD = ~tokens.byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
@@ -293,7 +305,8 @@ def pack_documents(
     padding: one of ``windows``, or a power of two below them), ``step_group``
     and, if asked for, ``ids``.
 
-    ``tokenizer`` is the path of a byte-level vocabulary on every machine.  A
+    ``tokenizer`` is the path of a byte-level vocabulary on every machine; ids
+    are those it gives as loaded, without special tokens around a text.  A
     null or empty text is one token, the end.  Every row is a document of its
     own, also those that repeat an id or have none; an empty table gives an
     empty result.

@@ -204,6 +204,26 @@ def test_encoder_equals_the_tokenizer_on_odd_white_space():
     assert [[*ids[a:b], 1] for a, b in zip(bounds, bounds[1:])] == token_ids(texts)
 
 
+def test_added_tokens_have_the_ids_of_the_tokenizer_as_loaded(spark, tmp_path):
+    import pyarrow as pa
+    from tokenizers import AddedToken, Tokenizer
+
+    from arealis.llm import tokens
+
+    loaded = Tokenizer.from_file(queries.tokenizer_path())
+    loaded.add_tokens([AddedToken("<x y>"), AddedToken("y>1!", single_word=True), AddedToken("[m]", lstrip=True), AddedToken("a.", rstrip=True)])
+    loaded.save(more := str(tmp_path / "more.json"))
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "<|endof", "text|>", "<x y>", "y>1!", "[m]", "a.", "foo", " ", "\n", "  ", ".", "1", "'s", "é"]
+    texts = ["a <|endoftext|> b"] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    for path in (queries.tokenizer_path(), more):
+        ids, bounds = packing.Encoder(path, special=True).encode(*tokens.flatten(pa.array(texts)))
+        want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    pieces = packing.pack_documents(spark.createDataFrame([(1, texts[0], None)], DOC), queries.tokenizer_path(), with_ids=True).collect()
+    assert [p.ids for p in pieces] == [[64, 220, 50256, 275, 1]]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packer_wastes_little(seed):
     rng = np.random.default_rng(seed)
