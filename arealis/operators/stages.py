@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -86,12 +86,15 @@ def lookup(
     order: Sequence[str] | None = None,
     max_array: int = MAX_ARRAY,
     large_keys: str | Sequence[LargeKey] | None = "auto",
+    sums: Mapping[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """Attach the matching rows of ``other`` as an array of structs.
 
     No match gives an empty array; null keys match each other.  The arrays are
     built once per key before the join.  A key with more than ``max_array``
-    matches gives several rows, numbered by ``<as_>_part``.
+    matches gives several rows, numbered by ``<as_>_part``.  With ``sums``, a
+    number of an array by name, each row of ``df`` comes once, with the sums
+    over all arrays of its key in place of the part and the array.
     """
     fields = list(fields) if fields is not None else other.columns
     order = list(order) if order is not None else [c for c in sortable_columns(other) if c != right_key]
@@ -101,6 +104,13 @@ def lookup(
     part = f"{as_}_part"
     arrays = arrays.withColumnRenamed("part", part)
     kind = arrays.schema[as_].dataType
+    if sums:
+        numbers = arrays.select("_lookup_key", *[number(F.col(as_)).alias(n) for n, number in sums.items()])
+        totals = numbers.groupBy("_lookup_key").agg(*[F.sum(n).alias(n) for n in sums])
+        return df.join(totals, df[left_key].eqNullSafe(totals["_lookup_key"]), "left").select(
+            *[df[c] for c in df.columns],
+            *[F.coalesce(totals[n], number(F.array().cast(kind))).alias(n) for n, number in sums.items()],
+        )
     return df.join(arrays, df[left_key].eqNullSafe(arrays["_lookup_key"]), "left").select(
         *[df[c] for c in df.columns],
         F.coalesce(arrays[part], F.lit(0).cast("bigint")).alias(part),

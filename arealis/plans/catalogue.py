@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from arealis import operators as ops
 from arealis.functions import int_range, normalize_key, parse_date, slice_from, window_means
+from arealis.operators.grouping import MAX_ARRAY
 from arealis.operators.skew import find_large_keys
 from arealis.sources import explode_json_objects, from_json_rows, load, stats_table, to_json_rows
 
@@ -194,10 +195,10 @@ def unwind(spark, root):
 
 
 @query
-def lookup(spark, root):
-    """Orders of every customer; the arrays are reduced to their size and sum."""
+def lookup(spark, root, max_array=MAX_ARRAY):
+    """Orders of every customer; the arrays are reduced to their size and sum, over all arrays of a customer."""
     orders = load(spark, root, "orders")
-    joined = ops.lookup(
+    return ops.lookup(
         load(spark, root, "customer").select("c_custkey", "c_nationkey"),
         orders,
         "c_custkey",
@@ -205,12 +206,11 @@ def lookup(spark, root):
         "orders",
         fields=["o_orderkey"],
         order=["o_orderkey"],
-    )
-    return joined.select(
-        "c_custkey",
-        "c_nationkey",
-        F.size("orders").cast("bigint").alias("n_orders"),
-        F.aggregate("orders", F.lit(0).cast("bigint"), lambda acc, o: acc + o["o_orderkey"]).alias("sum_keys"),
+        max_array=max_array,
+        sums={
+            "n_orders": lambda found: F.size(found).cast("bigint"),
+            "sum_keys": lambda found: F.aggregate(found, F.lit(0).cast("bigint"), lambda acc, o: acc + o["o_orderkey"]),
+        },
     )
 
 

@@ -34,5 +34,12 @@ def test_query_equals_sql(spark, con, name):
     assert _rows(got) == _rows(want)
 
 
+def test_lookup_with_small_arrays_equals_sql(spark, con):
+    df = QUERIES["lookup"](spark, ROOT, max_array=3)
+    want = con.execute(ORACLE["lookup"]).fetchall()
+    assert max(row[2] for row in want) > 3
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
