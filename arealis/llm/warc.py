@@ -29,6 +29,7 @@ PART_BYTES = 1 << 20
 LEVEL = 6
 _GZIP = 31  # zlib window bits for a gzip wrapper
 _DATE = "1970-01-01T00:00:00Z"
+_MADE = "urn:record:"  # record ids of pages that have none
 
 
 def digest_of(payload: bytes) -> str:
@@ -36,14 +37,19 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_bytes(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC record; a revisit carries no payload but names its digest and size."""
-    kind = "response" if refers_to is None else "revisit"
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, made_id: str = "") -> bytes:
+    """One WARC record; a revisit carries no payload but names its digest and size.
+
+    A page without an id goes under ``made_id``; it is a revisit that refers to
+    nothing and carries its payload.
+    """
+    kind = "response" if refers_to is None and page_id is not None else "revisit"
+    record_id = f"{_MADE}{made_id}" if page_id is None else f"urn:page:{page_id}"
     block = payload if refers_to is None else b""
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <{record_id}>",
         f"WARC-Date: {_DATE}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
@@ -91,7 +97,7 @@ def _stream(archive_bytes: int, part_bytes: int, level: int):
             others = [batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "refers_to")]
             for i, (page_id, url, digest, refers_to) in enumerate(zip(*others)):
                 packer = packer or zlib.compressobj(level, zlib.DEFLATED, _GZIP)
-                record = record_bytes(page_id, url, payloads[i].as_py(), digest, refers_to)
+                record = record_bytes(page_id, url, payloads[i].as_py(), digest, refers_to, f"{task:06d}-{number:06d}-{raw}")
                 waiting += packer.compress(record)
                 raw += len(record)
                 if raw >= archive_bytes:
@@ -121,11 +127,12 @@ def write_monolithic(
 
     Of pages with equal payloads the one with the smallest id is a response,
     the others are revisits that refer to it.  A null payload is empty; rows
-    with a null id are left out, since a record needs an id, and of rows that
-    repeat an id and payload all are written.
+    with a null id get a made-up record id and, as in the SQL, are revisits
+    that refer to nothing, with their payload.  Of rows that repeat an id and
+    payload all are written.
     """
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "utf-8")
-    rows = pages.where(F.col(id_col).isNotNull()).select(
+    rows = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"),
         F.col(url_col).cast("string").alias("url"),
         payload.alias("payload"),
@@ -193,24 +200,36 @@ class _Records:
             self.need = 0
             yield self.fields, record
 
+    def end(self, archive: str | None) -> None:
+        """Raise where the archive ends inside a record."""
+        if self.held.strip(b"\r\n"):
+            raise ValueError(f"archive {archive} ends inside a record, {len(self.held)} bytes into it")
+
 
 def _normaliser(part_bytes: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archive, inflate, records = None, None, None
+        archive, inflate, records, inside = None, None, _Records(), False  # inside: a gzip stream has begun
         content, members, part, start = bytearray(), [], 0, 0
 
         def row():
             return pa.RecordBatch.from_pylist([{"archive": archive, "part": part, "start": start, "content": bytes(content), "members": members}], _NORMAL_ARROW)
 
+        def end():
+            if inside:
+                raise ValueError(f"archive {archive} ends inside its gzip stream")
+            records.end(archive)
+
         for batch in batches:
             for name, piece in zip(batch.column("archive").to_pylist(), batch.column("content").to_pylist()):
                 if name != archive:
+                    end()
                     if members:
                         yield row()
-                    archive, inflate, records = name, zlib.decompressobj(_GZIP), _Records()
+                    archive, inflate, records, inside = name, zlib.decompressobj(_GZIP), _Records(), False
                     content, members, part, start = bytearray(), [], 0, 0
                 while piece:  # a stream may also hold several members already
                     raw = inflate.decompress(piece)
+                    inside = not inflate.eof
                     piece = inflate.unused_data if inflate.eof else b""
                     if inflate.eof:
                         inflate = zlib.decompressobj(_GZIP)
@@ -226,6 +245,7 @@ def _normaliser(part_bytes: int, level: int):
                             yield row()
                             start += len(content)
                             content, members, part = bytearray(), [], part + 1
+        end()
         if members:
             yield row()
 
@@ -239,7 +259,8 @@ def normalise(archives: DataFrame, *, part_bytes: int = PART_BYTES, level: int =
     a part) and the sidecar index (archive, part, record_id, type, offset,
     length; offsets count from the start of the archive).  An archive is read
     in the order of its parts by one task, because a gzip stream can only be
-    inflated from its start.
+    inflated from its start.  One that ends inside a record or its gzip stream
+    is an error.
     """
     ordered = archives.repartition("archive").sortWithinPartitions("archive", "part")
     stored = keep(ordered.mapInArrow(_normaliser(part_bytes, level), _NORMAL), "normalised")
@@ -256,7 +277,7 @@ _READ_ARROW = pa.schema(
 
 
 def _page(urn: str | None) -> int | None:
-    return int(urn.strip("<>").rpartition(":")[2]) if urn else None
+    return int(urn.strip("<>").rpartition(":")[2]) if urn and not urn.startswith("<" + _MADE) else None
 
 
 def _reader(with_payload: bool):
@@ -271,12 +292,14 @@ def _reader(with_payload: bool):
                     fields = parse_head(head)
                     payload = rest[: int(fields["content-length"])]
                     kind, stated = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-                    if kind == "response" and digest_of(payload) != stated:
+                    page_id = _page(fields["warc-record-id"])
+                    carried = kind == "response" or page_id is None
+                    if carried and digest_of(payload) != stated:
                         raise ValueError(f"payload of {fields['warc-record-id']} does not have its digest")
                     out.append({
-                        "page_id": _page(fields["warc-record-id"]), "payload_bytes": int(fields["x-payload-length"]),
+                        "page_id": page_id, "payload_bytes": int(fields["x-payload-length"]),
                         "payload_digest": stated, "record_type": kind, "refers_to": _page(fields.get("warc-refers-to")),
-                        "payload": payload if with_payload and kind == "response" else None,
+                        "payload": payload if with_payload and carried else None,
                     })
                 yield pa.RecordBatch.from_pylist(out, _READ_ARROW)
 
@@ -284,7 +307,7 @@ def _reader(with_payload: bool):
 
 
 def read_records(archives: DataFrame, index: DataFrame, *, with_payload: bool = True) -> DataFrame:
-    """The records that ``index`` names, each from its own gzip member; responses are checked against their digest.
+    """The records that ``index`` names, each from its own gzip member; the payloads it has are checked against their digest.
 
     A subset of the index reads that subset only.
     """

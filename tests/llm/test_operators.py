@@ -164,6 +164,31 @@ def test_warc_round_trip(spark):
     assert warc.read_records(*warc.normalise(warc.write_monolithic(pages.limit(0)))).count() == 0
 
 
+def test_warc_pages_without_id(spark):
+    rows = [(None, "u", "same"), (4, "v", "same"), (None, "w", "same"), (None, None, "alone"), (6, "x", None), (None, "y", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    stored, index = warc.normalise(warc.write_monolithic(pages, archive_bytes=300, part_bytes=100))
+    found = warc.read_records(stored, index).collect()
+    assert index.select("record_id").distinct().count() == len(rows)
+    got = collections.Counter((r.page_id, r.record_type, r.refers_to, bytes(r.payload)) for r in found)
+    assert got == collections.Counter((i, "revisit" if i is None else "response", None, (h or "").encode()) for i, _, h in rows)
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_warc_archives_that_end_too_soon(spark, compress):
+    import gzip
+
+    record = warc.record_bytes(1, "u", b"page", warc.digest_of(b"page"), None)
+    cut = gzip.compress(record * 2)[:-9] if compress else gzip.compress(record + record[:-7])
+    schema = "archive string, part int, content binary"
+    whole = ("b", 0, bytearray(gzip.compress(record)))
+    stored, _ = warc.normalise(spark.createDataFrame([whole], schema))
+    assert stored.count() == 1
+    for other in ([], [whole]):
+        with pytest.raises(Exception, match="archive a ends inside"):
+            warc.normalise(spark.createDataFrame([("a", 0, bytearray(cut)), *other], schema).coalesce(1))[1].count()
+
+
 # ---------------------------------------------------------------- 4
 
 
