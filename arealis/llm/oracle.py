@@ -113,4 +113,15 @@ ORACLE: dict[str, str] = {
            || '},"call_id":"' || a.conv_id || ':' || a.turn || '","name":"answer","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json
     FROM asked a JOIN chain c USING (conv_id, turn) LEFT JOIN answer USING (conv_id, turn)
     """,
+    "op11_difference_cover_anchors": f"""
+    WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w FROM documents),
+    spot AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM doc WHERE len(w) >= 50),
+    passage AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS s FROM spot),
+    source AS (SELECT s, min(doc_id) AS low FROM passage GROUP BY 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM passage JOIN source USING (s) WHERE low < doc_id),
+    word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM doc),
+    left_over AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM doc LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) USING (doc_id) LEFT JOIN left_over USING (doc_id)
+    """,
 }

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arealis.llm import blocks, decontaminate, jaccard, licenses, lm, packing, shards, toolcalls, toxicity, warc
+from arealis.llm import (
+    anchors,
+    blocks,
+    decontaminate,
+    jaccard,
+    licenses,
+    lm,
+    packing,
+    shards,
+    spelling,
+    toolcalls,
+    toxicity,
+    warc,
+    whitening,
+)
 from arealis.sources import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +128,21 @@ def op10_tool_calls(spark, root):
     return toolcalls.link_tool_calls(calls, results, SCHEMAS)
 
 
+@query
+def op11_difference_cover_anchors(spark, root):
+    return anchors.remove_repeats(load(spark, root, "documents"))
+
+
+@query
+def op12_spelling_variants(spark, root):
+    return spelling.spelling_variants(load(spark, root, "documents"))
+
+
+@query
+def op13_chebyshev_whitening(spark, root):
+    return whitening.whitening_report(load(spark, root, "embeddings"))
+
+
 @query
 def pipeline(spark, root):
     """All stages of ``corpus_pipeline`` over the documents."""
