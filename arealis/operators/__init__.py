@@ -30,6 +30,7 @@ from arealis.operators.grouping import (
 )
 from arealis.operators.keyed import fit_by_key, for_keys, restrict_keys
 from arealis.operators.metrics import regression_metrics
+from arealis.operators.positions import number_rows
 from arealis.operators.regression import (
     LinearParams,
     linear_metrics_by_key,
@@ -37,7 +38,6 @@ from arealis.operators.regression import (
     linear_regression_with_test,
     score_by_key,
 )
-from arealis.operators.skew import LargeKey, find_large_keys
 from arealis.operators.stages import (
     add_fields,
     bucket,

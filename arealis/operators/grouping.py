@@ -6,15 +6,13 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from arealis.operators.skew import BLOCK, LargeKey, resolve_large_keys, with_blocks
+from arealis.operators.positions import AT, COPIES, ROWS_PER_TASK, number_rows, split_runs
 
 MAX_ARRAY = 100_000
-# Room for the arrays of one block in the part number.
-_PARTS_PER_BLOCK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -93,27 +91,33 @@ def _ordered(order: Sequence[str]) -> list[str]:
 
 
 def collect_parts(
-    df: DataFrame, by: Sequence[str], element: Column, out: str, *, max_array: int, carry: str | None = None
+    rows: DataFrame, by: Sequence[str], element: Column, out: str, *, max_array: int, cut: bool, carry: str | None = None
 ) -> DataFrame:
-    """Arrays of at most ``max_array`` elements per group, block and position.
+    """Arrays of the elements at places ``part * max_array`` on: by, part, array.
 
-    ``df`` carries the block and a 0-based position ``_at`` inside it; null
-    elements are left out.  Where the position comes from a window over the
-    same columns, the grouping needs no further shuffle.  ``carry`` is a column
-    that is constant in a group and is kept.
+    ``rows`` has places and copies as of :func:`number_rows`; null elements
+    are left out.  Where the place comes from a window over the same columns,
+    the grouping needs no further shuffle.  ``carry`` is a column that is
+    constant in a group and is kept.
     """
     if max_array < 1:
         raise ValueError("max_array must be at least 1")
-    chunk = F.floor(F.col("_at") / max_array).cast("bigint")
-    row = F.when(element.isNotNull(), F.struct(F.col("_at"), element.alias("_e")))
     kept = [carry] if carry else []
+    if cut:
+        rows = split_runs(rows, by, max_array, out="part")
+    else:
+        rows = rows.withColumn("part", F.floor(F.col(AT) / max_array))
+    row = F.when(element.isNotNull(), F.struct(F.col(AT), F.col(COPIES), element.alias("_e")))
     arrays = (
-        df.select(*by, BLOCK, *kept, chunk.alias("_chunk"), row.alias("_row"))
-        .groupBy(*by, BLOCK, "_chunk")
+        rows.select(*by, F.col("part").cast("bigint").alias("part"), *kept, row.alias("_row"))
+        .groupBy(*by, "part")
         .agg(F.array_sort(F.collect_list("_row")).alias("_rows"), *[F.min(c).alias(c) for c in kept])
     )
-    part = F.coalesce(BLOCK, F.lit(0)).cast("bigint") * _PARTS_PER_BLOCK + F.col("_chunk")
-    return arrays.select(*by, part.alias("part"), *kept, F.transform("_rows", lambda r: r["_e"]).alias(out))
+    if cut:
+        whole = F.flatten(F.transform("_rows", lambda r: F.array_repeat(r["_e"], r[COPIES].cast("int"))))
+    else:
+        whole = F.transform("_rows", lambda r: r["_e"])
+    return arrays.select(*by, "part", *kept, whole.alias(out))
 
 
 def push_parts(
@@ -122,33 +126,25 @@ def push_parts(
     spec: Push,
     out: str,
     *,
-    large_keys: str | Sequence[LargeKey] | None = "auto",
+    large_keys: str | None = "auto",
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """The arrays of one :func:`push` or :func:`add_to_set`: by, part, array.
 
-    A group with more than ``max_array`` elements has several rows, in
-    ascending ``part``; a group too large for one task is also cut by the first
-    order column.  Elements are neither lost nor repeated.
+    Element i of a group is in part ``i div max_array``; a group too large for
+    one task is numbered in ranges of its order, with the same result.
     """
-    names = list(dict.fromkeys([*by, *spec.fields, *spec.order]))
+    by = list(by)
+    names = list(dict.fromkeys([*by, *spec.order, *spec.fields]))
     needed = df.select(*names)
     if spec.scalar:
         needed = needed.where(F.col(spec.fields[0]).isNotNull())
     if spec.distinct:
         needed = needed.distinct()
-    large = resolve_large_keys(needed, by, spec.order[0], large_keys)
     # fields follow the order columns, so that only equal elements are tied
-    order = [F.asc_nulls_first(c) for c in dict.fromkeys([*spec.order, *spec.fields])]
-    if large:
-        needed = with_blocks(needed, by, spec.order[0], large)
-        frame = Window.partitionBy(*by, BLOCK).orderBy(*order)
-    else:
-        frame = Window.partitionBy(*by).orderBy(*order)
-    placed = needed.withColumn("_at", F.row_number().over(frame) - 1)
-    if not large:
-        placed = placed.withColumn(BLOCK, F.lit(None).cast("int"))
+    placed, cut = number_rows(needed, by, names, large_keys=large_keys, rows_per_task=rows_per_task)
     element = F.col(spec.fields[0]) if spec.scalar else F.struct(*spec.fields)
-    return collect_parts(placed, by, element, out, max_array=spec.max_array)
+    return collect_parts(placed, by, element, out, max_array=spec.max_array, cut=cut)
 
 
 def group(
@@ -156,14 +152,17 @@ def group(
     by: str | Sequence[str],
     accumulators: Mapping[str, Accumulator],
     *,
-    large_keys: str | Sequence[LargeKey] | None = "auto",
+    large_keys: str | None = "auto",
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Group by ``by`` (nulls form a group) and compute the named accumulators.
 
     Column accumulators are combined on the map side.  With a :func:`push` or
-    :func:`add_to_set` the result also has a ``part`` column: 0 for all but
-    groups beyond ``max_array`` elements, which continue in further rows with
-    the same column accumulators.
+    :func:`add_to_set` the result also has a ``part`` column: element i of a
+    group's array is in part ``i div max_array``, in every array alike, and
+    the column accumulators, which belong to the group, stand in each part.
+    Groups with more than ``rows_per_task`` rows are numbered in ranges (see
+    :func:`number_rows`), which changes no row of the result.
     """
     by = [by] if isinstance(by, str) else list(by)
     scalars = {name: spec for name, spec in accumulators.items() if not isinstance(spec, Push)}
@@ -177,7 +176,7 @@ def group(
         base = df.select(*by).distinct()
     arrays: DataFrame | None = None
     for name, spec in pushes.items():
-        parts = push_parts(df, by, spec, name, large_keys=large_keys)
+        parts = push_parts(df, by, spec, name, large_keys=large_keys, rows_per_task=rows_per_task)
         arrays = parts if arrays is None else _join_null_safe(arrays, parts, [*by, "part"], "full")
     joined = _join_null_safe(base, arrays, by, "left")
     filled = [

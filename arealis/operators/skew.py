@@ -1,18 +1,9 @@
-"""Splitting keys that are too large for one task.
-
-A window or an ordered array is computed per key, and one key may hold a third
-of all rows.  Such keys are cut into consecutive *blocks* of their order
-column, so that no task sees more than a block.  The operators that cut a key
-put its blocks together again exactly.
-"""
+"""Ranges of a column's values, numbered so that they can be accumulated in parallel."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
-from functools import reduce
-from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,38 +11,17 @@ from pyspark.sql.types import (
     ArrayType,
     DateType,
     DoubleType,
-    IntegerType,
     NumericType,
-    StructField,
-    StructType,
     TimestampNTZType,
     TimestampType,
 )
 
 BLOCK = "_block"
 
-# Keys beyond this count are not listed: of n rows, the 4097th largest key
-# holds less than n / 4096, which is a normal share for one task.
-MAX_LISTED = 4096
-ROWS_PER_TASK = 5_000_000
-# Cuts kept per listed key.
+# Cuts at which values are divided; the spans between them are divided further.
 MAX_CUTS = 255
 
 
-@dataclass(frozen=True)
-class LargeKey:
-    """A key to cut.
-
-    ``cuts`` are ascending order values, from the smallest to the largest,
-    with about equally many rows between neighbours; the span between two
-    cuts is divided into ``parts`` of equal width.
-    """
-
-    key: tuple[Any, ...]
-    cuts: tuple[float, ...]
-    parts: int = 1
-
-
 def order_number(df: DataFrame, column: str) -> Column | None:
     """A number that grows with the column's value, or None if it has none."""
     kind = df.schema[column].dataType
@@ -72,89 +42,6 @@ def order_number(df: DataFrame, column: str) -> Column | None:
     return None
 
 
-def _same_key(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(df[k]) for n, k in zip(names, keys)])
-
-
-def find_large_keys(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    *,
-    rows_per_task: int = ROWS_PER_TASK,
-    max_listed: int = MAX_LISTED,
-) -> list[LargeKey]:
-    """Keys with more than ``rows_per_task`` rows, largest first, and where to cut them.
-
-    One job counts the rows per key; counts are combined on the map side, so a
-    large key costs no more than any other, and at most ``max_listed`` rows
-    reach the driver.  Only if there are large keys, a second job takes
-    approximate quantiles of their order column, so that the blocks hold
-    similar numbers of rows even where rows come in bursts.
-
-    The list decides only *where* keys are cut; a key left out of it is still
-    computed in full.
-    """
-    position = order_number(df, order)
-    if position is None:
-        return []
-    needed = df.select(*keys, position.alias("_at"))
-    sizes = (
-        needed.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > rows_per_task)
-        .orderBy(F.desc("_n"))
-        .limit(max_listed)
-        .collect()
-    )
-    if not sizes:
-        return []
-    names = [f"_key{i}" for i in range(len(keys))]
-    schema = StructType([StructField(n, df.schema[k].dataType) for n, k in zip(names, keys)])
-    entries = [tuple(row[k] for k in keys) for row in sizes]
-    listed = F.broadcast(df.sparkSession.createDataFrame(entries, schema))
-    blocks = {entry: math.ceil(row["_n"] / rows_per_task) for entry, row in zip(entries, sizes)}
-    spans = min(MAX_CUTS - 1, max(blocks.values()))
-    quantiles = F.percentile_approx("_at", [i / spans for i in range(spans + 1)], 10 * MAX_CUTS)
-    cuts = {
-        tuple(row[k] for k in keys): row["_cuts"]
-        for row in needed.join(listed, _same_key(needed, keys, names), "left_semi")
-        .groupBy(*keys)
-        .agg(quantiles.alias("_cuts"))
-        .collect()
-    }
-    found = []
-    for entry in entries:
-        wanted = min(spans, blocks[entry])
-        picked = sorted({cuts[entry][round(i * spans / wanted)] for i in range(wanted + 1)} if cuts[entry] else set())
-        if len(picked) > 1:
-            found.append(LargeKey(entry, tuple(picked), math.ceil(blocks[entry] / spans)))
-    return found
-
-
-def with_blocks(df: DataFrame, keys: Sequence[str], order: str, large: Sequence[LargeKey]) -> DataFrame:
-    """Add the block number, which grows with the order column; null for keys that are not cut.
-
-    ``large`` has at most ``MAX_LISTED`` entries of at most ``MAX_CUTS`` cuts,
-    so it is always small enough to broadcast, and adding the number moves no
-    row.
-    """
-    if not large:
-        return df.withColumn(BLOCK, F.lit(None).cast("int"))
-    if len(large) > MAX_LISTED or any(len(entry.cuts) > MAX_CUTS for entry in large):
-        raise ValueError(f"at most {MAX_LISTED} keys with {MAX_CUTS} cuts each can be cut")
-    names = [f"_key{i}" for i in range(len(keys))]
-    schema = StructType(
-        [StructField(n, df.schema[k].dataType) for n, k in zip(names, keys)]
-        + [StructField("_cuts", ArrayType(DoubleType(), False)), StructField("_parts", IntegerType())]
-    )
-    steps = max(len(entry.cuts) for entry in large).bit_length()
-    entries = [(*entry.key, _padded(entry.cuts, steps), entry.parts) for entry in large]
-    listed = F.broadcast(df.sparkSession.createDataFrame(entries, schema))
-    joined = df.join(listed, _same_key(df, keys, names), "left")
-    return _number_blocks(joined, order, steps).drop(*names)
-
-
 def with_ranges(df: DataFrame, order: str, cuts: Sequence[float], parts: int = 1) -> DataFrame:
     """Add the block number, taking all rows as one large key."""
     if not 0 < len(cuts) <= MAX_CUTS:
@@ -182,16 +69,3 @@ def _number_blocks(rows: DataFrame, order: str, steps: int) -> DataFrame:
     # a missing order value sorts first, so it belongs to the first block
     block = F.when(cuts.isNotNull(), F.coalesce(span * parts + within, F.lit(0)))
     return rows.withColumn(BLOCK, block).drop("_cuts", "_parts", "_place", "_span")
-
-
-def resolve_large_keys(
-    df: DataFrame, keys: Sequence[str], order: str, large: str | Sequence[LargeKey] | None, **limits: int
-) -> list[LargeKey]:
-    """``"auto"`` measures the keys, None cuts none, a list is used as given."""
-    if large is None:
-        return []
-    if large == "auto":
-        return find_large_keys(df, keys, order, **limits)
-    if isinstance(large, str):
-        raise ValueError(f"large_keys must be 'auto', None or a list, not {large!r}")
-    return list(large)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from arealis.functions.predicates import predicate
 from arealis.functions.split import row_hash
 from arealis.operators.grouping import MAX_ARRAY, push, push_parts, sortable_columns
-from arealis.operators.skew import BLOCK, MAX_CUTS, ROWS_PER_TASK, LargeKey, order_number, with_ranges
+from arealis.operators.positions import ROWS_PER_TASK
+from arealis.operators.skew import BLOCK, MAX_CUTS, order_number, with_ranges
 
 
 def match(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
@@ -85,22 +86,27 @@ def lookup(
     fields: Sequence[str] | None = None,
     order: Sequence[str] | None = None,
     max_array: int = MAX_ARRAY,
-    large_keys: str | Sequence[LargeKey] | None = "auto",
+    large_keys: str | None = "auto",
+    rows_per_task: int = ROWS_PER_TASK,
     sums: Mapping[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """Attach the matching rows of ``other`` as an array of structs.
 
-    No match gives an empty array; null keys match each other.  The arrays are
-    built once per key before the join.  A key with more than ``max_array``
-    matches gives several rows, numbered by ``<as_>_part``.  With ``sums``, a
-    number of an array by name, each row of ``df`` comes once, with the sums
-    over all arrays of its key in place of the part and the array.
+    No match gives an empty array; null keys match each other.  ``other`` is
+    first reduced to the keys that ``df`` has, and the arrays are built once
+    per key before the join.  Rows are (row of ``df``, part): match i of a key
+    is in part ``i div max_array``, in the column ``<as_>_part``, so a key with
+    more matches gives its rows several times.  With ``sums``, a number of an
+    array by name, each row of ``df`` comes once, with the sums over all
+    arrays of its key in place of the part and the array.
     """
     fields = list(fields) if fields is not None else other.columns
     order = list(order) if order is not None else [c for c in sortable_columns(other) if c != right_key]
+    wanted = df.select(F.col(left_key).alias("_wanted")).distinct()
     keyed = other.withColumn("_lookup_key", F.col(right_key))
+    keyed = keyed.join(wanted, keyed["_lookup_key"].eqNullSafe(wanted["_wanted"]), "left_semi")
     spec = push(fields, order or ["_lookup_key"], max_array=max_array)
-    arrays = push_parts(keyed, ["_lookup_key"], spec, as_, large_keys=large_keys)
+    arrays = push_parts(keyed, ["_lookup_key"], spec, as_, large_keys=large_keys, rows_per_task=rows_per_task)
     part = f"{as_}_part"
     arrays = arrays.withColumnRenamed("part", part)
     kind = arrays.schema[as_].dataType

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from arealis import operators as ops
 from arealis.functions import int_range, normalize_key, parse_date, slice_from, window_means
 from arealis.operators.grouping import MAX_ARRAY
-from arealis.operators.skew import find_large_keys
 from arealis.sources import explode_json_objects, from_json_rows, load, stats_table, to_json_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,6 +163,25 @@ def group_push(spark, root):
     )
 
 
+@query
+def group_push_cut(spark, root):
+    """Line items of each supplier's return flag: three keys hold everything, in arrays of 100 elements."""
+    pushed = ops.group(
+        load(spark, root, "lineitem"),
+        "l_returnflag",
+        {
+            "n": ops.rows(),
+            "lines": ops.push(["l_orderkey", "l_linenumber"], ["l_shipdate", "l_orderkey", "l_linenumber"], max_array=100),
+            "prices": ops.push("l_extendedprice", ["l_shipdate", "l_orderkey", "l_linenumber"], max_array=100),
+        },
+        rows_per_task=1_500,
+    )
+    both = pushed.select("l_returnflag", "part", "n", F.explode(F.arrays_zip("lines", "prices")).alias("e"))
+    return both.select(
+        "l_returnflag", "part", "n", "e.lines.l_orderkey", "e.lines.l_linenumber", F.col("e.prices").alias("l_extendedprice")
+    )
+
+
 @query
 def group_add_to_set(spark, root):
     sets = ops.group(load(spark, root, "lineitem"), "l_suppkey", {"flags": ops.add_to_set("l_returnflag")})
@@ -286,11 +304,10 @@ def moving_average(spark, root):
 
 @query
 def moving_average_large_keys(spark, root):
-    """Five keys hold all events, so each of them is cut into blocks."""
+    """Five keys hold all events, so they are computed in ranges of their order."""
     events = load(spark, root, "events")
-    large = find_large_keys(events, ["event_type"], "ts", rows_per_task=1_000)
     averaged = ops.moving_average(
-        events, "event_type", "ts", "value", 25, tie_breakers=["event_id"], large_keys=large
+        events, "event_type", "ts", "value", 25, tie_breakers=["event_id"], rows_per_task=1_000
     )
     return averaged.select("event_type", "ts", F.round("avg", 6).alias("avg"))
 
@@ -310,6 +327,24 @@ def moving_average_docs(spark, root):
     )
 
 
+@query
+def moving_average_docs_cut(spark, root):
+    """Averages over the events of each type, in documents of 200 windows; no task holds a type."""
+    events = load(spark, root, "events")
+    docs = ops.moving_average_docs(
+        events, "event_type", "ts", "value", 25, tie_breakers=["event_id"], rows_per_task=1_000, max_array=200
+    )
+    return ops.unwind(docs, "movingAverages", keep_empty=True, index="place").select(
+        "event_type",
+        "part",
+        "numDays",
+        "startDate",
+        F.col("place").cast("bigint").alias("place"),
+        F.col("movingAverages.date").alias("date"),
+        F.round("movingAverages.avg", 6).alias("avg"),
+    )
+
+
 @query
 def requested_keys(spark, root):
     """Every nation asked for, one twice, and two that do not exist."""

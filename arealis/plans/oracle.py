@@ -106,6 +106,12 @@ SELECT o_custkey, 0::BIGINT AS part, count(*) OVER (PARTITION BY o_custkey) AS n
 FROM orders
 """
 
+ORACLE["group_push_cut"] = """
+SELECT l_returnflag, (row_number() OVER w - 1) // 100 AS part, count(*) OVER (PARTITION BY l_returnflag) AS n,
+       l_orderkey, l_linenumber, l_extendedprice
+FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber)
+"""
+
 ORACLE["group_add_to_set"] = """
 SELECT l_suppkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY 1
 """
@@ -195,6 +201,17 @@ SELECT s.user_id, 0::BIGINT AS part, 7 AS "numDays", s.start AS "startDate", w.r
 FROM starts s LEFT JOIN (SELECT * FROM windows WHERE rn >= 7) w ON s.user_id = w.user_id
 """
 
+ORACLE["moving_average_docs_cut"] = """
+WITH windows AS (
+  SELECT event_type, ts, min(ts) OVER (PARTITION BY event_type) AS start,
+         avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS avg,
+         row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn
+  FROM events)
+SELECT event_type, (rn - 25) // 200 AS part, 25 AS "numDays", start AS "startDate", (rn - 25) % 200 AS place,
+       ts AS date, round(avg, 6) AS avg
+FROM windows WHERE rn >= 25
+"""
+
 ORACLE["requested_keys"] = """
 WITH asked AS (
   SELECT CAST(i - 1 AS INTEGER) AS ord, CAST(keys[i] AS INTEGER) AS c_nationkey FROM (

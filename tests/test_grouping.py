@@ -49,8 +49,8 @@ def test_push_is_whole_and_ordered(spark, rows_per_task, max_array):
     rng = random.Random(5)
     rows = [(rng.choice(["hot", "hot", "b", None]), rng.randrange(1000), i) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, o int, v int").repartition(3)
-    large = ops.find_large_keys(df, ["k"], "o", rows_per_task=rows_per_task) if rows_per_task else None
-    got = pushed(ops.group(df, "k", {"n": ops.rows(), "vs": ops.push(["v"], ["o", "v"], max_array=max_array)}, large_keys=large))
+    cut = {"rows_per_task": rows_per_task} if rows_per_task else {"large_keys": None}
+    got = pushed(ops.group(df, "k", {"n": ops.rows(), "vs": ops.push(["v"], ["o", "v"], max_array=max_array)}, **cut))
     want = {}
     for k, o, v in sorted(rows, key=lambda r: (r[1], r[2])):
         want.setdefault(k, []).append(v)
@@ -72,9 +72,8 @@ def test_two_pushes_and_a_set(spark):
 def test_two_pushes_with_a_cut_key(spark):
     rows = [("a", i, i % 3) for i in range(50)]
     df = spark.createDataFrame(rows, "k string, o int, v int")
-    large = ops.find_large_keys(df, ["k"], "o", rows_per_task=10)
     got = ops.group(
-        df, "k", {"vs": ops.push("v", ["o"], max_array=4), "set": ops.add_to_set("v"), "n": ops.rows()}, large_keys=large
+        df, "k", {"vs": ops.push("v", ["o"], max_array=4), "set": ops.add_to_set("v"), "n": ops.rows()}, rows_per_task=10
     ).orderBy("part")
     rows_out = got.collect()
     assert [v for r in rows_out for v in r["vs"]] == [i % 3 for i in range(50)]
@@ -90,3 +89,39 @@ def test_sort_by_count(spark):
 def test_column_accumulators_take_columns(spark):
     df = spark.range(10).withColumn("k", F.lit(1))
     assert ops.group(df, "k", {"s": ops.total(F.col("id") * 2)}).first()["s"] == 90
+
+
+COPIES = [("hot", 1, 7)] * 90 + [("hot", 2, None)] * 25 + [("b", i, i) for i in range(6)] + [(None, 3, 1)] * 14 + [("e", 1, None)]
+
+
+@pytest.mark.parametrize("max_array", [1, 4, 50])
+def test_cut_and_uncut_groups_are_the_same_rows(spark, max_array):
+    df = spark.createDataFrame(COPIES, "k string, o int, v int").repartition(5)
+    pushes = {
+        "n": ops.rows(),
+        "vs": ops.push("v", ["o"], max_array=max_array),
+        "docs": ops.push(["v", "o"], ["o"], max_array=max_array),
+        "set": ops.add_to_set("o", max_array=max_array),
+    }
+    key = lambda r: (str(r["k"]), r["part"])
+    runs = [sorted(ops.group(df, "k", pushes, rows_per_task=n).collect(), key=key) for n in (1, 3, 10, 64, 1000)]
+    assert all(run == runs[0] for run in runs)
+    whole = {}
+    for r in runs[0]:
+        whole.setdefault(r["k"], ([], [], []))
+        for column, values in zip(whole[r["k"]], (r["vs"], r["docs"], r["set"])):
+            column += values
+    rank = lambda r: (r[1], r[2] is not None, r[2])
+    for k, (vs, docs, found) in whole.items():
+        rows = sorted((r for r in COPIES if r[0] == k), key=rank)
+        assert vs == [r[2] for r in rows if r[2] is not None]
+        assert [(d["o"], d["v"]) for d in docs] == [(r[1], r[2]) for r in rows]
+        assert found == sorted({r[1] for r in rows})
+
+
+def test_two_pushes_line_up(spark):
+    """Element i of either array is in part i div max_array, so the same part holds the same rows."""
+    df = spark.createDataFrame([("a", i % 50, i) for i in range(500)], "k string, o int, v int").repartition(7)
+    both = {"x": ops.push(["o", "v"], ["o", "v"], max_array=9), "y": ops.push(["v"], ["o", "v"], max_array=9)}
+    for r in ops.group(df, "k", both, rows_per_task=40).collect():
+        assert [e["v"] for e in r["x"]] == [e["v"] for e in r["y"]] and len(r["x"]) == min(9, 500 - 9 * r["part"])

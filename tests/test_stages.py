@@ -127,9 +127,7 @@ def test_lookup(spark, max_array):
 def test_lookup_with_a_cut_key(spark):
     left = spark.createDataFrame([(1, "a")], "id int, k string")
     right = spark.createDataFrame([("a", i) for i in range(100)], "r string, w int")
-    keyed = right.withColumn("_lookup_key", F.col("r"))
-    large = ops.find_large_keys(keyed, ["_lookup_key"], "w", rows_per_task=9)
-    rows = ops.lookup(left, right, "k", "r", "found", order=["w"], large_keys=large).orderBy("found_part").collect()
+    rows = ops.lookup(left, right, "k", "r", "found", order=["w"], max_array=9, rows_per_task=9).orderBy("found_part").collect()
     assert len(rows) > 5 and [e["w"] for r in rows for e in r["found"]] == list(range(100))
 
 
@@ -137,15 +135,22 @@ def test_lookup_with_a_cut_key(spark):
 def test_lookup_sums_over_all_arrays_of_a_row(spark, large):
     left = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, None), (4, "zz")], "id int, k string")
     right = spark.createDataFrame([("a", i) for i in range(100)] + [("b", 9), (None, 7)], "r string, w int")
-    keyed = right.withColumn("_lookup_key", F.col("r"))
-    cut = ops.find_large_keys(keyed, ["_lookup_key"], "w", rows_per_task=9) if large else None
+    cut = {"rows_per_task": 9} if large else {"large_keys": None}
     sums = {"n": F.size, "total": lambda found: F.aggregate(found, F.lit(0), lambda acc, o: acc + o["w"])}
-    got = ops.lookup(left, right, "k", "r", "found", order=["w"], max_array=4, large_keys=cut, sums=sums)
+    got = ops.lookup(left, right, "k", "r", "found", order=["w"], max_array=4, sums=sums, **cut)
     assert sorted(map(tuple, got.select("id", "n", "total").collect())) == [
         (1, 100, 4950), (1, 100, 4950), (2, 1, 9), (3, 1, 7), (4, 0, 0)
     ]
 
 
+def test_lookup_arrays_are_built_for_wanted_keys_only(spark):
+    left = spark.createDataFrame([(1, "a"), (2, None)], "id int, k string")
+    right = spark.createDataFrame([("z", i) for i in range(500)] + [("a", 1), (None, 2)], "r string, w int")
+    got = ops.lookup(left, right, "k", "r", "found", order=["w"])
+    assert sorted((r["id"], [e["w"] for e in r["found"]]) for r in got.collect()) == [(1, [1]), (2, [2])]
+    assert "LeftSemi" in got._jdf.queryExecution().toString()
+
+
 def test_union_and_replace_root(spark):
     a = spark.createDataFrame([(1, "x")], "id int, p string")
     b = spark.createDataFrame([(2, 5)], "id int, q int")

@@ -6,8 +6,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from arealis.operators import find_large_keys, for_keys, moving_average, moving_average_docs
-from arealis.operators.skew import LargeKey, order_number, with_blocks
+from arealis.operators import for_keys, moving_average, moving_average_docs, number_rows
+from arealis.operators.skew import order_number
 
 SCHEMA = "k string, d date, id int, v double"
 
@@ -83,64 +83,65 @@ def test_cut_keys_equal_uncut(spark, days, rows_per_task):
         for i in range(400)
     ]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    large = find_large_keys(df, ["k"], "d", rows_per_task=rows_per_task)
-    assert large and large[0].key == ("hot",)
-    cut = moving_average(df, "k", "d", "v", days, tie_breakers=["id"], large_keys=large)
+    assert number_rows(df, ["k"], ["d", "id", "v"], rows_per_task=rows_per_task)[1]
+    cut = moving_average(df, "k", "d", "v", days, tie_breakers=["id"], rows_per_task=rows_per_task)
     assert actual(cut) == expected(rows, days)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
-    data=st.lists(st.tuples(st.integers(0, 12), st.integers(-50, 50)), min_size=2, max_size=40),
+    data=st.lists(st.tuples(st.integers(0, 4), st.integers(-2, 2)), min_size=2, max_size=40),
     days=st.integers(1, 8),
-    cuts=st.sets(st.integers(-2, 14), min_size=2, max_size=12),
-    parts=st.integers(1, 4),
+    rows_per_task=st.integers(1, 12),
 )
-def test_any_cut_is_exact(spark, data, days, cuts, parts):
-    rows = [("a", day(d), i, float(v)) for i, (d, v) in enumerate(data)]
+def test_any_cut_is_exact(spark, data, days, rows_per_task):
+    """Few dates and few values, so that most rows are tied or equal."""
+    rows = [("a", day(d), v, float(v)) for d, v in data] + [("b", day(0), 0, 1.0)]
     df = spark.createDataFrame(rows, SCHEMA)
-    first = (dt.date(2024, 1, 1) - dt.date(1970, 1, 1)).days
-    large = [LargeKey(("a",), tuple(float(first + c) for c in sorted(cuts)), parts)]
-    assert actual(moving_average(df, "k", "d", "v", days, tie_breakers=["id"], large_keys=large)) == expected(rows, days)
+    cut = moving_average(df, "k", "d", "v", days, tie_breakers=["id"], rows_per_task=rows_per_task)
+    assert actual(cut) == expected(rows, days)
 
 
-def test_large_keys_are_listed_largest_first_and_bounded(spark):
-    rows = [(k, day(i), i, 0.0) for k, n in (("a", 50), ("b", 30), ("c", 5)) for i in range(n)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    assert [e.key for e in find_large_keys(df, ["k"], "d", rows_per_task=10)] == [("a",), ("b",)]
-    assert [e.key for e in find_large_keys(df, ["k"], "d", rows_per_task=10, max_listed=1)] == [("a",)]
-    assert find_large_keys(df, ["k"], "d") == []
-    with pytest.raises(ValueError):
-        with_blocks(df, ["k"], "d", [LargeKey(("a",), (0, 1), 2)] * 5000)
-
-
-def test_block_numbers_follow_the_order(spark):
-    df = spark.range(1000).select(F.lit("a").alias("k"), (F.col("id") % 100).alias("v"))
-    cuts = tuple(float(c) for c in range(0, 100, 2))
-    rows = with_blocks(df, ["k"], "v", [LargeKey(("a",), cuts, 2)]).distinct().orderBy("v").collect()
-    # two spans' width of two, in two parts each: every value has its own block
-    assert [r["_block"] for r in rows] == sorted(r["_block"] for r in rows)
-    assert len({r["_block"] for r in rows}) >= 98
-    other = with_blocks(df.withColumn("k", F.lit("b")), ["k"], "v", [LargeKey(("a",), cuts, 2)])
-    assert {r["_block"] for r in other.collect()} == {None}
-
-
-def test_blocks_are_even_despite_bursts(spark):
-    # nine tenths of the rows in a thousandth of the range
-    df = spark.range(10_000).select(
-        F.lit("a").alias("k"), F.when(F.col("id") < 9000, F.col("id") / 1000.0).otherwise(F.col("id") - 0.0).alias("v")
-    )
-    large = find_large_keys(df, ["k"], "v", rows_per_task=500)
-    sizes = [r["count"] for r in with_blocks(df, ["k"], "v", large).groupBy("_block").count().collect()]
-    assert sum(sizes) == 10_000 and max(sizes) < 1_000
+ONE_DAY = [("hot", "2024-05-01", i, float(i % 10)) for i in range(300)] + [("hot", "2024-05-01", 5, 5.0)] * 200
+ISO_TEXT = [("k", f"2024-{1 + i // 28 % 12:02}-{1 + i % 28:02}", i, float(i % 7)) for i in range(500)]
+MANY = [(f"key{i % 60}", f"2024-01-{1 + i % 30:02}", i, float(i)) for i in range(1800)]
 
 
-def test_very_large_keys_are_cut_further(spark):
-    df = spark.range(20_000).select(F.lit("a").alias("k"), F.col("id").alias("v"))
-    large = find_large_keys(df, ["k"], "v", rows_per_task=10)
-    assert len(large[0].cuts) <= 255 and large[0].parts == 8
-    sizes = [r["count"] for r in with_blocks(df, ["k"], "v", large).groupBy("_block").count().collect()]
-    assert sum(sizes) == 20_000 and max(sizes) < 40
+@pytest.mark.parametrize("rows", [ONE_DAY, ISO_TEXT, MANY], ids=["one day", "text dates", "many large keys"])
+@pytest.mark.parametrize("days", [1, 7, 90])
+def test_ranges_cut_ties_texts_and_any_number_of_keys(spark, rows, days):
+    df = spark.createDataFrame(rows, "k string, d string, id int, v double").repartition(4)
+    cut = moving_average(df, "k", "d", "v", days, tie_breakers=["id"], rows_per_task=20)
+    assert actual(cut) == expected(rows, days)
+
+
+def test_ranges_are_even(spark):
+    """The layout, not the result: no range holds much more than the rows asked for, copies counted once."""
+    df = spark.createDataFrame(ONE_DAY + ISO_TEXT + MANY, "k string, d string, id int, v double").drop("id")
+    rows = df.groupBy(*df.columns).count()
+    placed, cut = number_rows(df, ["k"], ["d", "v"], rows_per_task=100)
+    assert cut and placed.count() == rows.count()
+    assert placed.agg(F.sum("_copies")).first()[0] == df.count()
+    plan = placed._jdf.queryExecution().toString()
+    assert "_range" in plan
+    whole, cut = number_rows(df, ["k"], ["d", "v"])
+    assert not cut
+    first = whole.groupBy(*df.columns).agg(F.min("_at").alias("_at"), F.count("*").alias("_copies"))
+    assert sorted(map(repr, first.collect())) == sorted(map(repr, placed.select(first.columns).collect()))
+
+
+def test_places_of_null_keys_nulls_and_empty_tables(spark):
+    rows = [(None, None, 1.0), (None, "a", None), ("x", None, None), ("x", "b", 2.0), ("x", "a", 3.0)] * 3
+    df = spark.createDataFrame(rows, "k string, d string, v double")
+    got = {(r["k"], r["d"], r["v"]): (r["_at"], r["_copies"]) for r in number_rows(df, ["k"], ["d", "v"], rows_per_task=2)[0].collect()}
+    assert got == {
+        (None, None, 1.0): (0, 3), (None, "a", None): (3, 3),
+        ("x", None, None): (0, 3), ("x", "a", 3.0): (3, 3), ("x", "b", 2.0): (6, 3),
+    }
+    assert number_rows(df.limit(0), ["k"], ["d", "v"], rows_per_task=1)[0].collect() == []
+    for wrong in ({"large_keys": "some"}, {"rows_per_task": 0}):
+        with pytest.raises(ValueError):
+            number_rows(df, ["k"], ["d"], **wrong)
 
 
 def test_order_numbers_grow_with_the_value(spark):
@@ -168,9 +169,10 @@ def test_documents(spark):
 def test_long_documents_continue_in_parts(spark, rows_per_task):
     rows = [("a", day(i), i, float(i)) for i in range(60)] + [("b", day(0), 0, 1.0)]
     df = spark.createDataFrame(rows, SCHEMA)
-    large = find_large_keys(df, ["k"], "d", rows_per_task=rows_per_task) if rows_per_task else None
-    got = docs(moving_average_docs(df, "k", "d", "v", 3, large_keys=large, max_array=10))
-    assert all(len(entry[4]) <= 10 for entry in got)
+    cut = {"rows_per_task": rows_per_task} if rows_per_task else {"large_keys": None}
+    got = docs(moving_average_docs(df, "k", "d", "v", 3, max_array=10, **cut))
+    assert [len(entry[4]) for entry in got if entry[0] == "a"] == [10] * 5 + [8]
+    assert [entry[1] for entry in got if entry[0] == "a"] == list(range(6))
     whole = [m for entry in got if entry[0] == "a" for m in entry[4]]
     assert whole == [(day(i), i - 1.0) for i in range(2, 60)]
     assert {entry[3] for entry in got} == {day(0)}
