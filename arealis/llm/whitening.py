@@ -248,9 +248,12 @@ def fit_whitening(
         if best[0] <= CERTIFIED and (stalled or size == width):
             break
         top, cut = float(values[0]), float(values[-1])
-        if size < width and cut > low + ZERO * top:
+        if size < width:
             q[:, -1] = random.standard_normal(width)  # a direction that no round before has shaped
-            q = _filter(apply, np.linalg.qr(q)[0], min(low, cut / 2 + low / 2), cut, top, degree)
+            q = np.linalg.qr(q)[0]
+            # without an unwanted part between the bounds (it is 0, or level with the least wanted) a plain step is enough
+            apart = cut > ZERO * top and cut > low + ZERO * top
+            q = _filter(apply, q, low, cut, top, degree) if apart else apply(q)
         q = np.linalg.qr(q)[0]
     residual, values, vectors_ = best
     if residual > 1e-8:
