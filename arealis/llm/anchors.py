@@ -8,8 +8,9 @@ enough: every common passage of a full window's length shares an aligned
 anchor, and 6 of 31 positions are hashed.
 
 1. Texts are packed into chunks of a few megabytes and stored in the shared
-   folder.  Texts with the same words are one class; only those with the
-   smallest id of their class go on, the others repeat in full.
+   folder.  Texts with the same words are one class, of which a chunk states
+   its smallest and largest id once; only texts with the smallest id of all
+   go on, the others repeat in full.
 2. Every chunk sends each of its anchors once; those that meet another one
    return to their chunks.
 3. Shared anchors are extended: the full windows around them are compared, by
@@ -17,8 +18,8 @@ anchor, and 6 of 31 positions are hashed.
 4. Windows with a smaller id elsewhere return to their chunks, where the words
    they cover are removed.
 
-A passage that very many texts share is one row per chunk, not one per text,
-and no pairs are ever formed.
+A passage, or a whole text, that very many texts share is one row per chunk,
+not one per text, and no pairs are ever formed.
 """
 
 from __future__ import annotations
@@ -66,9 +67,10 @@ def _sums(words: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Chunk:
-    """The words of a chunk's texts."""
+    """The words of a chunk's texts, and the order of their ids."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, id_type: pa.DataType):
+        self.ids = pa.array(row["ids"], id_type)
         body = zstandard.ZstdDecompressor().decompress(row["texts"]) if row["texts"] else b""
         self.offsets = unpack_sorted(row["offsets"]).astype(np.int64)
         self.body = body
@@ -93,10 +95,48 @@ class _Chunk:
         """Two 64-bit numbers for the ``size`` words from each position on."""
         return [tokens.mix((sums[at + size] - sums[at]) * shift[at]) for sums, shift in self.streams()]
 
+    def extremes(self, first: np.ndarray, second: np.ndarray, doc: np.ndarray) -> tuple:
+        """The distinct pairs of numbers, and for each the smallest and the largest id among the texts ``doc`` they are from."""
+        ranks = _ranks(self.ids)
+        order, starts = _runs(first, second)
+        rank = ranks[doc][order]
+        of_rank = np.zeros(ranks.max(initial=0) + 1, np.int64)
+        of_rank[ranks[ranks >= 0]] = np.flatnonzero(ranks >= 0)
+        least, most = np.minimum.reduceat(rank, starts), np.maximum.reduceat(rank, starts)
+        ids = [self.ids.take(pa.array(of_rank[r])) for r in (least, most)]
+        return first[order][starts].view(np.int64), second[order][starts].view(np.int64), *ids
+
+    def classes(self, window: int) -> tuple:
+        """The texts of a full window and more, by their words: :meth:`extremes` of their digests."""
+        first, second = self.digests()
+        at = np.flatnonzero((self.sizes >= window) & (_ranks(self.ids) >= 0))
+        return self.extremes(first[at], second[at], at) if len(at) else ((), (), (), ())
+
+    def copies(self, answers: pa.Table, window: int) -> np.ndarray:
+        """Which texts repeat one with a smaller id in full; ``answers`` has those classes and their smallest ids."""
+        out = np.zeros(len(self.sizes), bool)
+        if len(answers):
+            hit = self._above(answers, self.digests(), np.arange(len(out)))
+            out[hit & (self.sizes >= window)] = True
+        return out
+
+    def repeats(self, answers: pa.Table, window: int) -> np.ndarray:
+        """Where windows start that a text with a smaller id holds; ``answers`` has those windows and their smallest ids."""
+        at = np.arange(max(len(self.words) - window + 1, 0))
+        at = at[at + window <= self.bounds[self.doc[at] + 1]]
+        return at[self._above(answers, self.windows(at, window), self.doc[at])] if len(answers) else at[:0]
+
+    def _above(self, answers: pa.Table, mine: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
+        first, second = (answers[name].to_numpy().view(np.uint64) for name in ("value", "second"))
+        order = np.argsort(first)
+        ranks = _ranks(pa.concat_arrays([self.ids, answers["low"].combine_chunks().cast(self.ids.type)]))
+        least, ranks = ranks[len(self.ids) :], ranks[: len(self.ids)]
+        found = order[np.minimum(np.searchsorted(first, mine[0], sorter=order), len(order) - 1)]
+        return (first[found] == mine[0]) & (second[found] == mine[1]) & (least[found] < ranks[doc])
+
     def anchors(self, skipped: np.ndarray, window: int, period: int, cover: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
         """Positions and hashes of the anchors of all texts that hold a full window and are not skipped."""
-        usable = self.sizes >= window
-        usable[skipped] = False
+        usable = (self.sizes >= window) & ~skipped
         length = window - period + 1
         member = np.zeros(period, bool)
         member[list(cover)] = True
@@ -123,10 +163,12 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def _to_chunks(id_type: pa.DataType, size: int):
+def _to_chunks(id_type: pa.DataType, size: int, window: int):
+    classes = [("first", pa.int64()), ("second", pa.int64()), ("low", id_type), ("high", id_type)]
     schema = pa.schema(
-        [("chunk", pa.int64()), ("ids", pa.list_(id_type)), ("offsets", pa.binary()), ("texts", pa.binary()), ("sizes", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), ("second", pa.list_(pa.int64()))]
-    )
+        [("chunk", pa.int64()), ("ids", pa.list_(id_type)), ("offsets", pa.binary()), ("texts", pa.binary())]
+        + [(name, pa.list_(kind)) for name, kind in classes]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, texts, held = 0, [], [], 0
@@ -139,10 +181,10 @@ def _to_chunks(id_type: pa.DataType, size: int):
                 "offsets": pack_sorted(np.cumsum([0, *map(len, texts)]).astype(np.uint64)),
                 "texts": zstandard.ZstdCompressor(level=3).compress(b"".join(texts)),
             }
-            chunk = _Chunk(row)
-            first, second = (d.view(np.int64) for d in chunk.digests())
+            found = _Chunk(row, id_type).classes(window)
             number, ids, texts, held = number + 1, [], [], 0
-            return pa.RecordBatch.from_pylist([row | {"sizes": chunk.sizes, "first": first, "second": second}], schema)
+            lists = {name: pa.array(v, kind).to_pylist() for (name, kind), v in zip(classes, found)}
+            return pa.RecordBatch.from_pylist([row | lists], schema)
 
         for batch in batches:
             bodies = batch.column(1).cast(pa.binary())
@@ -158,14 +200,18 @@ def _to_chunks(id_type: pa.DataType, size: int):
     return run
 
 
-def _send_anchors(window: int, period: int, cover: tuple[int, ...]):
+def _of(answers: pa.Table, kind: int) -> pa.Table:
+    return answers.filter(pc.equal(answers["kind"], kind))
+
+
+def _send_anchors(window: int, period: int, cover: tuple[int, ...], id_type: pa.DataType):
     schema = pa.schema([("anchor", pa.int64()), ("tag", pa.int64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
         for row in left.to_pylist():
-            chunk = _Chunk(row)
-            at, hashes = chunk.anchors(right["row"].to_numpy(), window, period, cover)
+            chunk = _Chunk(row, id_type)
+            at, hashes = chunk.anchors(chunk.copies(right, window), window, period, cover)
             if not len(at):
                 continue
             order, starts = _runs(hashes)
@@ -181,37 +227,25 @@ def _send_windows(window: int, period: int, cover: tuple[int, ...], id_type: pa.
     schema = pa.schema([("first", pa.int64()), ("second", pa.int64()), ("chunk", pa.int64()), ("low", id_type), ("high", id_type)])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind, value = right["kind"].to_numpy(), right["value"].to_numpy()
-        shared = np.sort(value[kind == ANCHOR].view(np.uint64))
+        shared = np.sort(_of(right, ANCHOR)["value"].to_numpy().view(np.uint64))
         parts = []
         for row in left.to_pylist():
-            chunk = _Chunk(row)
-            ids = pa.array(row["ids"], id_type)
-            ranks = _ranks(ids)
-            at, hashes = chunk.anchors(value[kind == COPY], window, period, cover)
+            chunk = _Chunk(row, id_type)
+            at, hashes = chunk.anchors(chunk.copies(_of(right, COPY), window), window, period, cover)
             at = at[np.isin(hashes, shared)]
-            at = at[ranks[chunk.doc[at]] >= 0]
+            at = at[np.asarray(chunk.ids.is_valid())[chunk.doc[at]]]
             if not len(at):
                 continue
             # all full windows whose first period holds a shared anchor
             text = chunk.doc[at]
             low = np.maximum(at - (period - 1), chunk.bounds[text])
             high = np.minimum(at, chunk.bounds[text + 1] - window)
-            some = low <= high
             edges = np.zeros(len(chunk.words) + 1, np.int64)
-            np.add.at(edges, low[some], 1)
-            np.add.at(edges, high[some] + 1, -1)
+            np.add.at(edges, low, 1)
+            np.add.at(edges, high + 1, -1)
             place = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
-            first, second = chunk.windows(place, window)
-            order, starts = _runs(first, second)
-            rank = ranks[chunk.doc[place]][order]
-            of_rank = np.zeros(ranks.max(initial=0) + 1, np.int64)
-            of_rank[ranks[ranks >= 0]] = np.flatnonzero(ranks >= 0)
-            take = lambda r: ids.take(pa.array(of_rank[r]))
-            parts.append(pa.table([
-                first[order][starts].view(np.int64), second[order][starts].view(np.int64), np.full(len(starts), row["chunk"]),
-                take(np.minimum.reduceat(rank, starts)), take(np.maximum.reduceat(rank, starts)),
-            ], schema=schema))
+            first, second, low, high = chunk.extremes(*chunk.windows(place, window), chunk.doc[place])
+            parts.append(pa.table([first, second, np.full(len(first), row["chunk"]), low, high], schema=schema))
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
     return run
@@ -222,41 +256,24 @@ def _remove(window: int, id_col: str, id_type: pa.DataType, with_text: bool):
     schema = pa.schema(fields + ([("kept", pa.string())] if with_text else []))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind = right["kind"].to_numpy()
-        is_repeat = kind == REPEAT
-        answers = right.filter(pa.array(is_repeat))
-        copies = right["value"].to_numpy()[kind == COPY]
-        first = answers["value"].to_numpy().view(np.uint64)
-        order = np.argsort(first)
-        first, second = first[order], answers["second"].to_numpy().view(np.uint64)[order]
+        repeats, copies = _of(right, REPEAT), _of(right, COPY)
         parts = []
         for row in left.to_pylist():
-            chunk = _Chunk(row)
-            n = len(chunk.sizes)
-            ids = pa.array(row["ids"], id_type)
-            gone = np.zeros(len(chunk.words), bool)
-            if len(first):
-                ranks = _ranks(pa.concat_arrays([ids, answers["low"].combine_chunks().cast(id_type)]))
-                low, ranks = ranks[n:][order], ranks[:n]
-                place = np.arange(max(len(chunk.words) - window + 1, 0))
-                place = place[place + window <= chunk.bounds[chunk.doc[place] + 1]]
-                mine = chunk.windows(place, window)
-                found = np.minimum(np.searchsorted(first, mine[0]), len(first) - 1)
-                hit = (first[found] == mine[0]) & (second[found] == mine[1]) & (low[found] < ranks[chunk.doc[place]])
-                edges = np.zeros(len(chunk.words) + 1, np.int64)
-                edges[place[hit]] += 1
-                edges[place[hit] + window] -= 1
-                gone = np.cumsum(edges[:-1]) > 0
-            for i in copies:
-                gone[chunk.bounds[i] : chunk.bounds[i + 1]] = True
-            removed = np.bincount(chunk.doc[gone], minlength=n)
+            chunk = _Chunk(row, id_type)
+            at = chunk.repeats(repeats, window)
+            edges = np.zeros(len(chunk.words) + 1, np.int64)
+            edges[at] += 1
+            edges[at + window] -= 1
+            gone = (np.cumsum(edges[:-1]) > 0) | chunk.copies(copies, window)[chunk.doc]
+            removed = np.bincount(chunk.doc[gone], minlength=len(chunk.sizes))
             kept = []
-            for i in range(n):
+            for i in range(len(chunk.sizes)):
                 words = chunk.text(i).split()
                 if removed[i]:
                     words = [words[j] for j in np.flatnonzero(~gone[chunk.bounds[i] : chunk.bounds[i + 1]]).tolist()]
                 kept.append(b" ".join(words))
-            columns = [ids, pa.array(chunk.sizes), pa.array(removed.astype(np.int64)), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+            digests = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())
+            columns = [chunk.ids, pa.array(chunk.sizes), pa.array(removed.astype(np.int64)), digests]
             parts.append(pa.table(columns + ([pa.array(kept, pa.binary()).cast(pa.string())] if with_text else []), schema=schema))
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
@@ -293,42 +310,36 @@ def remove_repeats(
     source = docs.select(F.col(id_col), text_of(text_col).alias("text"))
     stored = keep(
         source.mapInArrow(
-            _to_chunks(id_type, chunk_bytes),
-            f"chunk bigint, ids array<{id_ddl}>, offsets binary, texts binary, sizes array<bigint>, first array<bigint>, second array<bigint>",
+            _to_chunks(id_type, chunk_bytes, window),
+            f"chunk bigint, ids array<{id_ddl}>, offsets binary, texts binary, "
+            f"first array<bigint>, second array<bigint>, low array<{id_ddl}>, high array<{id_ddl}>",
         ),
         "chunks",
     )
     chunks = stored.select("chunk", "ids", "offsets", "texts")
+    alike = Window.partitionBy("first", "second")
 
-    # texts with the same words as one with a smaller id
-    entry = F.explode(F.arrays_zip("ids", "sizes", "first", "second", F.sequence(F.lit(0), F.size("ids") - 1).alias("row")))
-    texts = stored.select("chunk", entry.alias("e")).where(F.col("e.sizes") >= window).select("chunk", "e.*")
-    classes = texts.groupBy("first", "second").agg(F.min("ids").alias("least"), F.max("ids").alias("most")).where("least < most")
-    copies = keep(
-        texts.join(classes, ["first", "second"]).where(F.col("ids") > F.col("least")).select("chunk", F.col("row").cast("bigint").alias("row")),
-        "copies",
-    )
+    def repeated(met: DataFrame, kind: int) -> DataFrame:
+        """What a smaller id holds too, for the chunks that it concerns."""
+        least = met.withColumn("least", F.min("low").over(alike)).where("least < high")
+        return least.select("chunk", F.lit(kind).alias("kind"), F.col("first").alias("value"), "second", F.col("least").alias("low"))
 
-    anchors = chunks.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInArrow(_send_anchors(window, period, cover), "anchor bigint, tag bigint")
-    alike = Window.partitionBy("anchor")
-    shared = keep(
-        anchors.withColumn("n", F.count(F.lit(1)).over(alike)).where("n > 1 OR tag % 2 = 1")
-        .select(F.floor(F.col("tag") / 2).cast("bigint").alias("chunk"), F.lit(ANCHOR).alias("kind"), F.col("anchor").alias("value")),
-        "shared",
-    )
-    known = copies.select("chunk", F.lit(COPY).alias("kind"), F.col("row").alias("value"))
-    windows = chunks.groupBy("chunk").cogroup(shared.union(known).groupBy("chunk")).applyInArrow(
+    texts = stored.select("chunk", F.explode(F.arrays_zip("first", "second", "low", "high")).alias("e")).select("chunk", "e.*")
+    copies = keep(repeated(texts, COPY), "copies")
+
+    anchors = chunks.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInArrow(
+        _send_anchors(window, period, cover, id_type), "anchor bigint, tag bigint"
+    )
+    met = anchors.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("n > 1 OR tag % 2 = 1")
+    number = F.shiftright("tag", 1)
+    shared = keep(met.select(number.alias("chunk"), F.lit(ANCHOR).alias("kind"), F.col("anchor").alias("value")), "shared")
+    asked = shared.unionByName(copies, allowMissingColumns=True)
+    windows = chunks.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(
         _send_windows(window, period, cover, id_type), f"first bigint, second bigint, chunk bigint, low {id_ddl}, high {id_ddl}"
     )
-    alike = Window.partitionBy("first", "second")
-    repeats = keep(
-        windows.withColumn("least", F.min("low").over(alike)).where("least < high")
-        .select("chunk", F.lit(REPEAT).alias("kind"), F.col("first").alias("value"), "second", F.col("least").alias("low")),
-        "repeats",
-    )
+    repeats = keep(repeated(windows, REPEAT), "repeats")
     drop(shared)
-    known = known.select("chunk", "kind", "value", F.lit(0).cast("bigint").alias("second"), F.lit(None).cast(id_ddl).alias("low"))
     result = f"`{id_col}` {id_ddl}, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept string" if with_text else "")
-    return chunks.groupBy("chunk").cogroup(repeats.union(known).groupBy("chunk")).applyInArrow(
+    return chunks.groupBy("chunk").cogroup(repeats.union(copies).groupBy("chunk")).applyInArrow(
         _remove(window, id_col, id_type, with_text), result
     )
