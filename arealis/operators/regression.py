@@ -1,4 +1,4 @@
-"""One linear regression per key, all keys in one job."""
+"""One linear regression per key, all keys in one job: see :mod:`arealis.operators.moments` for the algebra."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,13 +14,10 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 from arealis.functions.split import split_percentile
 from arealis.operators.features import assemble
 from arealis.operators.keyed import fit_by_key, for_keys, restrict_keys, spread_by_size
+from arealis.operators.moments import NAMES, moments_by_key, solved, solved_line
 from arealis.operators.params import check_choice, check_range
 
 
-# Beyond this many features, requested keys are fitted one by one.
-MAX_MOMENT_FEATURES = 32
-
-
 @dataclass(frozen=True)
 class LinearParams:
     """Hyper-parameters; a value out of its range is an error."""
@@ -49,14 +44,9 @@ class LinearParams:
         check_range("tol", self.tol, 0, 10)
 
     @property
-    def closed_form(self) -> bool:
-        """Whether the fit has a closed form in the moments of the data."""
-        return (
-            self.loss == "squaredError"
-            and self.solver in ("auto", "normal")
-            and self.fit_intercept
-            and (self.elastic_net == 0 or self.reg == 0)
-        )
+    def from_moments(self) -> bool:
+        """Whether the fit depends on the rows through their moments alone."""
+        return self.loss == "squaredError"
 
 
 def check_columns(key: str, features: Sequence[str], label: str) -> None:
@@ -94,72 +84,31 @@ def linear_regression_by_key(
     Columns: key, total_iterations, rmse, r2, intercept, coefficients,
     objective_history; the metrics are those of the rows fitted on.
 
-    Squared error with an L2 penalty depends on the data only through means
-    and covariances per key.  These are one group-by, combined on the map
-    side: neither the number of keys nor one very large key matters.  Other
-    losses and penalties need iterations and run one distributed fit per
-    requested key.
-
-    A key whose model is not determined (one row, constant feature) is
-    reported with null coefficients.
+    Squared error depends on the data only through means and covariances per
+    key, whatever the penalty, the solver's name and the number of features.
+    These are one group-by, combined on the map side: neither the number of
+    keys nor one very large key matters.  Without an L1 penalty the small
+    systems are solved directly (no iterations), with one by coordinate descent
+    of at most ``max_iter`` sweeps.  The Huber loss needs passes over the rows
+    and runs one distributed fit per requested key.
+
+    A constant feature has the coefficient 0, a constant label the model that
+    is its mean (r2 null); of collinear features the shortest coefficients
+    are taken.  Keys whose values are not finite have null figures.
     """
     check_columns(key, features, label)
     params.validate()
     rows = df if keys is None else restrict_keys(df, key, keys)
     rows = complete_rows(rows.where(F.col(key).isNotNull()).select(key, *features, label), [*features, label], nulls)
-    # with many features the covariances outgrow an aggregation row
-    wide = len(features) > MAX_MOMENT_FEATURES and keys is not None
-    if params.closed_form and not wide:
-        models = _from_moments(rows.groupBy(key).agg(*_moment_columns(features, label)), key, features, params)
+    if params.from_moments:
+        models = _fitted(moments_by_key(rows, key, features, label), key, features, params)
     elif keys is None:
-        raise ValueError("this loss or penalty fits key by key and needs an explicit list of keys")
+        raise ValueError("this loss fits key by key and needs an explicit list of keys")
     else:
         models = _iterative(rows, key, features, label, list(dict.fromkeys(keys)), params, parallelism)
     return models if keys is None else for_keys(models, list(dict.fromkeys(keys)), key).drop("ord")
 
 
-def _moment_columns(features: Sequence[str], label: str, prefix: str = "", where: Column | None = None) -> list[Column]:
-    """Row count, means, and covariances of features and label, over the rows that meet ``where``."""
-
-    def side(name: str) -> Column:
-        return F.col(name) if where is None else F.when(where, F.col(name))
-
-    p, y = len(features), side(label)
-    x = [side(f) for f in features]
-
-    def cov(i: int, j: int) -> Column:
-        return F.var_pop(x[i]) if i == j else F.covar_pop(x[min(i, j)], x[max(i, j)])
-
-    return [
-        F.count(y).alias(f"{prefix}n"),
-        F.avg(y).alias(f"{prefix}mean_y"),
-        F.var_pop(y).alias(f"{prefix}var_y"),
-        F.array(*[F.avg(v) for v in x]).alias(f"{prefix}mean_x"),
-        F.array(*[F.covar_pop(v, y) for v in x]).alias(f"{prefix}cov_xy"),
-        F.array(*[cov(i, j) for i in range(p) for j in range(p)]).alias(f"{prefix}cov_xx"),
-    ]
-
-
-@F.pandas_udf(ArrayType(DoubleType()))
-def _solve(cov: pd.Series, right: pd.Series) -> pd.Series:
-    """Solve one small symmetric system per row; null where it is singular."""
-
-    def one(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
-        if a is None or b is None:
-            return None
-        matrix = np.asarray(a, dtype=float).reshape(len(b), len(b))
-        scale = np.sqrt(np.diag(matrix))
-        if not np.all(np.isfinite(matrix)) or np.any(scale <= 0):
-            return None
-        # unit diagonal, so that singularity does not depend on the units
-        unit = matrix / np.outer(scale, scale)
-        if np.linalg.cond(unit) > 1e13:
-            return None
-        return np.linalg.solve(unit, np.asarray(b, dtype=float) / scale) / scale
-
-    return pd.Series([one(a, b) for a, b in zip(cov, right)], dtype=object)
-
-
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
@@ -181,41 +130,19 @@ def _quality(w: Column, b: Column, p: int, prefix: str) -> tuple[Column, Column]
     return F.sqrt(mse), F.when(F.col(f"{prefix}var_y") > 0, 1 - mse / F.col(f"{prefix}var_y"))
 
 
-def _from_moments(
-    moments: DataFrame, key: str, features: Sequence[str], params: LinearParams, keep: Sequence[str] = ()
-) -> DataFrame:
-    p = len(features)
-    lam = F.lit(float(params.reg))
-    # the penalty is relative to the label's spread; none is defined for a constant label
-    usable = (F.col("n") >= 2) & ((F.col("var_y") > 0) if params.reg > 0 else F.lit(True))
-    penalty = F.when(F.col("var_y") > 0, lam / F.sqrt("var_y")).otherwise(F.lit(0.0))
-    diagonal = [F.get("cov_xx", F.lit(i * p + i)) for i in range(p)]
-    extra = [d * penalty if params.standardization else penalty for d in diagonal]
-    varying = F.forall(F.array(*diagonal), lambda d: d > 0)
-    if p == 1:
-        solved = F.array(F.get("cov_xy", F.lit(0)) / (diagonal[0] + extra[0]))
-    else:
-        system = F.array(
-            *[
-                F.get("cov_xx", F.lit(i * p + j)) + (extra[i] if i == j else F.lit(0.0))
-                for i in range(p)
-                for j in range(p)
-            ]
-        )
-        solved = _solve(system, F.col("cov_xy"))
-    moments = moments.withColumn("coefficients", F.when(usable & varying, solved))
-    w = F.col("coefficients")
-    mse = _residual_variance(w, p)
-    return moments.select(
-        key,
-        F.lit(0).alias("total_iterations"),
-        F.sqrt(mse).alias("rmse"),
-        F.when(F.col("var_y") > 0, 1 - mse / F.col("var_y")).alias("r2"),
-        (F.col("mean_y") - _dot(w, F.col("mean_x"))).alias("intercept"),
-        w.alias("coefficients"),
-        F.array(F.lit(0.0)).alias("objective_history"),
-        *keep,
-    )
+def _fitted(moments: DataFrame, key: str, features: Sequence[str], params: LinearParams, keep: Sequence[str] = ()) -> DataFrame:
+    how = {
+        "reg": float(params.reg),
+        "elastic_net": float(params.elastic_net),
+        "fit_intercept": params.fit_intercept,
+        "standardization": params.standardization,
+        # fixed rule: this solver takes spreads with divisor n - 1, the others with n
+        "unbiased": params.solver == "l-bfgs",
+    }
+    if len(features) == 1:
+        return moments.select(key, *[c.alias(name) for name, c in solved_line(**how).items()], *keep)
+    models = moments.withColumn("_model", solved(moments, **how, max_iter=params.max_iter, tol=float(params.tol)))
+    return models.select(key, "_model.*", *keep)
 
 
 def _iterative(
@@ -299,7 +226,7 @@ def linear_metrics_by_key(
     check_columns(key, features, label)
     p = len(features)
     rows = complete_rows(df.where(F.col(key).isNotNull()).select(key, *features, label), [*features, label], nulls)
-    moments = rows.groupBy(key).agg(*_moment_columns(features, label))
+    moments = moments_by_key(rows, key, features, label)
     weights = models.select(key, F.col("intercept").alias("_b"), F.col("coefficients").alias("_w"))
     rmse, r2 = _quality(F.col("_w"), F.col("_b"), p, "")
     return moments.join(weights, key).select(key, "n", rmse.alias("rmse"), r2.alias("r2"))
@@ -321,23 +248,20 @@ def linear_regression_with_test(
 
     The columns of :func:`linear_regression_by_key` and ``test_n``,
     ``test_rmse``, ``test_r2``.  The moments of both sides are gathered by one
-    group-by, so the table is read once.  For models with a closed form.
+    group-by, so the table is read once.  For squared error.
     """
     check_columns(key, features, label)
     params.validate()
-    if not params.closed_form:
-        raise ValueError("these parameters have no closed form; use linear_regression_by_key on a split")
+    if not params.from_moments:
+        raise ValueError("this loss needs passes over the rows; use linear_regression_by_key on a split")
     if not 0 < train_pct < 100:
         raise ValueError("train_pct must be between 1 and 99")
     rows = df if keys is None else restrict_keys(df, key, keys)
     placed = rows.where(F.col(key).isNotNull()).withColumn("_train", split_percentile(df, id_cols) < train_pct)
     rows = complete_rows(placed.select(key, *features, label, "_train"), [*features, label], nulls)
-    train = F.col("_train")
-    moments = rows.groupBy(key).agg(
-        *_moment_columns(features, label, "", train), *_moment_columns(features, label, "test_", ~train)
-    )
-    test = [f"test_{c}" for c in ("n", "mean_y", "var_y", "mean_x", "cov_xy", "cov_xx")]
-    models = _from_moments(moments, key, features, params, test)
+    moments = moments_by_key(rows, key, features, label, side="_train")
+    test = [f"test_{c}" for c in NAMES]
+    models = _fitted(moments, key, features, params, test)
     rmse, r2 = _quality(F.col("coefficients"), F.col("intercept"), len(features), "test_")
     models = models.withColumns({"test_rmse": rmse, "test_r2": r2}).drop(*test[1:])
     return models if keys is None else for_keys(models, list(dict.fromkeys(keys)), key).drop("ord")

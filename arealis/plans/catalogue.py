@@ -588,16 +588,41 @@ def linear_regression_two_features(spark, root):
 
 @query
 def linear_regression_iterative(spark, root):
-    """Elastic net has no closed form; the three flags cover the whole table."""
+    """Elastic net on two features, by coordinate descent, for all suppliers."""
     models = ops.linear_regression_by_key(
         load(spark, root, "lineitem"),
-        "l_returnflag",
+        "l_suppkey",
         LINE_FEATURES,
         "l_extendedprice",
-        keys=["A", "N", "R"],
-        params=ops.LinearParams(elastic_net=0.5, reg=0.1, solver="l-bfgs"),
+        params=ops.LinearParams(elastic_net=0.4, reg=5.0, max_iter=99, tol=1e-10),
+    )
+    return models.select(
+        "l_suppkey",
+        F.round("rmse", 3).alias("rmse"),
+        F.round("r2", 6).alias("r2"),
+        F.round("intercept", 3).alias("intercept"),
+        F.round(F.get("coefficients", F.lit(0)), 4).alias("slope_quantity"),
+        F.round(F.get("coefficients", F.lit(1)), 3).alias("slope_discount"),
+    )
+
+
+@query
+def linear_regression_elastic_net(spark, root):
+    """One feature: the soft threshold is the solution."""
+    models = ops.linear_regression_by_key(
+        load(spark, root, "lineitem"),
+        "l_suppkey",
+        ["l_discount"],
+        "l_extendedprice",
+        params=ops.LinearParams(elastic_net=0.5, reg=10.0, solver="l-bfgs", standardization=False),
+    )
+    return models.select(
+        "l_suppkey",
+        "total_iterations",
+        F.round("rmse", 4).alias("rmse"),
+        F.round("intercept", 4).alias("intercept"),
+        F.round(F.get("coefficients", F.lit(0)), 4).alias("slope"),
     )
-    return models.select("l_returnflag", "total_iterations", "rmse", "r2", "intercept", "coefficients")
 
 
 @query

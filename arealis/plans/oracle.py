@@ -394,6 +394,41 @@ SELECT s.l_suppkey, round(sqrt(avg(pow(l_extendedprice - intercept - w1 * l_quan
 FROM split s JOIN model m ON s.l_suppkey = m.l_suppkey WHERE place < 80 GROUP BY 1
 """
 
+# coordinate descent in units of the spreads: correlations r1, r2 with the price, c between the features
+ORACLE["linear_regression_iterative"] = """
+WITH RECURSIVE moments AS (
+  SELECT l_suppkey, avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_extendedprice) AS my,
+         stddev_pop(l_quantity) AS a1, stddev_pop(l_discount) AS a2, stddev_pop(l_extendedprice) AS b,
+         corr(l_extendedprice, l_quantity) AS r1, corr(l_extendedprice, l_discount) AS r2, corr(l_quantity, l_discount) AS c,
+         5.0 / stddev_pop(l_extendedprice) * 0.4 AS lasso, 1 + 5.0 / stddev_pop(l_extendedprice) * 0.6 AS d
+  FROM lineitem GROUP BY 1),
+sweep(l_suppkey, step, w1, w2) AS (
+  SELECT l_suppkey, 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM moments
+  UNION ALL
+  SELECT l_suppkey, step, w1, sign(r2 - c * w1) * greatest(abs(r2 - c * w1) - lasso, 0) / d
+  FROM (SELECT s.l_suppkey, step + 1 AS step, sign(r1 - c * w2) * greatest(abs(r1 - c * w2) - lasso, 0) / d AS w1, r2, c, lasso, d
+        FROM sweep s JOIN moments m ON s.l_suppkey = m.l_suppkey WHERE step < 60)),
+model AS (
+  SELECT m.l_suppkey, w1 * b / a1 AS w1, w2 * b / a2 AS w2, my - w1 * b / a1 * m1 - w2 * b / a2 * m2 AS intercept
+  FROM moments m JOIN sweep s ON m.l_suppkey = s.l_suppkey WHERE step = 60)
+SELECT l.l_suppkey, round(sqrt(avg(pow(l_extendedprice - intercept - w1 * l_quantity - w2 * l_discount, 2))), 3) AS rmse,
+       round(1 - avg(pow(l_extendedprice - intercept - w1 * l_quantity - w2 * l_discount, 2)) / var_pop(l_extendedprice), 6) AS r2,
+       round(any_value(intercept), 3) AS intercept, round(any_value(w1), 4) AS slope_quantity, round(any_value(w2), 3) AS slope_discount
+FROM lineitem l JOIN model m ON l.l_suppkey = m.l_suppkey GROUP BY 1
+"""
+
+ORACLE["linear_regression_elastic_net"] = """
+WITH moments AS (
+  SELECT l_suppkey, avg(l_discount) AS mx, avg(l_extendedprice) AS my, var_pop(l_discount) AS vx,
+         covar_pop(l_extendedprice, l_discount) AS s, stddev_samp(l_extendedprice) AS b FROM lineitem GROUP BY 1),
+model AS (
+  SELECT l_suppkey, slope, my - slope * mx AS intercept
+  FROM (SELECT *, sign(s) * greatest(abs(s) - 10 * 0.5, 0) / (vx + 10 * 0.5 / b) AS slope FROM moments))
+SELECT l.l_suppkey, 1 AS total_iterations, round(sqrt(avg(pow(l_extendedprice - intercept - slope * l_discount, 2))), 4) AS rmse,
+       round(any_value(intercept), 4) AS intercept, round(any_value(slope), 4) AS slope
+FROM lineitem l JOIN model m ON l.l_suppkey = m.l_suppkey GROUP BY 1
+"""
+
 ORACLE["linear_regression_with_test"] = f"""
 WITH split AS ({_LINE_SPLIT})
 SELECT s.l_suppkey, round(sqrt(any_value(mse)), 4) AS rmse, round(any_value(slope), 6) AS slope, count(*) AS test_n,

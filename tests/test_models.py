@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from arealis import operators as ops
 from arealis.functions import split_percentile
+from arealis.operators import moments
 from arealis.operators.keyed import spread_by_size
 
 # ---------------------------------------------------------------- features
@@ -139,15 +140,74 @@ def test_closed_form_equals_the_library(spark, planted, features, reg, standardi
         assert row["objective_history"] == list(model.summary.objectiveHistory) == [0.0]
 
 
-def test_many_features(spark):
-    rng = random.Random(8)
-    names = [f"f{i}" for i in range(40)]
-    rows = [("a", *[rng.gauss(0, 1) for _ in names]) for _ in range(120)]
-    df = spark.createDataFrame(rows, ["k", *names]).withColumn("y", F.col("f0") * 3 - F.col("f39") + 1)
-    params = ops.LinearParams(reg=0.0)
-    for keys in (["a"], None):
-        row = ops.linear_regression_by_key(df, "k", names, "y", keys=keys, params=params).first()
-        assert row["coefficients"] == pytest.approx([3.0, *[0.0] * 38, -1.0], abs=1e-6)
+def spread_rows(seed, p, n, keys=("a", "b")):
+    """Wide rows with a constant feature, a repeated feature, and other scales."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for key in keys:
+        x = rng.standard_normal((n, p)) * 10.0 ** rng.integers(-3, 4, p) + rng.integers(-5, 5, p)
+        x[:, 1] = 4.25
+        x[:, 2] = -2 * x[:, 0]
+        y = x @ (rng.standard_normal(p) / np.maximum(x.std(axis=0), 1e-9)) + rng.standard_normal(n)
+        out += [(key, i, *map(float, row), float(v)) for i, (row, v) in enumerate(zip(x, y))]
+    return out
+
+
+@pytest.mark.parametrize("p", [5, 8, 9, 31, 32, 33, 40])
+@pytest.mark.parametrize("reg", [0.0, 0.3])
+def test_the_same_rules_at_any_width(spark, p, reg):
+    names = [f"f{i}" for i in range(p)]
+    rows = spread_rows(p, p, 150)
+    df = spark.createDataFrame(rows, ["k", "id", *names, "y"]).repartition(5)
+    params = ops.LinearParams(reg=reg)
+    got = {r["k"]: r for r in ops.linear_regression_by_key(df, "k", names, "y", params=params).collect()}
+    some = {r["k"]: r for r in ops.linear_regression_by_key(df, "k", names, "y", keys=["b", "a"], params=params).collect()}
+    for key in ("a", "b"):
+        data = np.array([r[2:] for r in rows if r[0] == key])
+        x, y = data[:, :-1], data[:, -1]
+        live = [j for j in range(p) if j != 1]
+        z = (x - x.mean(axis=0))[:, live] / x.std(axis=0)[live]
+        t = y - y.mean()
+        # the shortest solution in standard units; the ridge is relative to the label's spread
+        ridge = reg / y.std()
+        w = np.linalg.lstsq(z.T @ z / len(y) + ridge * np.eye(p - 1), z.T @ t / len(y), rcond=1e-12)[0]
+        want = np.zeros(p)
+        want[live] = w / x.std(axis=0)[live]
+        row = got[key]
+        assert row["coefficients"][1] == 0.0
+        assert np.allclose(np.array(row["coefficients"]) * x.std(axis=0), want * x.std(axis=0), atol=1e-7)
+        error = y - row["intercept"] - x @ row["coefficients"]
+        assert row["rmse"] == pytest.approx(np.sqrt(np.mean(error**2)), rel=1e-6)
+        assert row["r2"] == pytest.approx(1 - np.mean(error**2) / y.var(), rel=1e-6)
+        assert some[key]["coefficients"] == pytest.approx(row["coefficients"], rel=1e-6, abs=1e-9)
+
+
+@pytest.mark.parametrize("p", [3, 12])
+def test_wide_moments_equal_columns(spark, p):
+    """Partial vectors or aggregate columns: the same figures, for large, small and one-row groups, with and without sides."""
+    rng = random.Random(p)
+    names = [f"f{i}" for i in range(p)]
+    rows = [(rng.choice(["hot"] * 8 + list("abcdefg")), i, *[rng.gauss(3, 1) for _ in names], rng.gauss(0, 1)) for i in range(600)]
+    df = spark.createDataFrame([*rows, ("one", 1, *[1.0] * p, 2.0)], ["k", "id", *names, "y"]).repartition(6)
+    split = df.withColumn("side", F.col("id") % 4 > 0)
+    columns = [*moments._columns(names, "y", "", F.col("side")), *moments._columns(names, "y", "test_", ~F.col("side"))]
+    want = {r["k"]: r for r in split.groupBy("k").agg(*columns).collect()}
+    got = {(r["k"], r["_side"]): r for r in moments._merged(split, "k", names, "y", "side").collect()}
+    assert set(got) == {(k, s) for k in want for s in (True, False) if want[k]["n" if s else "test_n"]}
+    for (k, side), row in got.items():
+        prefix = "" if side else "test_"
+        for name in moments.NAMES:
+            assert np.allclose(row[name], want[k][prefix + name], rtol=1e-9, atol=1e-12)
+
+
+def test_moments_of_far_away_values_keep_their_digits(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((500, 12))
+    names = [f"f{i}" for i in range(12)]
+    rows = [("a", *(1e8 + v).tolist(), float(1e9 + v[0] - 2 * v[11])) for v in x]
+    df = spark.createDataFrame(rows, ["k", *names, "y"]).repartition(4)
+    row = ops.linear_regression_by_key(df, "k", names, "y", params=ops.LinearParams(reg=0.0)).first()
+    assert row["coefficients"] == pytest.approx([1.0, *[0.0] * 10, -2.0], abs=1e-5)
 
 
 def test_exact_line(spark):
@@ -157,20 +217,79 @@ def test_exact_line(spark):
     assert row["rmse"] == pytest.approx(0.0, abs=1e-6) and row["r2"] == pytest.approx(1.0)
 
 
-def test_undetermined_models_are_reported_without_coefficients(spark):
-    rows = [("one", 1.0, 1.0)] + [("flat_x", 2.0, float(i)) for i in range(5)] + [("flat_y", float(i), 4.0) for i in range(5)]
-    df = spark.createDataFrame(rows, "k string, x double, y double")
-    got = {r["k"]: r for r in ops.linear_regression_by_key(df, "k", ["x"], "y").collect()}
-    assert all(got[k]["coefficients"] is None and got[k]["rmse"] is None for k in ("one", "flat_x", "flat_y"))
-    free = {r["k"]: r for r in ops.linear_regression_by_key(df, "k", ["x"], "y", params=ops.LinearParams(reg=0.0)).collect()}
-    assert free["flat_y"]["coefficients"] == [0.0] and free["flat_y"]["intercept"] == 4.0
-    assert free["flat_y"]["r2"] is None
+@pytest.mark.parametrize("extra", [[], ["z"], [f"z{i}" for i in range(9)]])
+@pytest.mark.parametrize("reg", [0.0, 0.5])
+def test_constant_features_and_labels_have_a_model(spark, extra, reg):
+    rows = [("one", 1.0, 1.5)] + [("flat_x", 0.1, float(i)) for i in range(5)] + [("flat_y", float(i), 0.3) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, x double, y double").repartition(3)
+    df = df.withColumns({name: F.lit(7.7) for name in extra})
+    params = ops.LinearParams(reg=reg)
+    got = {r["k"]: r for r in ops.linear_regression_by_key(df, "k", ["x", *extra], "y", params=params).collect()}
+    for key, mean, spread in (("one", 1.5, 0.0), ("flat_x", 2.0, math.sqrt(2)), ("flat_y", 0.3, 0.0)):
+        assert got[key]["coefficients"] == [0.0] * (1 + len(extra))
+        assert got[key]["intercept"] == pytest.approx(mean) and got[key]["rmse"] == pytest.approx(spread, abs=1e-12)
+    assert got["flat_x"]["r2"] == pytest.approx(0.0) and got["flat_y"]["r2"] is None and got["one"]["r2"] is None
 
 
-def test_collinear_features_have_no_model(spark):
-    df = spark.createDataFrame([("a", float(i), 2.0 * i, float(i % 3)) for i in range(9)], "k string, x double, z double, y double")
+def test_collinear_features_share_the_slope(spark):
+    df = spark.createDataFrame([("a", float(i), 2.0 * i, 3.0 * i + 1) for i in range(9)], "k string, x double, z double, y double")
     row = ops.linear_regression_by_key(df, "k", ["x", "z"], "y", params=ops.LinearParams(reg=0.0)).first()
-    assert row["coefficients"] is None
+    assert row["coefficients"] == pytest.approx([1.5, 0.75]) and row["rmse"] == pytest.approx(0, abs=1e-6)
+
+
+@pytest.mark.parametrize("features", [["x"], ["x", "z"]])
+@pytest.mark.parametrize("reg", [0.0, 0.5])
+@pytest.mark.parametrize("standardization", [True, False])
+def test_through_the_origin_equals_the_library(spark, planted, features, reg, standardization):
+    how = dict(reg=reg, standardization=standardization, fit_intercept=False)
+    got = {r["k"]: r for r in ops.linear_regression_by_key(planted, "k", features, "y", params=ops.LinearParams(**how)).collect()}
+    for key in "abc":
+        part = ops.assemble(planted.where(F.col("k") == key), features, keep=["y"])
+        model = LinearRegression(
+            labelCol="y", solver="normal", regParam=reg, standardization=standardization, fitIntercept=False
+        ).fit(part)
+        assert np.allclose(got[key]["coefficients"], model.coefficients.toArray(), rtol=1e-7)
+        assert got[key]["intercept"] == 0.0
+        assert got[key]["rmse"] == pytest.approx(model.summary.rootMeanSquaredError, rel=1e-7)
+        assert got[key]["r2"] == pytest.approx(model.summary.r2, rel=1e-7)
+
+
+@pytest.mark.parametrize("solver", ["normal", "l-bfgs"])
+@pytest.mark.parametrize("features", [["x"], ["x", "z"]])
+@pytest.mark.parametrize("standardization", [True, False])
+def test_elastic_net_equals_the_library(spark, planted, solver, features, standardization):
+    how = dict(reg=2.0, elastic_net=0.6, standardization=standardization, solver=solver, max_iter=99, tol=1e-12)
+    got = {r["k"]: r for r in ops.linear_regression_by_key(planted, "k", features, "y", params=ops.LinearParams(**how)).collect()}
+    for key in "abc":
+        part = ops.assemble(planted.where(F.col("k") == key), features, keep=["y"])
+        model = LinearRegression(
+            labelCol="y", solver=solver, regParam=2.0, elasticNetParam=0.6, standardization=standardization, maxIter=500, tol=1e-12
+        ).fit(part)
+        assert np.allclose(got[key]["coefficients"], model.coefficients.toArray(), rtol=1e-4, atol=1e-6)
+        assert got[key]["intercept"] == pytest.approx(model.intercept, rel=1e-4)
+
+
+def test_elastic_net_of_many_features_meets_its_conditions(spark):
+    """At the optimum the gradient is balanced by the penalty, and stays within it where the coefficient is 0."""
+    names = [f"f{i}" for i in range(14)]
+    rows = spread_rows(2, 14, 200)
+    df = spark.createDataFrame(rows, ["k", "id", *names, "y"]).repartition(3)
+    params = ops.LinearParams(reg=0.2, elastic_net=0.7, max_iter=99, tol=0.0)
+    zeros = 0
+    for row in ops.linear_regression_by_key(df, "k", names, "y", params=params).collect():
+        data = np.array([r[2:] for r in rows if r[0] == row["k"]])
+        x, y = data[:, :-1], data[:, -1]
+        live = x.std(axis=0) > 1e-9
+        z, t = (x - x.mean(axis=0))[:, live] / x.std(axis=0)[live], (y - y.mean()) / y.std()
+        w = (np.array(row["coefficients"]) * x.std(axis=0) / y.std())[live]
+        strength = 0.2 / y.std()
+        gradient = z.T @ (t - z @ w) / len(y) - strength * 0.3 * w
+        assert np.abs(gradient[w != 0] - strength * 0.7 * np.sign(w[w != 0])).max() < 1e-3
+        assert np.abs(gradient[w == 0]).max(initial=0) <= strength * 0.7 + 1e-9
+        history = row["objective_history"]
+        assert len(history) == row["total_iterations"] + 1 and all(a >= b - 1e-12 for a, b in zip(history, history[1:]))
+        zeros += (w == 0).sum()
+    assert zeros
 
 
 def test_requested_keys_are_all_answered(spark, planted):
@@ -214,8 +333,11 @@ def test_iterative_fits(spark, planted, params):
         assert got[key]["rmse"] > 0 and len(got[key]["objective_history"]) >= 1
     if not params.fit_intercept:
         assert got["a"]["intercept"] == 0.0
-    with pytest.raises(ValueError):
-        ops.linear_regression_by_key(planted, "k", ["x"], "y", params=params)
+    if params.loss == "huber":
+        with pytest.raises(ValueError):
+            ops.linear_regression_by_key(planted, "k", ["x"], "y", params=params)
+    else:
+        assert ops.linear_regression_by_key(planted, "k", ["x"], "y", params=params).count() == 3
 
 
 @pytest.mark.parametrize(
@@ -308,8 +430,9 @@ def test_r2_is_relative_to_the_labels(spark):
     assert tuple(ops.regression_metrics(flat, "y", "p").first()) == (2, 1.0, None)
 
 
-@pytest.mark.parametrize("features", [["x"], ["x", "z"]])
+@pytest.mark.parametrize("features", [["x"], ["x", "z"], ["x", "z", *[f"g{i}" for i in range(8)]]])
 def test_one_scan_fit_and_test_equals_the_two_step_form(spark, planted, features):
+    planted = planted.withColumns({f: F.sin(F.col("x") * (i + 2)) for i, f in enumerate(features[2:])})
     train, test = ops.train_test_split(planted, ["id", "k"], 70)
     models = ops.linear_regression_by_key(train, "k", features, "y")
     want = {r["k"]: r for r in models.collect()}

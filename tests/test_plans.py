@@ -89,7 +89,5 @@ def test_compound_join_uses_the_partitioning_of_the_aggregations(spark):
 
 @pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_no_query_joins_every_pair(spark, name):
-    if name.startswith("linear_regression_through"):
-        pytest.skip("fits while it is built")
     plan = plan_of(contract.queries()[name](spark, "/root/testdata/sf0.01" if name == "bucket_auto" else ROOT))
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
