@@ -5,7 +5,7 @@ each group keeps the union of its tokens, and a query opens a group only when
 its overlap with the union can reach the threshold; then it is compared with
 the members exactly.
 
-* Equal sets are one class, which enters once, by its smallest id.
+* Equal sets are one class, which enters once, by the first of its documents.
 * Groups: classes with the same smallest shingle (under a hash) are compared
   with the first of them.  Those similar to it form a group of mutually
   reachable documents, cut into blocks of ``block_size``; the others are groups
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from arealis.llm import tokens
 from arealis.llm.components import connected_components
 from arealis.llm.spread import (
+    drop,
     id_filter,
     keep,
     pack,
@@ -59,6 +60,8 @@ FREQUENT = 200_000
 REPEATED_BITS = 26
 BLOCK = 256
 QUERY_BLOCK = 4096
+#: pairs of entries at one token that are judged at once
+PAIRS_AT_ONCE = 500_000
 
 
 class _Similar:
@@ -111,7 +114,8 @@ def _describe(size: int):
                     other = tokens.mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5))
                     out[:, i] = len(shingles), shingles.sum(), other.sum(), other.min()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(x.view(np.int64)) for x in out]], names=["id", "n", "s1", "s2", "low"]
+                [*batch.select(["id", "txt"]).columns, *[pa.array(x.view(np.int64)) for x in out]],
+                names=["id", "txt", "n", "s1", "s2", "low"],
             )
 
     return run
@@ -205,8 +209,8 @@ def _prefixes(size: int, similar: _Similar, order):
                         half = shingles[(shingles >> np.uint64(6)) & np.uint64(1) == k]
                         parity[k, i] = np.bitwise_xor.reduce(np.uint64(1) << (half & np.uint64(63)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out, pa.binary()), *[pa.array(x.view(np.int64)) for x in parity]],
-                names=["id", "prefix", "parity0", "parity1"],
+                [*batch.select(["id", "txt"]).columns, pa.array(out, pa.binary()), *[pa.array(x.view(np.int64)) for x in parity]],
+                names=["rid", "rtxt", "prefix", "parity0", "parity1"],
             )
 
     return run
@@ -276,17 +280,21 @@ def _meetings(similar: _Similar, hubs_only: bool):
                     place = np.full(len(asks), hub)
                     found.append(np.unique(np.stack([ids[asks], grp[place], block[place]], axis=1), axis=0))
                 continue
-            # entries by rising n: i meets those after it that are not too large
+            # entries by rising n: i meets those after it that are not too large; so many pairs at a time as memory allows
             last = a + np.searchsorted(n[a:b] * similar.percent, n[a:b] * 100, side="right")
             reach = last - np.arange(a, b) - 1
-            i = np.repeat(np.arange(a, b), reach)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(reach) - reach, reach) + i + 1
-            other = (grp[i] != grp[j]) & possible(i, j)
-            i, j = i[other], j[other]
-            # the smaller group asks; of equal ones, that with the smaller id
-            swap = (size[i] > size[j]) | ((size[i] == size[j]) & (grp[i] > grp[j]))
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            found.append(np.unique(np.stack([ids[i], grp[j], block[j]], axis=1), axis=0))
+            turns = np.unique((np.cumsum(reach) - 1) // PAIRS_AT_ONCE, return_index=True)[1]
+            for start, stop in zip(turns, [*turns[1:], b - a]):
+                here = reach[start:stop]
+                i = np.repeat(np.arange(a + start, a + stop), here)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(here) - here, here) + i + 1
+                other = (grp[i] != grp[j]) & possible(i, j)
+                i, j = i[other], j[other]
+                # the smaller group asks; of equal ones, that with the smaller id
+                swap = (size[i] > size[j]) | ((size[i] == size[j]) & (grp[i] > grp[j]))
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                if len(i):
+                    found.append(np.unique(np.stack([ids[i], grp[j], block[j]], axis=1), axis=0))
         if not found:
             out = np.empty((0, 3), np.int64)
         else:
@@ -297,14 +305,14 @@ def _meetings(similar: _Similar, hubs_only: bool):
 
 
 def _emit_sets(size: int, bits: np.ndarray):
-    schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("rid", pa.int64()), ("rtxt", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
         for batch in batches:
             batch = batch.filter(pa.array(passes(bits, batch.column("place").to_numpy(zero_copy_only=False))))
             if len(batch):
                 out = [pack_sorted(x) for _, x in _sets_of(batch, size)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*batch.select(["id", "txt"]).columns, pa.array(out, pa.binary())], schema=schema)
 
     return run
 
@@ -352,7 +360,31 @@ def _open_groups(similar: _Similar):
     return run
 
 
-def similar_documents(
+def _classes(described: DataFrame) -> DataFrame:
+    """One row for each set of shingles: ``n, s1, s2, low``, its first document (``rid``, ``rtxt``) and its number ``id``.
+
+    The first document is that of the smallest id, of several texts under this
+    id that with the smallest hash; null where no document has an id.  The
+    number is the first document's id, unless that is also the first one of
+    another set: then it is a new number beyond all ids.
+    """
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "txt"))).alias("rep")
+    found = described.where("n > 0").groupBy("n", "s1", "s2").agg(first, F.min("low").alias("low"))
+    found = keep(found.select("n", "s1", "s2", "low", F.col("rep.id").alias("rid"), F.col("rep.txt").alias("rtxt")), "classes")
+    several = found.where("rid is not null").groupBy("rid").agg(F.min("rtxt").alias("one"), F.count(F.lit(1)).alias("sets"))
+    several = keep(several.where("sets > 1").select(F.col("rid").alias("of"), "one"), "several")
+    if several.isEmpty():
+        drop(several)
+        return found.withColumn("id", F.col("rid"))
+    ends = found.agg(F.min("rid").alias("low"), F.max("rid").alias("high")).first()
+    seq = F.monotonically_increasing_id() + 1
+    fresh = F.lit(ends["high"]) + seq if ends["high"] < 1 << 61 else F.lit(ends["low"]) - seq
+    numbered = found.join(several, found["rid"] == several["of"], "left")
+    number = F.when(F.col("of").isNull() | (F.col("rtxt") == F.col("one")), F.col("rid")).otherwise(fresh)
+    return keep(numbered.withColumn("id", number).select("n", "s1", "s2", "low", "rid", "rtxt", "id"), "classes")
+
+
+def _linked(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
@@ -363,34 +395,26 @@ def similar_documents(
     query_block: int = QUERY_BLOCK,
     range_bytes: int = RANGE_BYTES,
     frequent_from: int = FREQUENT_FROM,
-) -> DataFrame:
-    """One row per document: its id, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
-
-    Two documents link when 100 * |A & B| >= percent * |A | B|, where A and B
-    are their distinct shingles of ``shingle`` words (lower-cased A-Z, parted
-    by ASCII white space; a shorter text is one shingle).  Null and empty texts
-    have no shingle, no link, and their own id as component.  Ids must be whole
-    numbers; rows that repeat an id are one document for the links and are
-    returned as often as they occur; a null id takes part in no link and only
-    joins its equals.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """The documents (``id, txt, n, s1, s2``) and the sets of :func:`_classes` with the number ``component`` of the least linked one."""
     similar = _Similar(percent)
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
+    text = text_of(text_col)
+    source = docs.select(
+        F.col(id_col).cast("bigint").alias("id"), text.alias("text"), F.xxhash64(text).alias("txt")
+    ).withColumn("place", place_column("id"))
     size = total_bytes(source, "text")
     described = keep(
-        source.mapInArrow(_describe(shingle), "id bigint, n bigint, s1 bigint, s2 bigint, low bigint"), "described"
+        source.mapInArrow(_describe(shingle), "id bigint, txt bigint, n bigint, s1 bigint, s2 bigint, low bigint"), "described"
     )
-    same = ["n", "s1", "s2"]
-    classes = keep(
-        described.where("n > 0").groupBy(*same).agg(F.min("id").alias("first"), F.min("low").alias("low")), "classes"
-    )
-    nodes = classes.where("first is not null").select(F.col("first").alias("id"), "n", "low")
+    classes = _classes(described)
+    nodes = classes.where("rid is not null").select("id", "n", "low", "rid", "rtxt")
 
     def sets_for(ids: DataFrame) -> DataFrame:
-        bits = id_filter(ids, "id")
-        found = source.select("id", "text", place_column("id").alias("place")).where("id is not null")
-        found = found.mapInArrow(_emit_sets(shingle, bits), "id bigint, shingles binary")
-        return found.join(ids.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+        wanted = keep(nodes.join(ids.select("id").distinct(), "id").select("id", "rid", "rtxt"), "wanted")
+        found = source.where("id is not null").mapInArrow(
+            _emit_sets(shingle, id_filter(wanted, "rid")), "rid bigint, rtxt bigint, shingles binary"
+        )
+        return found.join(wanted, ["rid", "rtxt"]).select("id", "shingles").dropDuplicates(["id"])
 
     # groups: classes with the same smallest shingle, compared with the first of them
     heads = nodes.groupBy("low").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n_here")).where("n_here > 1")
@@ -405,17 +429,20 @@ def similar_documents(
     # the matrix, by token, and who has to look where
     ranges = max(1, -(-size // range_bytes))
     spark = docs.sparkSession
-    copies = described.where("n > 0").join(nodes.select("id"), "id", "left_anti")
+    first = (described["id"] == nodes["rid"]) & (described["txt"] == nodes["rtxt"])
+    copies = described.where("n > 0").join(nodes, first, "left_anti")
     copies = spark.sparkContext.broadcast(id_filter(copies, "id"))
     counted = keep(
-        source.select("id", "text", place_column("id").alias("place"))
-        .mapInArrow(_count(shingle, ranges, copies), "range int, shingles binary, n binary")
+        source.mapInArrow(_count(shingle, ranges, copies), "range int, shingles binary, n binary")
         .repartitionById(ranges, F.col("range")).groupBy("range").applyInArrow(_frequent(frequent_from), _COUNTED),
         "counted",
     )
     order = spark.sparkContext.broadcast(_token_order(counted))
-    prefixes = source.where("id is not null").mapInArrow(_prefixes(shingle, similar, order), "id bigint, prefix binary, parity0 bigint, parity1 bigint")
-    prefixes = keep(prefixes.where("prefix is not null").join(nodes.select("id"), "id", "left_semi").dropDuplicates(["id"]), "prefixes")
+    prefixes = source.where("id is not null").mapInArrow(
+        _prefixes(shingle, similar, order), "rid bigint, rtxt bigint, prefix binary, parity0 bigint, parity1 bigint"
+    )
+    prefixes = prefixes.where("prefix is not null").join(nodes.select("id", "rid", "rtxt"), ["rid", "rtxt"])
+    prefixes = keep(prefixes.select("id", "prefix", "parity0", "parity1").dropDuplicates(["id"]), "prefixes")
 
     def cross_links(reached: DataFrame, hubs_only: bool) -> DataFrame:
         """Links between documents of different groups, where ``reached`` (node, component) makes the groups."""
@@ -458,16 +485,56 @@ def similar_documents(
     reached = connected_components(links)
     links = links.union(cross_links(reached, hubs_only=False))
     reached = connected_components(links)
-    named = classes.join(reached, classes["first"] == reached["node"], "left").select(
-        *same, F.coalesce("component", "first").alias("component")
-    )
-    return described.join(named, same, "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
+    joined = classes.join(reached, classes["id"] == reached["node"], "left")
+    return described, joined.select(*classes.columns, F.coalesce("component", "id").alias("component"))
+
+
+def _least(linked: DataFrame) -> DataFrame:
+    """``linked`` with the first document (``least``, ``least_txt``) of each component.
+
+    That is the document whose number the component has, except where a set
+    got a number beyond the ids: such components, few if ids are unique, are
+    looked through.
+    """
+    odd = keep(linked.where("id <> rid").select("component").distinct(), "odd")
+    plain = linked.withColumns({"least": F.col("component"), "least_txt": F.lit(None).cast("bigint")})
+    if odd.isEmpty():
+        drop(odd)
+        return plain
+    first = linked.join(odd, "component", "left_semi").groupBy("component").agg(F.min(F.struct("rid", "rtxt")).alias("first"))
+    found = linked.join(first, "component", "left")
+    return found.select(*linked.columns, F.coalesce("first.rid", "component").alias("least"), F.col("first.rtxt").alias("least_txt"))
+
+
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """One row per document: its id, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
+
+    Two documents link when 100 * |A & B| >= percent * |A | B|, where A and B
+    are their distinct shingles of ``shingle`` words (lower-cased A-Z, parted
+    by ASCII white space; a shorter text is one shingle).  Null and empty texts
+    have no shingle, no link, and their own id as component.  Ids must be whole
+    numbers.  Rows that share an id but not the text are documents of their
+    own, each with its own links; equal rows are returned as often as they
+    occur; a null id takes part in no link and only joins its equals.
+    """
+    described, linked = _linked(docs, id_col=id_col, **options)
+    named = _least(linked).select("n", "s1", "s2", "least")
+    return described.join(named, ["n", "s1", "s2"], "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")
     )
 
 
-def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id.  Rows with a null id all stay."""
-    found = similar_documents(docs, id_col=id_col, **options)
-    drop = found.where(f"`{id_col}` <> component_id").select(id_col)
-    return docs.join(drop, id_col, "left_anti")
+def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each component: that of the smallest id, and of several texts under it one.
+
+    Rows equal in id and text are one document and stay or go together.  Rows
+    with a null id, and those without words, all stay.
+    """
+    described, linked = _linked(docs, id_col=id_col, text_col=text_col, **options)
+    least = _least(linked)
+    first = F.when(F.col("least_txt").isNull(), F.col("id") == F.col("component"))
+    first = first.otherwise((F.col("rid") == F.col("least")) & (F.col("rtxt") == F.col("least_txt")))
+    stay = least.where(first & F.col("rid").isNotNull()).select(F.col("rid").alias("id"), F.col("rtxt").alias("txt"))
+    gone = described.where("n > 0 AND id IS NOT NULL").select("id", "txt").distinct().join(stay, ["id", "txt"], "left_anti")
+    text_hash = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return docs.join(gone, (docs[id_col].cast("bigint") == gone["id"]) & (text_hash == gone["txt"]), "left_anti")
