@@ -1,7 +1,8 @@
 """Global shuffle into shards by two passes over stored data.
 
 Pass one scatters the records into buckets that fit in memory, by a seeded hash
-of their id.  Pass two reads each bucket, shuffles it by Fisher-Yates with a
+of the whole record; records that are equal throughout and too many for a
+bucket are told apart by a number.  Pass two reads each bucket, shuffles it by Fisher-Yates with a
 seed of its own, and writes it.  The buckets one after the other are a random
 order of all records, which is cut into shards of equal counts.
 
@@ -19,6 +20,8 @@ from arealis.llm.spread import keep
 
 #: bytes of text in a bucket
 BUCKET_BYTES = 24 << 20
+#: copies of a record that are numbered at once
+_COPIES = 65_536
 
 
 def record_size(text_col: str) -> Column:
@@ -38,21 +41,29 @@ def external_shuffle(
     """``docs`` with ``bucket``, ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard).
 
     The counts of any two shards differ by at most one.  The shuffled records
-    are written to the shared folder and read again.  Null texts and null ids
-    are records like others; records that share an id share a bucket, so ids
-    should be nearly unique; an empty table gives an empty result.  Existing
-    columns of the three names are replaced.  Map columns cannot be ordered and
-    are not supported.
+    are written to the shared folder and read again.  Null texts, null ids and
+    repeated ids are records like others, and so are equal records, however
+    many; an empty table gives an empty result.  Existing columns of the three
+    names are replaced.  Map columns cannot be ordered and are not supported.
     """
     if shards < 1:
         raise ValueError("there must be at least one shard")
     columns = [c for c in docs.columns if c not in ("bucket", "shard", "slot")]
     # pass one: scatter
-    hashed = F.xxhash64(F.lit(seed), F.col(id_col))
-    sizes = docs.agg(F.sum(record_size(text_col)).alias("bytes")).first()
+    record = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in columns])
+    alike = docs.groupBy(record.alias("h")).agg(F.sum(record_size(text_col)).alias("bytes"))
+    sizes = alike.agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("most")).first()
     buckets = max(1, -(-(sizes["bytes"] or 0) // bucket_bytes))
-    bucket = F.pmod(hashed, F.lit(buckets)).cast("int")
-    scattered = docs.select(bucket.alias("bucket"), hashed.alias("order"), F.struct(*columns).alias("record"))
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("record"), record.alias("order"))
+    if (sizes["most"] or 0) > bucket_bytes:
+        # equal records are counted, and each copy is scattered by its number
+        copies = source.groupBy("record", "order").agg(F.count(F.lit(1)).alias("n"))
+        block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {_COPIES}")))
+        copies = copies.withColumn("block", block)
+        inner = F.sequence(F.col("block") * _COPIES, F.least(F.col("n"), (F.col("block") + 1) * _COPIES) - 1)
+        source = copies.withColumn("copy", F.explode(inner)).select("record", F.xxhash64("order", "copy").alias("order"))
+    bucket = F.pmod("order", F.lit(buckets)).cast("int")
+    scattered = source.select(bucket.alias("bucket"), "order", "record")
     scattered = scattered.repartitionById(buckets, F.col("bucket"))
     # pass two: Fisher-Yates inside each bucket
     gathered = scattered.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("order", "record"))).alias("records"))
