@@ -25,8 +25,6 @@ from arealis.llm.spread import id_filter, keep, passes, place_column, text_of
 
 #: bound on the labelled rows that train the chain
 MAX_ROWS = 20_000
-#: bound on the words that take part, per category; those that stand out most
-MAX_WORDS = 2_000
 #: standard deviations by which a word's share of a category must differ from the average, and the texts it needs
 LEAST_Z, LEAST_TEXTS = 5.0, 5
 FOLDS = 3
@@ -177,7 +175,7 @@ def _to_features(words: np.ndarray):
     return run
 
 
-_ROW = "id bigint, labels array<double>, fold int, features array<int>, earlier array<double>"
+_ROW = "id string, labels array<double>, fold int, features array<int>, earlier array<double>"
 
 
 def _train(category: int, own: np.ndarray, folds: int):
@@ -186,7 +184,7 @@ def _train(category: int, own: np.ndarray, folds: int):
     Only the words in ``own``, which stand out in this category, take part.
     """
     n_words = len(own)
-    schema = pa.schema([("id", pa.int64()), ("labels", pa.list_(pa.float64())), ("fold", pa.int32()), ("features", pa.list_(pa.int32())), ("earlier", pa.list_(pa.float64())), ("weights", pa.list_(pa.float64()))])
+    schema = pa.schema([("id", pa.string()), ("labels", pa.list_(pa.float64())), ("fold", pa.int32()), ("features", pa.list_(pa.int32())), ("earlier", pa.list_(pa.float64())), ("weights", pa.list_(pa.float64()))])
 
     def run(table: pa.Table) -> pa.Table:
         model = table.column("model")[0].as_py()
@@ -220,25 +218,29 @@ def fit_chain(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_rows: int = MAX_ROWS,
-    max_words: int = MAX_WORDS,
     folds: int = FOLDS,
 ) -> Chain:
     """Learn ``categories``, columns of ``labels`` with 0 or 1, in their order.
 
-    Rows with a null id or label and labels without a text are not used; of
-    labels that repeat an id one row counts.  Without labelled rows the chain
-    gives 0.5 to every text.
+    Rows with a null id or label and labels without a text are not used.  An
+    id that is labelled more than once is in a category if any row says so; of
+    several texts under one id that with the smallest word hashes counts.  Of
+    more than ``max_rows`` labelled ids about so many are drawn, by a hash of
+    the id.  Words take part whose share in a category departs from chance
+    (``LEAST_Z`` deviations, ``LEAST_TEXTS`` texts), all of them.  Without
+    labelled rows the chain gives 0.5 to every text.
     """
-    known = labels.select(F.col(id_col).cast("bigint").alias("id"), F.array(*[F.col(c).cast("double") for c in categories]).alias("labels"))
-    known = known.where(F.col("id").isNotNull() & ~F.exists("labels", lambda x: x.isNull()))
+    valued = labels.select(F.col(id_col).cast("string").alias("id"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(categories)])
+    known = valued.na.drop().groupBy("id").agg(*[F.max(f"c{i}").alias(f"c{i}") for i in range(len(categories))])
+    known = known.select("id", F.array(*[f"c{i}" for i in range(len(categories))]).alias("labels"))
     share = min(1.0, max_rows / max(known.count(), 1))
     order = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 30))
-    known = known.where(order < int(share * (1 << 30))).limit(max_rows).dropDuplicates(["id"])
+    known = known.where(order < int(share * (1 << 30)))
     known = keep(known.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), F.col("id")), F.lit(folds)).cast("int")), "labels")
     bits = id_filter(known, "id")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"), place_column("id").alias("place"))
-    texts = texts.where("id is not null").mapInArrow(_sample_words(bits), "id bigint, words binary")
-    sample = keep(texts.join(known, "id").dropDuplicates(["id"]), "sample")
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), text_of(text_col).alias("text"), place_column("id").alias("place"))
+    texts = texts.where("id is not null").mapInArrow(_sample_words(bits), "id string, words binary")
+    sample = keep(texts.join(known, "id").groupBy("id", "labels", "fold").agg(F.min("words").alias("words")), "sample")
 
     n = len(categories)
     counted = sample.mapInArrow(_count_words(n), "word bigint, n bigint, " + ", ".join(f"c{c} bigint" for c in range(n)))
@@ -252,8 +254,7 @@ def fit_chain(
     for c in range(n):
         p = ((totals[f"c{c}"] or 0) + 0.5) / (totals["n"] + 1)
         z = F.abs((F.col(f"c{c}") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p)))
-        best = counted.select("word", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(max_words)
-        chosen.append({r["word"] for r in best.collect()})
+        chosen.append({r["word"] for r in counted.where(z >= LEAST_Z).select("word").collect()})
     words = np.sort(np.array(sorted(set().union(*chosen)), np.int64).view(np.uint64))
     own_words = [np.isin(words, np.array(sorted(x), np.int64).view(np.uint64)) for x in chosen]
 
@@ -262,7 +263,7 @@ def fit_chain(
     for c in range(n):
         models = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(folds))))
         trained = keep(
-            models.groupBy("model").applyInArrow(_train(c, own_words[c], folds), f"{_ROW}, weights array<double>"), "trained"
+            models.repartitionById(folds + 1, F.col("model")).groupBy("model").applyInArrow(_train(c, own_words[c], folds), f"{_ROW}, weights array<double>"), "trained"
         )
         fitted = trained.where("weights is not null").select("weights").first()
         empty = np.zeros(len(words) + c + 1)
