@@ -7,7 +7,7 @@ them; tests compare those with brute force or check their laws.
 
 from __future__ import annotations
 
-from arealis.llm.licenses import BY_LINE, BY_SENTENCE, RULES, SENTENCES, sequence_of
+from arealis.llm.licenses import ACROSS, BY_LINE, BY_SENTENCE, RULES, SENTENCES, sequence_of
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALPHANUMERIC = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -28,27 +28,34 @@ def _base32(hex_column: str) -> str:
 
 def _licences() -> str:
     table = ", ".join(f"({_quoted(s)}, {_quoted(i)})" for s, i in SENTENCES.items())
-    state = "SELECT doc_id, way, ids, seq AS seq0, ''::VARCHAR AS hits0 FROM joined"
+    state = "SELECT doc_id, ids, seq AS seq0, ''::VARCHAR AS hits0 FROM joined"
     for k, (name, ids) in enumerate(RULES):
         pattern = _quoted(sequence_of(ids))
         state = (
-            f"SELECT doc_id, way, ids, replace(seq{k}, {pattern}, '|') AS seq{k + 1}, "
+            f"SELECT doc_id, ids, replace(seq{k}, {pattern}, '|') AS seq{k + 1}, "
             f"CASE WHEN contains(seq{k}, {pattern}) THEN hits{k} || ',' || {_quoted(name)} ELSE hits{k} END AS hits{k + 1} FROM ({state})"
         )
     n = len(RULES)
+    plain = "trim(regexp_replace(lower(s.s), '[^a-z0-9]+', ' ', 'g'))"
     return f"""
     WITH known(sentence, id) AS (VALUES {table}),
-    pieces AS (
-      SELECT doc_id, way, p.i, trim(regexp_replace(lower(p.s), '[^a-z0-9]+', ' ', 'g')) AS sentence
-      FROM (SELECT doc_id, way, unnest(list_zip(parts, range(1, len(parts) + 1))) AS z
-            FROM (SELECT doc_id, 0 AS way, regexp_split_to_array(coalesce(text, ''), {_quoted(BY_LINE)}) AS parts FROM documents
-                  UNION ALL
-                  SELECT doc_id, 1, regexp_split_to_array(coalesce(text, ''), {_quoted(BY_SENTENCE)}) FROM documents)),
-           LATERAL (SELECT z[1] AS s, z[2] AS i) p),
-    found AS (SELECT doc_id, way, list(id ORDER BY i) AS ids FROM pieces JOIN known USING (sentence) GROUP BY 1, 2),
-    best AS (SELECT doc_id, arg_max(way, len(ids) * 2 - way) AS way FROM found GROUP BY 1),
-    joined AS (SELECT doc_id, way, ids, list_reduce(list_prepend('', list_transform(ids, lambda x: ';' || x || ';')), lambda a, b: a || b) AS seq
-               FROM found JOIN best USING (doc_id, way)),
+    doc AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    spoken AS (SELECT doc_id, unnest(p) AS s, unnest(range(len(p))) AS i
+               FROM (SELECT doc_id, regexp_split_to_array(text, {_quoted(BY_SENTENCE)}) AS p FROM doc)),
+    read AS (SELECT s.*, k.id FROM spoken s LEFT JOIN known k ON k.sentence = {plain}),
+    lines AS (SELECT doc_id, i, unnest(p) AS s, unnest(range(len(p))) AS j
+              FROM (SELECT doc_id, i, regexp_split_to_array(s, {_quoted(BY_LINE)}) AS p FROM read WHERE id IS NULL)),
+    across AS (SELECT doc_id, unnest(p) AS s, unnest(range(len(p))) AS i
+               FROM (SELECT doc_id, regexp_split_to_array(text, {_quoted(BY_LINE)}) AS p FROM doc
+                     WHERE regexp_matches(text, '[.!?:][\x0B\f]'))),
+    found AS (
+      SELECT doc_id, list(id ORDER BY part, i, j) AS ids FROM (
+        SELECT doc_id, 0 AS part, i, 0 AS j, id FROM read WHERE id IS NOT NULL
+        UNION ALL SELECT doc_id, 0, i, j, k.id FROM lines s JOIN known k ON k.sentence = {plain}
+        UNION ALL SELECT doc_id, 1, i, 0, k.id FROM across s JOIN known k ON k.sentence = {plain}
+                  WHERE regexp_matches(s, {_quoted(ACROSS)})) GROUP BY 1),
+    joined AS (SELECT doc_id, ids, list_reduce(list_prepend('', list_transform(ids, lambda x: ';' || x || ';')), lambda a, b: a || b) AS seq
+               FROM found),
     done AS ({state})
     SELECT d.doc_id, coalesce(len(ids), 0)::BIGINT AS n_sentences,
            coalesce(array_to_string(ids, ','), '') AS sentence_ids,
