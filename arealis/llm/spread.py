@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share; a local one only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``, which all executors share.
+
+    Where it is unset, a local session gets a folder of its own, and a cluster
+    an error: a folder of one machine would lose data there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='llm-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
