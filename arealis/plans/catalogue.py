@@ -690,35 +690,57 @@ def linear_regression_with_test(spark, root):
 
 @query
 def random_forest_by_key(spark, root):
+    """A forest for every supplier, all grown together."""
     return ops.random_forest_by_key(
         load(spark, root, "lineitem"),
-        "l_returnflag",
-        LINE_FEATURES,
+        "l_suppkey",
+        ["l_quantity", "l_discount", "l_tax"],
         "l_extendedprice",
-        ["A", "N", "R"],
         id_cols=LINE_ID,
-        params=ops.ForestParams(
-            num_trees=10, max_depth=4, max_bins=50, subsampling_rate=0.9, train_split=0.9,
-            feature_subset="sqrt", bootstrap=True, min_info_gain=0.01, min_instances_per_node=2,
-            min_weight_fraction_per_node=0.1,
-        ),
+        params=ops.ForestParams(num_trees=8, max_depth=3, feature_subset="onethird", subsampling_rate=0.7, min_instances_per_node=5),
     )
 
 
+@query
+def random_forest_stump(spark, root):
+    """One tree of one split on all training rows, which SQL can find too."""
+    quality = ops.random_forest_by_key(
+        load(spark, root, "lineitem"),
+        "l_suppkey",
+        ["l_quantity"],
+        "l_extendedprice",
+        id_cols=LINE_ID,
+        params=ops.ForestParams(num_trees=1, max_depth=1, max_bins=64, min_instances_per_node=3),
+    )
+    return quality.select("l_suppkey", "test_n", F.round("rmse", 3).alias("rmse"), F.round("r2", 5).alias("r2"))
+
+
 @query
 def gbt_by_key(spark, root):
+    """Boosted trees for every supplier, all grown together."""
     return ops.gbt_by_key(
+        load(spark, root, "lineitem"),
+        "l_suppkey",
+        LINE_FEATURES,
+        "l_extendedprice",
+        id_cols=LINE_ID,
+        params=ops.BoostParams(max_iter=4, max_depth=2, step_size=0.25, min_instances_per_node=10),
+    )
+
+
+@query
+def gbt_held_out(spark, root):
+    """The rows that the boosted trees of each return flag were measured on."""
+    quality = ops.gbt_by_key(
         load(spark, root, "lineitem"),
         "l_returnflag",
         LINE_FEATURES,
         "l_extendedprice",
-        ["A", "N", "R"],
+        ["R", "N", "none", "A"],
         id_cols=LINE_ID,
-        params=ops.BoostParams(
-            max_iter=5, step_size=0.1, max_depth=4, max_bins=50, subsampling_rate=0.9, train_split=0.9,
-            feature_subset="sqrt", min_info_gain=0.01, min_instances_per_node=2, min_weight_fraction_per_node=0.1,
-        ),
+        params=ops.BoostParams(max_iter=2, max_depth=1, train_split=0.6),
     )
+    return quality.select("l_returnflag", "test_n")
 
 
 @query

@@ -450,6 +450,28 @@ SELECT asked.l_returnflag, rmse, r2, intercept, slope
 FROM (VALUES ('R'), ('A'), ('N'), ('none')) asked(l_returnflag) LEFT JOIN fitted USING (l_returnflag)
 """
 
+ORACLE["random_forest_stump"] = f"""
+WITH split AS ({_LINE_SPLIT}),
+train AS (SELECT l_suppkey, l_quantity, l_extendedprice FROM split WHERE place < 80),
+whole AS (SELECT l_suppkey, count(*) AS n, sum(l_extendedprice) AS s, avg(l_extendedprice) AS m FROM train GROUP BY 1),
+cut AS (
+  SELECT DISTINCT l_suppkey, l_quantity AS edge, count(*) OVER w AS nl, sum(l_extendedprice - m) OVER w AS sl, n, m
+  FROM train JOIN whole USING (l_suppkey) WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_quantity)),
+best AS (
+  SELECT l_suppkey, arg_max(edge, gain) AS edge, arg_max(m + sl / nl, gain) AS below, arg_max(m - sl / (n - nl), gain) AS above
+  FROM (SELECT *, sl * sl / nl + sl * sl / (n - nl) AS gain FROM cut WHERE nl >= 3 AND n - nl >= 3) GROUP BY 1)
+SELECT s.l_suppkey, count(*) AS test_n,
+       round(sqrt(avg(pow(l_extendedprice - CASE WHEN l_quantity <= edge THEN below ELSE above END, 2))), 3) AS rmse,
+       round(1 - avg(pow(l_extendedprice - CASE WHEN l_quantity <= edge THEN below ELSE above END, 2)) / var_pop(l_extendedprice), 5) AS r2
+FROM split s JOIN best b ON s.l_suppkey = b.l_suppkey WHERE place >= 80 GROUP BY 1
+"""
+
+ORACLE["gbt_held_out"] = f"""
+WITH split AS ({_LINE_SPLIT})
+SELECT asked.l_returnflag, n AS test_n FROM (VALUES ('R'), ('N'), ('none'), ('A')) asked(l_returnflag)
+LEFT JOIN (SELECT l_returnflag, count(*) AS n FROM split WHERE place >= 60 GROUP BY 1) USING (l_returnflag)
+"""
+
 ORACLE["score_by_key"] = f"""
 WITH split AS ({_LINE_SPLIT})
 SELECT l_orderkey, l_linenumber, l_partkey, round(intercept + slope * l_quantity, 4) AS prediction

@@ -6,11 +6,12 @@ import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from arealis import operators as ops
 from arealis.functions import split_percentile
+from arealis.functions.split import MODULUS, row_hash
 from arealis.operators import moments
 from arealis.operators.keyed import spread_by_size
 
@@ -478,6 +479,113 @@ def test_trees_learn_and_repeat(spark, steps, which):
             assert row["rmse"] == pytest.approx(got[row["k"]]["rmse"], rel=1e-9)
 
 
+def grown(rows, splits, params, plan):
+    """Brute force of a single tree on all rows: list of (node, feature, value at the cut)."""
+    out = []
+
+    def grow(node, part, level):
+        x, y = np.array([r[0] for r in part]), np.array([r[1] for r in part])
+        best = None
+        if level < params.max_depth:
+            for f in range(x.shape[1]):
+                for cut in splits[f]:
+                    left = x[:, f] <= cut
+                    if min(left.sum(), (~left).sum()) < params.min_instances_per_node or left.all() or not left.any():
+                        continue
+                    gain = y.var() - (left.mean() * y[left].var() + (~left).mean() * y[~left].var())
+                    if gain > max(params.min_info_gain, 1e-9) and (best is None or gain > best[0] + 1e-9):
+                        best = (gain, f, cut, left)
+        if best is None:
+            out.append((node, None, round(float(y.mean()), 6)))
+            return
+        _, f, cut, left = best
+        out.append((node, f, cut))
+        grow(2 * node, [r for r, here in zip(part, left) if here], level + 1)
+        grow(2 * node + 1, [r for r, here in zip(part, left) if not here], level + 1)
+
+    grow(1, rows, 0)
+    return out
+
+
+@pytest.mark.parametrize("params", [ops.ForestParams(num_trees=1, max_depth=3), ops.ForestParams(num_trees=1, max_depth=5, min_info_gain=0.05, min_instances_per_node=9)])
+def test_one_tree_equals_brute_force(spark, params):
+    """A single tree on all training rows is the greedy tree; its error on the held-out rows tells."""
+    rng = random.Random(21)
+    rows = []
+    for key in "abc":
+        for i in range(240):
+            x, z = rng.randrange(12), rng.randrange(9)
+            rows.append((key, i, float(x), float(z), float((x > 4) * 5 + (z % 3 == 1) * (x - 3) + rng.randrange(5))))
+    df = spark.createDataFrame(rows, "k string, id int, x double, z double, y double").repartition(4)
+    got = {r["k"]: r for r in ops.random_forest_by_key(df, "k", ["x", "z"], "y", id_cols=["id"], params=params).collect()}
+    placed = {r["id"]: r["t"] for r in df.select("id", (row_hash(df, ["id"]) < 0.8 * MODULUS).alias("t")).distinct().collect()}
+    for key in "abc":
+        train = [((r[2], r[3]), r[4]) for r in rows if r[0] == key and placed[r[1]]]
+        test = [((r[2], r[3]), r[4]) for r in rows if r[0] == key and not placed[r[1]]]
+        splits = [sorted({r[0][f] for r in train})[:-1] for f in (0, 1)]
+        tree = {node: (f, cut) for node, f, cut in grown(train, splits, params, None)}
+
+        def predict(x):
+            node = 1
+            while tree[node][0] is not None:
+                node = 2 * node + (x[tree[node][0]] > tree[node][1])
+            return tree[node][1]
+
+        error = np.array([y - predict(x) for x, y in test])
+        y = np.array([y for _, y in test])
+        assert got[key]["test_n"] == len(test)
+        assert got[key]["rmse"] == pytest.approx(np.sqrt(np.mean(error**2)), rel=1e-5)
+        assert got[key]["r2"] == pytest.approx(1 - np.mean(error**2) / y.var(), rel=1e-4, abs=1e-6)
+
+
+@pytest.mark.parametrize("loss", ["squared", "absolute"])
+@pytest.mark.parametrize("iterations", [1, 2, 6])
+def test_boosting_equals_the_library(spark, steps, loss, iterations):
+    """All rows train and no feature is left out, so the library has nothing to draw."""
+    params = ops.BoostParams(max_iter=iterations, max_depth=2, step_size=0.3, loss=loss, max_bins=100, train_split=0.8)
+    even = steps.withColumns({"x": F.floor("x"), "z": F.floor(F.col("z") * 6)})
+    got = {r["k"]: r for r in ops.gbt_by_key(even, "k", ["x", "z"], "y", id_cols=["id"], params=params).collect()}
+    train = even.where(row_hash(even, ["id"]) < 0.8 * MODULUS)
+    test = even.where(row_hash(even, ["id"]) >= 0.8 * MODULUS)
+    for key in "ab":
+        parts = [ops.assemble(side.where(F.col("k") == key), ["x", "z"], keep=["y"]) for side in (train, test)]
+        model = GBTRegressor(labelCol="y", maxIter=iterations, maxDepth=2, stepSize=0.3, lossType=loss, maxBins=100).fit(parts[0])
+        want = RegressionEvaluator(labelCol="y", metricName="rmse").evaluate(model.transform(parts[1]))
+        assert got[key]["rmse"] == pytest.approx(want, rel=1e-5)
+
+
+def test_a_forest_is_about_as_good_as_the_library(spark, steps):
+    params = ops.ForestParams(num_trees=12, max_depth=4, bootstrap=True, feature_subset="sqrt", subsampling_rate=0.8)
+    got = {r["k"]: r for r in ops.random_forest_by_key(steps, "k", ["x", "z"], "y", id_cols=["id"], params=params).collect()}
+    train = steps.where(row_hash(steps, ["id"]) < 0.8 * MODULUS)
+    test = steps.where(row_hash(steps, ["id"]) >= 0.8 * MODULUS)
+    for key in "ab":
+        parts = [ops.assemble(side.where(F.col("k") == key), ["x", "z"], keep=["y"]) for side in (train, test)]
+        model = RandomForestRegressor(
+            labelCol="y", numTrees=12, maxDepth=4, subsamplingRate=0.8, bootstrap=True, featureSubsetStrategy="all", seed=3
+        ).fit(parts[0])
+        want = RegressionEvaluator(labelCol="y", metricName="rmse").evaluate(model.transform(parts[1]))
+        assert got[key]["rmse"] < 3 * want and got[key]["r2"] > 0.9
+
+
+def test_many_keys_odd_keys_and_constants(spark):
+    rows = [(f"k{i % 150}", i, float(i % 7), float(i % 7 > 3) * (i % 150)) for i in range(3000)]
+    rows += [("flat", 10_000 + i, 1.0, 5.0) for i in range(40)] + [("one", 99_999, 1.0, 2.0), (None, 5, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "key string, id int, x double, y double").repartition(3)
+    params = ops.ForestParams(num_trees=2, max_depth=2)
+    jobs = lambda: spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    before = len(jobs())
+    got = {r["key"]: r for r in ops.random_forest_by_key(df, "key", ["x"], "y", id_cols=["id"], params=params).collect()}
+    assert len(jobs()) - before < 120  # fewer than the keys
+    assert set(got) <= {r[0] for r in rows if r[0]} and len(got) >= 151
+    assert got["flat"]["rmse"] == pytest.approx(0, abs=1e-9) and got["flat"]["r2"] is None
+    assert all(got[f"k{i}"]["r2"] is None or got[f"k{i}"]["r2"] > 0.99 for i in range(1, 150))
+    shallow = ops.random_forest_by_key(df, "key", ["x"], "y", ["flat", "k7"], id_cols=["id"], params=ops.ForestParams(num_trees=1, max_depth=0))
+    assert {r["key"]: r["rmse"] is not None for r in shallow.collect()} == {"flat": True, "k7": True}
+    empty = ops.gbt_by_key(df.limit(0), "key", ["x"], "y", id_cols=["id"])
+    assert empty.collect() == []
+
+
 def test_trees_check_their_columns(steps):
     with pytest.raises(ValueError):
         ops.random_forest_by_key(steps, "k", ["x", "y"], "y", ["a"], id_cols=["id"])
