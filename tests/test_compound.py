@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from arealis.operators import Leaf, compound, compound_join
@@ -75,6 +77,54 @@ def test_nested_trees(spark, shape):
     assert got["y"]["s"] == 9
 
 
+def merged(a, b, how):
+    """Brute force of one join of {key: row dict} and lists of keyless rows, null values as missing ones."""
+    (left, left_solo), (right, right_solo) = a, b
+    keys = {"inner": left.keys() & right.keys(), "left": left.keys(), "right": right.keys(), "full": left.keys() | right.keys()}[how]
+    rows = {}
+    for k in keys:
+        rows[k] = {c: v for c, v in right.get(k, {}).items() if v is not None}
+        rows[k] |= {c: v for c, v in left.get(k, {}).items() if v is not None}
+    return rows, (left_solo if how in ("left", "full") else []) + (right_solo if how in ("right", "full") else [])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_any_tree_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    leaves = []
+    for i in range(4):
+        rows = [
+            (rng.choice([None, None, *"uvwxyz"]), j, rng.choice([None, j]), rng.choice([None, i])) for j in range(rng.randrange(0, 12))
+        ]
+        rows += [r for r in rows if r[0] is None]  # equal keyless rows
+        df = spark.createDataFrame(rows, f"k string, o{i} int, v{i} int, shared int")
+        last = {r[0]: {f"o{i}": r[1], f"v{i}": r[2], "shared": r[3]} for r in sorted(rows, key=lambda r: r[1]) if r[0]}
+        solo = [{f"o{i}": r[1], f"v{i}": r[2], "shared": r[3]} for r in rows if r[0] is None]
+        leaves.append((Leaf(df, [f"o{i}"]), (last, [{c: v for c, v in s.items() if v is not None} for s in solo])))
+
+    def build(items):
+        if len(items) == 1:
+            return items[0]
+        at, how = rng.randrange(1, len(items)), rng.choice(["inner", "left", "right", "full"])
+        (a, x), (b, y) = build(items[:at]), build(items[at:])
+        return (a, how, b), merged(x, y, how)
+
+    tree, (rows, solo) = build([*leaves, leaves[0]] if seed % 2 else leaves)
+    got = [{c: v for c, v in r.asDict().items() if v is not None} for r in compound(tree, "k").collect()]
+    want = [{"k": k} | row for k, row in rows.items()] + solo
+    assert sorted(map(repr, (sorted(r.items()) for r in got))) == sorted(map(repr, (sorted(r.items()) for r in want)))
+
+
+def test_columns_of_any_name(spark):
+    a = Leaf(spark.createDataFrame([("x", 1, 2, 3)], "k string, key int, leaf0 int, `a.b` int"), unique=True)
+    b = Leaf(spark.createDataFrame([("x", 4), (None, 5)], "k string, copies int"), ["copies"])
+    got = compound((a, "full", b), "k")
+    assert got.columns == ["k", "key", "leaf0", "a.b", "copies"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [("x", 1, 2, 3, 4), (None, None, None, None, 5)]))
+    only = spark.createDataFrame([("x",), ("x",), ("y",)], "k string")
+    assert sorted(r["k"] for r in compound(Leaf(only, ["k"]), "k").collect()) == ["x", "y"]
+
+
 def test_three_levels(spark):
     leaves = [
         Leaf(spark.createDataFrame([(k, i) for k in "xyz"[: 3 - i % 2]], f"k string, v{i} int"), unique=True) for i in range(4)

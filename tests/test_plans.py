@@ -75,16 +75,13 @@ def test_test_rows_are_reduced_before_they_meet_the_models(spark, lines):
     assert count(plan, "Exchange") == 2 and count(plan, "SortMergeJoin") == 1
 
 
-def test_compound_join_uses_the_partitioning_of_the_aggregations(spark):
+def test_compound_reads_each_leaf_once_in_one_shuffle(spark):
     orders = load(spark, ROOT, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", "o_totalprice")
     left = ops.Leaf(orders, ["o_orderkey"])
     right = ops.Leaf(orders.withColumnRenamed("o_totalprice", "price"), ["price", "o_orderkey"])
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = plan_of(ops.compound(((left, "inner", right), "left", left), "k").drop("price"))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert count(plan, "Exchange") == 3 and count(plan, "SortMergeJoin") == 2
+    for tree in ((left, "full", right), ((left, "inner", right), "inner", left)):
+        plan = plan_of(ops.compound(tree, "k"))
+        assert count(plan, "Exchange") == 1 and count(plan, "Scan parquet") == 2 and "Join" not in plan.split("\n\n")[0]
 
 
 @pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
