@@ -9,7 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DataType, DateType, StringType, TimestampNTZType, TimestampType
 
 # Bucket granularities of whole days, and shorter ones with their seconds.
 CALENDAR = ("day", "week", "month", "quarter", "year")
@@ -83,11 +83,15 @@ def bucket_start(df: DataFrame, column: str, granularity: str) -> Column:
     shorter ones.
     ``all`` puts every row into one bucket, ``none`` keeps the instant itself.
     """
+    return bucket_start_of(df.schema[column].dataType, F.col(column), granularity)
+
+
+def bucket_start_of(kind: DataType, moment: Column, granularity: str) -> Column:
+    """:func:`bucket_start` of any column expression of the given type."""
     grain = granularity.lower()
     if grain not in GRANULARITIES:
         raise ValueError(f"unknown granularity {granularity!r}, expected one of {GRANULARITIES}")
-    moment = F.col(column)
-    if isinstance(df.schema[column].dataType, StringType):
+    if isinstance(kind, StringType):
         moment = F.to_timestamp(moment)
     if grain == "all":
         return F.lit(dt.date(1970, 1, 1))
@@ -98,7 +102,7 @@ def bucket_start(df: DataFrame, column: str, granularity: str) -> Column:
     if grain == "none":
         return moment
     seconds = CLOCK.get(grain)
-    if isinstance(df.schema[column].dataType, TimestampNTZType):
+    if isinstance(kind, TimestampNTZType):
         # wall-clock arithmetic, free of any time zone
         of_day = F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)
         since_midnight = F.make_dt_interval(secs=of_day - F.pmod(of_day, F.lit(seconds)))
@@ -108,3 +112,28 @@ def bucket_start(df: DataFrame, column: str, granularity: str) -> Column:
         return F.date_trunc(grain, moment)
     instant = F.unix_seconds(moment)
     return F.timestamp_seconds(instant - F.pmod(instant, F.lit(seconds)))
+
+
+def bucket_series(df: DataFrame, column: str, granularity: str, intervals: Sequence[tuple[Any, Any]]) -> Column:
+    """The starts of all buckets that the half-open intervals touch, as an ascending array of a constant length."""
+    grain = granularity.lower()
+    text = isinstance(df.schema[column].dataType, StringType)
+    parts = []
+    for start, end in intervals:
+        bounds = [typed(df, column, v.isoformat() if isinstance(v, dt.date) else v) for v in (start, end)]
+        ends = df.select(bounds[0].alias("start"), bounds[1].alias("end"))
+        # the same rules as for a column of the frame, on constants
+        first = bucket_start_of(ends.schema["start"].dataType, bounds[0], grain)
+        last = F.to_timestamp(bounds[1]) if text else bounds[1]
+        if grain == "all":
+            parts.append(F.array(first))
+            continue
+        if grain == "day" or grain in CALENDAR:
+            step = F.expr(f"interval {'1 day' if grain == 'day' else '3 month' if grain == 'quarter' else '1 ' + grain}")
+            series = F.sequence(first, F.greatest(first, last.cast("date")), step)
+        else:
+            step = F.expr(f"interval {CLOCK[grain]} second")
+            kind = "timestamp_ntz" if isinstance(df.schema[column].dataType, TimestampNTZType) else "timestamp"
+            series = F.sequence(first, F.greatest(first, last.cast(kind)), step)
+        parts.append(F.filter(series, lambda b: b < last))
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*parts))))

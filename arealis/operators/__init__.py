@@ -54,7 +54,7 @@ from arealis.operators.stages import (
     union_with,
     unwind,
 )
-from arealis.operators.timeseries import date_range, range_average, time_bucket_agg, top_n_per_bucket
+from arealis.operators.timeseries import date_range, range_average, time_bucket_agg, time_bucket_filled, top_n_per_bucket
 from arealis.operators.trees import BoostParams, ForestParams, gbt_by_key, random_forest_by_key
 from arealis.operators.windows import moving_average, moving_average_docs
 

@@ -10,49 +10,54 @@ from typing import Any, TypeVar
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 T = TypeVar("T")
 
-# Beyond this many keys the list is joined instead of written into the filter.
+# Up to this many keys are written into the filter, where they reach the files; more are joined.
 MAX_IN_FILTER = 1_000
-# A request holds its key list in memory; a longer one belongs in a table.
-MAX_REQUESTED = 100_000
 # Fits run many short jobs; smaller partitions than this only add tasks.
 MIN_ROWS_PER_PARTITION = 10_000
+ROWS_PER_PARTITION = 100_000
 
 
-def _check(keys: Sequence[Any]) -> list[Any]:
-    keys = list(keys)
-    if len(keys) > MAX_REQUESTED:
-        raise ValueError(f"{len(keys)} requested keys; above {MAX_REQUESTED}, join with a table of keys")
-    return keys
+def _listed(df: DataFrame, key: str, keys: Sequence[Any], ord_col: str) -> DataFrame:
+    """A list of keys as a table, numbered in its order."""
+    schema = StructType([StructField(ord_col, LongType(), False), StructField(key, df.schema[key].dataType)])
+    return df.sparkSession.createDataFrame(list(enumerate(keys)), schema)
 
 
-def restrict_keys(df: DataFrame, key: str, keys: Sequence[Any]) -> DataFrame:
-    """Rows of the requested keys.
+def restrict_keys(df: DataFrame, key: str, keys: Sequence[Any] | DataFrame) -> DataFrame:
+    """Rows of the requested keys, a list or a table with a column ``key``.
 
-    A short list becomes a filter that reaches the files; a longer one, whose
-    length is checked, becomes a broadcast semi-join.
+    A short list becomes a filter that reaches the files; a longer one, or a
+    table, becomes a semi-join.  No broadcast is forced: the planner knows the
+    size of either.  The values are taken in the column's type in all cases.
     """
-    wanted = list(dict.fromkeys(_check(keys)))
+    if isinstance(keys, DataFrame):
+        return df.join(keys.select(F.col(key).cast(df.schema[key].dataType).alias(key)), key, "left_semi")
+    wanted = list(dict.fromkeys(keys))
     if len(wanted) <= MAX_IN_FILTER:
-        return df.where(F.col(key).isin(wanted))
-    schema = StructType([StructField(key, df.schema[key].dataType)])
-    listed = df.sparkSession.createDataFrame([(k,) for k in wanted], schema)
-    return df.join(F.broadcast(listed), key, "left_semi")
+        return df.where(F.col(key).isin([F.lit(k).cast(df.schema[key].dataType) for k in wanted]))
+    return df.join(_listed(df, key, wanted, "_ord").select(key), key, "left_semi")
 
 
-def for_keys(result: DataFrame, keys: Sequence[Any], key: str, *, ord_col: str = "ord") -> DataFrame:
+def for_keys(result: DataFrame, keys: Sequence[Any] | DataFrame, key: str, *, ord_col: str = "ord") -> DataFrame:
     """Answer every requested key, in request order.
 
-    A key asked for twice is answered twice and a key without data gives a row
-    of nulls; ``ord`` is the position in the request.  The other columns come
-    from ``result``, which should hold few rows per key (documents, counts,
-    models), since a key's rows are repeated for each time it is asked for.
+    ``keys`` is a list, or a table with the columns ``key`` and ``ord``, of any
+    length.  A key asked for twice is answered twice and a key without data
+    gives a row of nulls; ``ord`` is the position in the request.  The other
+    columns come from ``result``, which should hold few rows per key
+    (documents, counts, models), since a key's rows are repeated for each time
+    it is asked for.  Where ``result`` is grouped by the key, only the rows of
+    requested keys are aggregated.
     """
-    schema = StructType([StructField(ord_col, IntegerType(), False), StructField(key, result.schema[key].dataType)])
-    requested = result.sparkSession.createDataFrame(list(enumerate(_check(keys))), schema)
+    if isinstance(keys, DataFrame):
+        requested = keys.select(ord_col, F.col(key).cast(result.schema[key].dataType).alias(key))
+    else:
+        keys = list(keys)
+        requested = _listed(result, key, keys, ord_col).withColumn(ord_col, F.col(ord_col).cast("int"))
     answers = restrict_keys(result, key, keys)
     return requested.join(answers, key, "left").select(
         ord_col, key, *[answers[c] for c in result.columns if c != key]
@@ -73,8 +78,7 @@ def spread_by_size(
     # one count per requested key
     sizes = {row[key]: row["n"] for row in rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
-    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = partitions or max(1, min(most, math.ceil(total / MIN_ROWS_PER_PARTITION)))
+    n = partitions or max(1, math.ceil(total / ROWS_PER_PARTITION))
     share = max(1.0, total / n)
     slots, before = [], 0
     for value in sorted(sizes):

@@ -16,6 +16,10 @@ from arealis.operators.positions import ROWS_PER_TASK
 from arealis.operators.skew import BLOCK, MAX_CUTS, order_number, with_ranges
 
 
+#: places that :func:`row_hash` gives, as a power of two, and intervals in which they are counted at a time
+_PLACES, _INTERVALS = 1 << 31, 1 << 16
+
+
 def match(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
     """Rows that meet all conditions of ``spec``."""
     return df.where(predicate(spec, df.schema))
@@ -218,13 +222,30 @@ def bucket_auto(df: DataFrame, column: str, n: int, *, rows_per_task: int = ROWS
 
 
 def sample_n(df: DataFrame, n: int, seed: int, *, id_cols: Sequence[str] | None = None) -> DataFrame:
-    """``n`` rows drawn at random.
+    """``n`` rows drawn at random: those with the lowest hashes of their ids (without ``id_cols``: of the whole row).
 
-    With ``id_cols`` the draw depends on the ids and the seed alone, so it is
-    the same however the rows are laid out.
+    The draw depends on the ids and the seed alone, so it is the same however
+    the rows are laid out; of rows with equal hashes the first by id are taken.
+    The hash up to which rows are taken is found by counting hashes in
+    intervals, twice; then the rows below it are a filter, and only those
+    exactly at it are ordered.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    if id_cols is None:
-        return df.orderBy(F.rand(seed)).limit(n)
-    return df.orderBy(row_hash(df, id_cols, seed), *id_cols).limit(n)
+    ids = list(id_cols) if id_cols is not None else df.columns
+    place = row_hash(df, ids, seed)
+    low, width, taken = 0, _PLACES, 0
+    while width > 1:
+        # the interval [low, low + width) holds the last place; count it in finer ones
+        step = max(1, width // _INTERVALS)
+        inside = df.select(place.alias("p")).where((F.col("p") >= low) & (F.col("p") < low + width))
+        counts = inside.groupBy(F.floor((F.col("p") - low) / step).alias("i")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for row in sorted(counts, key=lambda r: r["i"]):
+            if taken + row["n"] >= n:
+                low, width = low + int(row["i"]) * step, step
+                break
+            taken += row["n"]
+        else:
+            return df  # no more rows than asked for
+    last = df.where(place == low).orderBy(*ids).limit(n - taken)
+    return df.where(place < low).unionAll(last)

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arealis.functions.dates import bucket_start, day_bounds, in_intervals
+from arealis.functions.dates import bucket_series, bucket_start, day_bounds, in_intervals
 from arealis.functions.predicates import predicate
 
 
@@ -61,6 +61,46 @@ def time_bucket_agg(
     )
 
 
+def time_bucket_filled(
+    df: DataFrame,
+    ts: str,
+    granularity: str,
+    *,
+    aggs: Mapping[str, Column],
+    intervals: Sequence[tuple[Any, Any]],
+    empty: Mapping[str, Any] | None = None,
+    where: Mapping[str, Any] | Column | None = None,
+    dims: Sequence[str] = (),
+    out: str = "bucket",
+) -> DataFrame:
+    """:func:`time_bucket_agg` with a row for every bucket of the intervals, whether it has data or not.
+
+    With ``dims`` that holds for each combination of their values that occurs.
+    A bucket counts as soon as it begins before an interval's end and reaches
+    into it.  ``empty`` gives the value of an aggregate where there are no rows
+    (0 for counts and sums, say); others are null there.
+
+    The buckets are calculated from the intervals, per combination, and meet
+    the aggregated rows, so no input row is read or moved for it.
+    """
+    if granularity.lower() == "none":
+        raise ValueError("single instants cannot be filled")
+    found = time_bucket_agg(df, ts, granularity, aggs=aggs, intervals=intervals, where=where, dims=dims, out=out)
+    groups = found.select(*dims).distinct() if dims else df.sparkSession.range(1).select()
+    spine = groups.select(
+        *[F.col(d).alias(f"_dim{i}") for i, d in enumerate(dims)], F.explode(bucket_series(df, ts, granularity, intervals)).alias("_bucket")
+    )
+    met = F.col("_bucket") == F.col(out)
+    for i, d in enumerate(dims):
+        met = met & F.col(f"_dim{i}").eqNullSafe(F.col(d))
+    joined = spine.join(found.withColumn("_found", F.lit(True)), met, "left")
+    values = [
+        F.when(F.col("_found"), F.col(name)).otherwise(F.lit((empty or {}).get(name)).cast(found.schema[name].dataType)).alias(name)
+        for name in aggs
+    ]
+    return joined.select(F.col("_bucket").alias(out), *[F.col(f"_dim{i}").alias(d) for i, d in enumerate(dims)], *values)
+
+
 def top_n_per_bucket(
     df: DataFrame,
     ts: str,

@@ -171,6 +171,10 @@ ORACLE["sample_rows"] = f"""
 SELECT o_orderkey, o_totalprice FROM orders ORDER BY {_hash("o_orderkey", seed=7)}, o_orderkey LIMIT 100
 """
 
+ORACLE["sample_rows_random"] = f"""
+SELECT o_orderkey, o_custkey FROM orders ORDER BY {_hash("o_orderkey", "o_custkey", seed=7)}, o_orderkey, o_custkey LIMIT 100
+"""
+
 ORACLE["moving_average"] = f"""
 SELECT user_id, day, round(avg, 6) AS avg FROM (
   SELECT user_id, day,
@@ -222,6 +226,15 @@ FROM asked a LEFT JOIN (SELECT c_nationkey, count(*) AS n_customers FROM custome
   ON a.c_nationkey = c.c_nationkey
 """
 
+ORACLE["requested_keys_table"] = """
+WITH asked AS (
+  SELECT -c_custkey AS ord, c_custkey AS o_custkey FROM customer
+  UNION ALL SELECT c_custkey, c_custkey FROM customer WHERE c_custkey % 3 = 0
+  UNION ALL SELECT -c_custkey - 10000000, c_custkey + 10000000 FROM customer)
+SELECT ord, o_custkey, n, spent FROM asked
+LEFT JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent FROM orders GROUP BY 1) USING (o_custkey)
+"""
+
 ORACLE["array_window_means"] = """
 SELECT vec_id, CAST(len(embedding) - 7 AS BIGINT) AS n_windows, CAST(len(embedding) - 7 AS BIGINT) AS n_range,
        round(list_sum(CAST(embedding[1:8] AS DOUBLE[])) / 8, 6) AS first_mean,
@@ -261,6 +274,20 @@ SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS bucket, round(su
 FROM events GROUP BY 1
 """
 
+ORACLE["time_bucket_filled"] = """
+WITH weeks AS (
+  SELECT CAST(unnest(generate_series(DATE '1995-01-09', DATE '1996-02-29', INTERVAL 7 DAY)) AS DATE) AS bucket
+  UNION SELECT CAST(unnest(generate_series(DATE '1997-05-26', DATE '1997-06-19', INTERVAL 7 DAY)) AS DATE)),
+found AS (
+  SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS bucket, l_returnflag, count(*) AS n, sum(l_quantity) AS quantity,
+         round(avg(l_extendedprice), 4) AS mean_price
+  FROM lineitem
+  WHERE l_quantity = 7 AND ((l_shipdate >= TIMESTAMP '1995-01-10' AND l_shipdate < TIMESTAMP '1996-03-01')
+                         OR (l_shipdate >= TIMESTAMP '1997-06-01' AND l_shipdate < TIMESTAMP '1997-06-20')) GROUP BY 1, 2)
+SELECT bucket, l_returnflag, coalesce(n, 0) AS n, coalesce(quantity, 0) AS quantity, mean_price
+FROM (SELECT bucket, l_returnflag FROM weeks, (SELECT DISTINCT l_returnflag FROM found)) LEFT JOIN found USING (bucket, l_returnflag)
+"""
+
 ORACLE["top_n_per_bucket"] = """
 SELECT bucket, user_id, n, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY n DESC, user_id) AS rank

@@ -75,8 +75,32 @@ def test_long_key_lists_are_joined(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
     assert ops.restrict_keys(df, "k", list(range(0, 6000, 2))).count() == 2500
     assert ops.restrict_keys(df, "k", [3, 3, 9999]).count() == 1
-    with pytest.raises(ValueError):
-        ops.restrict_keys(df, "k", range(200_000))
+    # no length is too long
+    assert ops.restrict_keys(df, "k", range(4000, 200_000)).count() == 1000
+    assert ops.for_keys(df.withColumn("v", F.lit(1)), range(120_000), "k").agg(F.sum("v"), F.count("*")).first() == (5000, 120_000)
+
+
+def test_keys_are_taken_in_the_type_of_the_column(spark):
+    df = spark.createDataFrame([("1", 5), ("01", 6)], "k string, v int")
+    for keys in ([1], [*range(1, 2000)], spark.range(1, 3).withColumnsRenamed({"id": "k"})):
+        assert [r["v"] for r in ops.restrict_keys(df, "k", keys).collect()] == [5]
+
+
+def test_requested_keys_from_a_table(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4)], "k string, v int")
+    sums = df.groupBy("k").agg(F.sum("v").alias("v"))
+    asked = spark.createDataFrame([(7, "b"), (1, "q"), (3, "b"), (2, None), (0, "a")], "ord long, k string")
+    got = ops.for_keys(sums, asked, "k").orderBy("ord").collect()
+    assert [tuple(r) for r in got] == [(0, "a", 1), (1, "q", None), (2, None, None), (3, "b", 5), (7, "b", 5)]
+    assert ops.for_keys(sums, asked.limit(0), "k").collect() == []
+
+
+def test_only_requested_keys_are_aggregated(spark):
+    rows = spark.range(1000).selectExpr("id % 100 AS k", "id AS v")
+    asked = spark.range(5).selectExpr("id AS ord", "id * 7 AS k")
+    plan = ops.for_keys(rows.groupBy("k").agg(F.sum("v").alias("v")), asked, "k")._jdf.queryExecution().optimizedPlan().toString()
+    aggregate = plan.index("Aggregate")
+    assert "LeftSemi" in plan[aggregate:] and "LeftSemi" not in plan[:aggregate]
 
 
 def test_layout_spreads_large_keys_only(spark):

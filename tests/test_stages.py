@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from arealis import operators as ops
 from arealis.functions import in_intervals, inside_polygon, int_range, normalize_key, parse_date, slice_from, window_means
+from arealis.functions.split import row_hash
 
 
 @pytest.fixture(scope="module")
@@ -208,6 +209,29 @@ def test_sample(spark):
     assert by_id != {r["id"] for r in ops.sample_n(df, 10, 4, id_cols=["id"]).collect()}
 
 
+@pytest.mark.parametrize("n", [1, 7, 250, 499, 500, 501, 5000])
+def test_samples_are_the_lowest_hashes(spark, n):
+    """Also with repeated ids, whose hashes are equal."""
+    df = spark.createDataFrame([(i // 3 % 150, i) for i in range(500)], "id int, v int").repartition(4)
+    place = row_hash(df, ["id"], 9)
+    want = [r["p"] for r in df.select(place.alias("p")).orderBy("p").limit(n).collect()]
+    got = ops.sample_n(df, n, 9, id_cols=["id"])
+    assert sorted(r["p"] for r in got.select(row_hash(got, ["id"], 9).alias("p")).collect()) == want
+    assert got.distinct().count() == min(n, 500)
+
+
+def test_samples_of_whole_rows_and_of_nothing(spark):
+    df = spark.createDataFrame([(i % 4, None if i % 2 else "x") for i in range(100)], "a int, b string")
+    assert ops.sample_n(df, 30, 1).count() == 30
+    assert sorted(map(repr, ops.sample_n(df, 30, 1).collect())) == sorted(map(repr, ops.sample_n(df.repartition(7), 30, 1).collect()))
+    assert ops.sample_n(df.limit(0), 5, 1).collect() == []
+
+
+def test_samples_order_no_more_than_the_ties(spark):
+    plan = ops.sample_n(spark.range(100_000), 50_000, 2, id_cols=["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.index("Filter") < plan.index("GlobalLimit")
+
+
 def test_array_helpers(spark):
     df = spark.createDataFrame([([1.0, None, 3.0, 5.0],), ([1.0],), ([None, None],)], "a array<double>")
     got = [list(r[0]) for r in df.select(window_means(F.col("a"), 2)).collect()]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arealis import operators as ops
+from arealis.functions.dates import bucket_series, bucket_start
 from arealis.operators.skew import order_number
 from tests.plans import plan_of
 
@@ -147,3 +148,50 @@ def test_counts(spark):
     assert [(r["ord"], r["name"], r["n"]) for r in got] == [(0, "a", 3), (1, "b", 5), (2, "a", 3)]
     with pytest.raises(ValueError):
         ops.count_frames([])
+
+
+def starts(spark, kind, grain, intervals):
+    df = spark.createDataFrame([], f"t {kind}")
+    return [r[0] for r in spark.range(1).select(F.explode(bucket_series(df, "t", grain, intervals)).alias("b")).collect()]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "string"])
+def test_series_hold_the_buckets_of_all_their_instants(spark, kind):
+    """Every bucket is the bucket of some instant in the intervals, and none is missing."""
+    for grain, minutes, low, high in [
+        ("minute", 1, "2024-02-28 23:50:00", "2024-02-29 00:07:00"), ("five_minute", 1, "2024-02-28 23:52:00", "2024-02-29 00:10:00"),
+        ("thirty_minute", 10, "2024-02-28 22:10:00", "2024-02-29 03:00:00"), ("hour", 20, "2024-02-28 22:40:00", "2024-03-01 00:20:00"),
+        ("day", 720, "2024-02-27 00:00:00", "2024-03-02 00:00:00"), ("week", 1440, "2024-02-07 00:00:00", "2024-03-04 00:00:00"),
+        ("month", 1440, "2023-11-30 00:00:00", "2024-03-01 00:00:00"), ("quarter", 1440, "2023-11-30 00:00:00", "2024-04-02 00:00:00"),
+        ("year", 14400, "2022-11-30 00:00:00", "2024-01-01 00:00:00"), ("all", 1440, "2022-11-30 00:00:00", "2024-01-01 00:00:00"),
+    ]:
+        if kind == "date" and minutes < 1440:
+            continue
+        first, last = dt.datetime.fromisoformat(low), dt.datetime.fromisoformat(high)
+        instants = []
+        while first + len(instants) * dt.timedelta(minutes=minutes) < last:
+            instants.append((str(first + len(instants) * dt.timedelta(minutes=minutes)),))
+        rows = spark.createDataFrame(instants, "s string").select(F.col("s").cast(kind).alias("t"))
+        want = sorted({r[0] for r in rows.select(bucket_start(rows, "t", grain)).collect()})
+        assert starts(spark, kind, grain, [(low, high)]) == want, (kind, grain)
+
+
+def test_intervals_that_overlap_or_are_empty(spark):
+    got = starts(spark, "timestamp_ntz", "day", [("2024-01-01", "2024-01-03"), ("2024-01-02", "2024-01-04"), ("2024-02-01", "2024-02-01")])
+    assert got == [dt.date(2024, 1, d) for d in (1, 2, 3)]
+
+
+def test_empty_buckets_are_filled(spark):
+    rows = [("a", "2024-01-05 10:00:00", 2.0), ("a", "2024-03-01 00:00:00", None), (None, "2024-02-29 23:59:59", 5.0), ("b", "2025-01-01 00:00:00", 1.0)]
+    df = spark.createDataFrame(rows, "k string, s string, v double").select("k", F.col("s").cast("timestamp_ntz").alias("t"), "v")
+    how = dict(aggs={"n": F.count("v"), "total": F.sum("v"), "mean": F.avg("v")}, empty={"n": 0, "total": 0})
+    interval = [("2024-01-01", "2024-04-01")]
+    got = {(r["k"], r["bucket"].month): (r["n"], r["total"], r["mean"]) for r in ops.time_bucket_filled(df, "t", "month", dims=["k"], intervals=interval, **how).collect()}
+    assert got == {
+        ("a", 1): (1, 2.0, 2.0), ("a", 2): (0, 0.0, None), ("a", 3): (0, None, None),
+        (None, 1): (0, 0.0, None), (None, 2): (1, 5.0, 5.0), (None, 3): (0, 0.0, None),
+    }
+    plain = ops.time_bucket_filled(df, "t", "month", intervals=interval, where={"k": "nobody"}, **how).orderBy("bucket").collect()
+    assert [(r["bucket"].month, r["n"], r["total"], r["mean"]) for r in plain] == [(m, 0, 0.0, None) for m in (1, 2, 3)]
+    with pytest.raises(ValueError):
+        ops.time_bucket_filled(df, "t", "none", intervals=interval, **how)
