@@ -1,8 +1,15 @@
-"""Clustering of entities by their scaled features."""
+"""Clustering of entities by their scaled features.
+
+The library's estimators draw their starting points by partition, and sum by
+partition; so the layout of the rows is part of what a fit depends on.  Here it
+is a parameter: ``partitions`` parts by a hash of the entity's key, each sorted
+by key.  With it and the seed a fit is the same on any cluster, whatever the
+input's files or the session's shuffle settings.  Give a large table as many
+partitions as the cluster has cores, or a multiple.
+"""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -14,10 +21,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arealis.operators.features import as_vector, prepare_and_count
-from arealis.operators.keyed import MIN_ROWS_PER_PARTITION
+from arealis.operators.features import as_vector, prepare_features
+from arealis.operators.stages import drop_incomplete, select_features
+from arealis.sources.stored import stored
 
-_WEIGHT = "_weight"
+PARTITIONS = 8
 
 
 @dataclass(frozen=True)
@@ -36,22 +44,20 @@ def _check(k: int, max_iter: int) -> None:
         raise ValueError("max_iter must be at least 1")
 
 
-@contextmanager
-def _weighted_points(prepared: DataFrame, n: int, partitions: int | None):
-    """Distinct feature arrays with their multiplicity, kept while a model is fitted.
+def _prepared(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
+    """Scaled features by key; the input is evaluated once and stored, then read for its bounds, the fit and the predictions."""
+    rows = drop_incomplete(select_features(df, key, features), [key, *features])
+    return prepare_features(stored(rows, "entities"), key, features)
 
-    Equal points count as one point of higher weight.  They are combined on
-    the map side, so a large group of copies becomes a single row, and the
-    rows are spread by their content.  ``partitions`` pins the layout, which
-    together with the seed makes a fit repeatable however the input is split.
-    """
-    points = prepared.groupBy("features").agg(F.count(F.lit(1)).cast("double").alias(_WEIGHT))
-    if partitions is not None:
-        points = points.repartition(partitions, "features")
-    else:
-        # every iteration visits every partition: few rows, few partitions
-        points = points.coalesce(max(1, math.ceil(n / MIN_ROWS_PER_PARTITION)))
-    points = as_vector(points.sortWithinPartitions("features")).persist(StorageLevel.MEMORY_AND_DISK)
+
+@contextmanager
+def _points(prepared: DataFrame, key: str, partitions: int):
+    """Feature vectors in the pinned layout, kept while a model is fitted."""
+    if partitions < 1:
+        raise ValueError("partitions must be at least 1")
+    part = F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int")
+    laid_out = prepared.repartitionById(partitions, part).sortWithinPartitions(key, "features")
+    points = as_vector(laid_out).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield points
     finally:
@@ -75,13 +81,13 @@ def kmeans(
     *,
     max_iter: int = 20,
     seed: int = 1,
-    partitions: int | None = None,
+    partitions: int = PARTITIONS,
 ) -> Clustering:
     """k-means; components: cluster, center (on the [0, 1] scale)."""
     _check(k, max_iter)
-    prepared, n = prepare_and_count(df, key, features)
-    with _weighted_points(prepared, n, partitions) as points:
-        model = KMeans(k=k, maxIter=max_iter, seed=seed, weightCol=_WEIGHT).fit(points)
+    prepared = _prepared(df, key, features)
+    with _points(prepared, key, partitions) as points:
+        model = KMeans(k=k, maxIter=max_iter, seed=seed).fit(points)
     summary = {"training_cost": model.summary.trainingCost, "iterations": float(model.summary.numIter)}
     return Clustering(_predict(model, prepared, key), _centers(df, model), summary)
 
@@ -94,13 +100,13 @@ def bisecting_kmeans(
     *,
     max_iter: int = 20,
     seed: int = 1,
-    partitions: int | None = None,
+    partitions: int = PARTITIONS,
 ) -> Clustering:
     """Bisecting k-means; components: cluster, center (on the [0, 1] scale)."""
     _check(k, max_iter)
-    prepared, n = prepare_and_count(df, key, features)
-    with _weighted_points(prepared, n, partitions) as points:
-        model = BisectingKMeans(k=k, maxIter=max_iter, seed=seed, weightCol=_WEIGHT).fit(points)
+    prepared = _prepared(df, key, features)
+    with _points(prepared, key, partitions) as points:
+        model = BisectingKMeans(k=k, maxIter=max_iter, seed=seed).fit(points)
     summary = {"training_cost": model.summary.trainingCost}
     return Clustering(_predict(model, prepared, key), _centers(df, model), summary)
 
@@ -113,13 +119,13 @@ def gaussian_mixture(
     *,
     max_iter: int = 100,
     seed: int = 1,
-    partitions: int | None = None,
+    partitions: int = PARTITIONS,
 ) -> Clustering:
     """Gaussian mixture; components: cluster, weight, mean, covariance."""
     _check(k, max_iter)
-    prepared, n = prepare_and_count(df, key, features)
-    with _weighted_points(prepared, n, partitions) as points:
-        model = GaussianMixture(k=k, maxIter=max_iter, seed=seed, weightCol=_WEIGHT).fit(points)
+    prepared = _prepared(df, key, features)
+    with _points(prepared, key, partitions) as points:
+        model = GaussianMixture(k=k, maxIter=max_iter, seed=seed).fit(points)
     rows = [
         (
             i,
@@ -137,22 +143,26 @@ def gaussian_mixture(
 
 
 def lda(
-    df: DataFrame, key: str, features: Sequence[str], k: int, *, max_iter: int = 20, seed: int = 1
+    df: DataFrame,
+    key: str,
+    features: Sequence[str],
+    k: int,
+    *,
+    max_iter: int = 20,
+    seed: int = 1,
+    partitions: int = PARTITIONS,
 ) -> Clustering:
     """Topic mixture of each entity, its scaled features taken as term weights.
 
-    predictions: key, topic_distribution, prediction (the topic with the
+    Every iteration reads all entities.  predictions: key, topic_distribution, prediction (the topic with the
     largest share); components: topic, terms, weights; summary: log_likelihood
     and log_perplexity.
     """
     _check(k, max_iter)
-    prepared, _ = prepare_and_count(df, key, features)
-    corpus = as_vector(prepared).select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = LDA(k=k, maxIter=max_iter, seed=seed).fit(corpus)
+    prepared = _prepared(df, key, features)
+    with _points(prepared, key, partitions) as corpus:
+        model = LDA(k=k, maxIter=max_iter, seed=seed, subsamplingRate=1.0).fit(corpus)
         summary = {"log_likelihood": model.logLikelihood(corpus), "log_perplexity": model.logPerplexity(corpus)}
-    finally:
-        corpus.unpersist()
     topics = model.transform(as_vector(prepared)).select(
         key, vector_to_array("topicDistribution").alias("topic_distribution")
     )
@@ -169,7 +179,7 @@ def lda(
 
 
 def power_iteration(
-    edges: DataFrame, src: str, dst: str, weight: str, k: int, *, max_iter: int = 20
+    edges: DataFrame, src: str, dst: str, weight: str, k: int, *, max_iter: int = 20, partitions: int = PARTITIONS
 ) -> DataFrame:
     """Cluster the vertices of a weighted similarity graph: id, cluster."""
     _check(k, max_iter)
@@ -180,5 +190,8 @@ def power_iteration(
         .groupBy(low.alias("src"), high.alias("dst"))
         .agg(F.sum(F.col(weight).cast("double")).alias("weight"))
     )
+    # read by every iteration, in one layout
+    part = F.pmod(F.xxhash64("src", "dst"), F.lit(partitions)).cast("int")
+    laid_out = stored(merged, "edges").repartitionById(partitions, part).sortWithinPartitions("src", "dst")
     clusterer = PowerIterationClustering(k=k, maxIter=max_iter, weightCol="weight")
-    return clusterer.assignClusters(merged).select("id", F.col("cluster").cast("int").alias("cluster"))
+    return clusterer.assignClusters(laid_out).select("id", F.col("cluster").cast("int").alias("cluster"))

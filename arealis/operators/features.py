@@ -27,13 +27,7 @@ def minmax_scale(df: DataFrame, features: Sequence[str]) -> DataFrame:
     One pass finds the bounds, two numbers per feature; the scaling itself is
     plain column arithmetic in the caller's plan.
     """
-    return scale_and_count(df, features)[0]
-
-
-def scale_and_count(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, int]:
-    """The scaled rows, and their number from the same pass as the bounds."""
-    aggs = [f(c).alias(f"{c}_{end}") for c in features for end, f in (("min", F.min), ("max", F.max))]
-    bounds = df.agg(F.count(F.lit(1)).alias("_n"), *aggs).first()
+    bounds = minmax_bounds(df, features).first()
     scaled = {}
     for c in features:
         low, high = bounds[f"{c}_min"], bounds[f"{c}_max"]
@@ -42,7 +36,7 @@ def scale_and_count(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame,
             scaled[c] = F.when(value.isNotNull(), F.lit(0.5))
         else:
             scaled[c] = (value - F.lit(float(low))) / F.lit(float(high) - float(low))
-    return df.withColumns(scaled), bounds["_n"]
+    return df.withColumns(scaled)
 
 
 def assemble(
@@ -57,16 +51,8 @@ def assemble(
 
 def prepare_features(df: DataFrame, key: str, features: Sequence[str], *, out: str = "features") -> DataFrame:
     """Select, drop incomplete rows, scale, and pack into an array: key, features."""
-    return prepare_and_count(df, key, features, out=out)[0]
-
-
-def prepare_and_count(
-    df: DataFrame, key: str, features: Sequence[str], *, out: str = "features"
-) -> tuple[DataFrame, int]:
-    """:func:`prepare_features` and the number of rows."""
     rows = drop_incomplete(select_features(df, key, features), [key, *features])
-    scaled, n = scale_and_count(rows, features)
-    return scaled.select(key, F.array(*[F.col(c) for c in features]).alias(out)), n
+    return minmax_scale(rows, features).select(key, F.array(*[F.col(c) for c in features]).alias(out))
 
 
 def as_vector(df: DataFrame, column: str = "features") -> DataFrame:

@@ -17,7 +17,6 @@ T = TypeVar("T")
 # Up to this many keys are written into the filter, where they reach the files; more are joined.
 MAX_IN_FILTER = 1_000
 # Fits run many short jobs; smaller partitions than this only add tasks.
-MIN_ROWS_PER_PARTITION = 10_000
 ROWS_PER_PARTITION = 100_000
 
 

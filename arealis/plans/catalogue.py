@@ -821,6 +821,82 @@ def power_iteration(spark, root):
     return ops.power_iteration(links, "src", "dst", "l_quantity", 3, max_iter=5)
 
 
+@query
+def kmeans_entities(spark, root):
+    """Every complete customer has one cluster of ten."""
+    predictions = ops.kmeans(customer_stats(spark, root), "c_custkey", CUSTOMER_FEATURES, 10).predictions
+    return predictions.select("c_custkey", F.col("prediction").between(0, 9).alias("in_range"))
+
+
+@query
+def kmeans_invariants(spark, root):
+    """One row: everybody is with the nearest centre, and ten centres fit better than one."""
+    customers = customer_stats(spark, root)
+    found = ops.kmeans(customers, "c_custkey", CUSTOMER_FEATURES, 10)
+    centers = [r["center"] for r in found.components.orderBy("cluster").collect()]
+    scaled = ops.prepare_features(customers, "c_custkey", CUSTOMER_FEATURES).join(found.predictions, "c_custkey")
+    away = F.array(*[sum((F.get("features", F.lit(i)) - v) ** 2 for i, v in enumerate(c)) for c in centers])
+    spread = sum(F.var_pop(F.get("features", F.lit(i))) for i in range(len(CUSTOMER_FEATURES)))
+    own = F.get("away", F.col("prediction"))
+    return scaled.withColumn("away", away).agg(
+        F.count(F.lit(1)).alias("entities"),
+        F.countDistinct("prediction").alias("clusters"),
+        F.count_if(own > F.array_min("away") + 1e-9).alias("misplaced"),
+        (F.avg(own) < spread / 3).alias("closer"),
+        (F.sum(own) <= found.summary["training_cost"] + 1e-6).alias("no_worse_than_reported"),
+    )
+
+
+@query
+def bisecting_invariants(spark, root):
+    found = ops.bisecting_kmeans(customer_stats(spark, root), "c_custkey", CUSTOMER_FEATURES, 10)
+    return found.predictions.agg(
+        F.count(F.lit(1)).alias("entities"), F.countDistinct("c_custkey").alias("keys"), F.countDistinct("prediction").alias("clusters")
+    )
+
+
+@query
+def mixture_invariants(spark, root):
+    """One row: weights add up, covariances are symmetric, everybody has a component."""
+    found = ops.gaussian_mixture(customer_stats(spark, root), "c_custkey", CUSTOMER_FEATURES, 4, max_iter=20)
+    cell = lambda i, j: F.get(F.get("covariance", F.lit(i)), F.lit(j))
+    p = len(CUSTOMER_FEATURES)
+    uneven = sum(F.abs(cell(i, j) - cell(j, i)) for i in range(p) for j in range(i)) + F.when(cell(0, 0) < 0, 1.0).otherwise(0.0)
+    shapes = found.components.agg(
+        F.count(F.lit(1)).alias("components"), F.round(F.sum("weight"), 6).alias("weights"), (F.max(uneven) < 1e-12).alias("symmetric")
+    ).first()
+    return found.predictions.agg(
+        F.count(F.lit(1)).alias("entities"),
+        F.count_if(~F.col("prediction").between(0, 3)).alias("misplaced"),
+        F.lit(shapes["components"]).cast("bigint").alias("components"),
+        F.lit(shapes["weights"]).alias("weights"),
+        F.lit(shapes["symmetric"]).alias("symmetric"),
+    )
+
+
+@query
+def lda_invariants(spark, root):
+    """One row: the topic shares of every customer add up, and the largest is the prediction."""
+    found = ops.lda(customer_stats(spark, root), "c_custkey", CUSTOMER_FEATURES, 3, max_iter=10)
+    total = F.aggregate("topic_distribution", F.lit(0.0), lambda acc, v: acc + v)
+    own = F.get("topic_distribution", F.col("prediction"))
+    return found.predictions.agg(
+        F.count(F.lit(1)).alias("entities"),
+        F.count_if(F.abs(total - 1) > 1e-9).alias("uneven"),
+        F.count_if(own < F.array_max("topic_distribution")).alias("misplaced"),
+    )
+
+
+@query
+def power_iteration_vertices(spark, root):
+    """Every vertex of the graph has one cluster of three."""
+    links = load(spark, root, "lineitem").select(
+        (F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"), "l_quantity"
+    )
+    found = ops.power_iteration(links, "src", "dst", "l_quantity", 3, max_iter=5)
+    return found.select("id", F.col("cluster").between(0, 2).alias("in_range"))
+
+
 @query
 def points_within(spark, root):
     """The first two embedding components, taken as a point, inside a five-cornered polygon."""

@@ -389,6 +389,29 @@ FROM complete, (SELECT min(c_acctbal) AS a0, max(c_acctbal) AS a1, min(order_tot
                        min(order_count) AS n0, max(order_count) AS n1 FROM complete)
 """
 
+_COMPLETE = f"SELECT * FROM ({_CUSTOMER_STATS}) WHERE c_acctbal IS NOT NULL AND order_total IS NOT NULL"
+
+ORACLE["kmeans_entities"] = f"SELECT c_custkey, true AS in_range FROM ({_COMPLETE})"
+
+ORACLE["kmeans_invariants"] = f"""
+SELECT count(*) AS entities, 10::BIGINT AS clusters, 0::BIGINT AS misplaced, true AS closer, true AS no_worse_than_reported FROM ({_COMPLETE})
+"""
+
+ORACLE["bisecting_invariants"] = f"""
+SELECT count(*) AS entities, count(DISTINCT c_custkey) AS keys, 10::BIGINT AS clusters FROM ({_COMPLETE})
+"""
+
+ORACLE["mixture_invariants"] = f"""
+SELECT count(*) AS entities, 0::BIGINT AS misplaced, 4::BIGINT AS components, 1::DOUBLE AS weights, true AS symmetric FROM ({_COMPLETE})
+"""
+
+ORACLE["lda_invariants"] = f"SELECT count(*) AS entities, 0::BIGINT AS uneven, 0::BIGINT AS misplaced FROM ({_COMPLETE})"
+
+ORACLE["power_iteration_vertices"] = """
+SELECT id, true AS in_range
+FROM (SELECT l_suppkey * 2 AS id FROM lineitem UNION SELECT l_partkey * 2 + 1 FROM lineitem)
+"""
+
 ORACLE["train_test_split"] = f"""
 SELECT CASE WHEN place < 80 THEN 'train' ELSE 'test' END AS side, l_suppkey, count(*) AS n
 FROM ({_LINE_SPLIT}) GROUP BY 1, 2

@@ -643,9 +643,28 @@ def test_clusters_are_found_and_repeatable(spark, blobs, operator):
     assert {r["prediction"] for r in first.predictions.collect()} <= {0, 1, 2}
     again = operator(blobs.repartition(7), "k", ["p", "q"], 3, partitions=4)
     assert groups(first.predictions) == groups(again.predictions)
-    if operator is not ops.gaussian_mixture:
-        sizes = sorted(len(g) for g in groups(first.predictions))
+    sizes = sorted(len(g) for g in groups(first.predictions))
+    if operator is ops.kmeans:
         assert sizes == [60, 60, 260]
+    if operator is ops.bisecting_kmeans:
+        # all rows count, copies too, and the larger of the first two parts is divided again
+        assert len(sizes) == 3 and sizes[1] == 120 and sum(sizes) == 380
+
+
+@pytest.mark.parametrize("operator", [ops.kmeans, ops.bisecting_kmeans, ops.gaussian_mixture, ops.lda])
+def test_fits_do_not_depend_on_shuffle_partitions(spark, blobs, operator):
+    runs = []
+    try:
+        for n in ("1", "3", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found = operator(blobs.repartition(int(n)), "k", ["p", "q"], 3, max_iter=6)
+            runs.append({r["k"]: r["prediction"] for r in found.predictions.collect()})
+            assert found.predictions.count() == 380
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert runs[0] == runs[1] == runs[2]
+    with pytest.raises(ValueError):
+        operator(blobs, "k", ["p", "q"], 3, partitions=0)
 
 
 def test_kmeans_lowers_the_cost(spark, blobs):
