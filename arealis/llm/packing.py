@@ -2,11 +2,13 @@
 
 Every document becomes its token ids and one end id.  What is longer than the
 longest window gives full windows; the rest goes to the tier with the smallest
-window that holds it.  From the longest tier down, each window takes the
-longest rest of its tier and its gap is filled from shorter tiers (the longest
-rest that fits whole; at the end one is cut), so windows close full.  What is
-left of the last window closes in exact shorter windows.  Sequences then go to
-step groups of equal token counts, the costliest to the lightest group.
+window that holds it.  The tiers are packed from the longest down, each into
+windows of its own length: a window takes the longest rest of its tier, and its
+gap is filled from shorter tiers (the longest rest that fits whole; where none
+does, one is cut), so windows close full and a tier's documents are read in
+that tier's context.  What is left of the last window closes in exact shorter
+windows.  Sequences then go to step groups of equal token counts, the costliest
+to the lightest group.
 
 A task packs what it reads, a few million tokens at a time, and nothing is
 shuffled: packing quality does not need more, as at most one short rest is
@@ -162,12 +164,13 @@ class Packer:
                 tiers[bisect_left(self.windows, rest)].append((rest, doc, full * longest))
         for tier in tiers:
             tier.sort()
-        while any(tiers):
-            self._fill(tiers, max(t for t, tier in enumerate(tiers) if tier), longest, pieces, padded)
+        for top in reversed(range(len(tiers))):
+            while tiers[top]:
+                self._fill(tiers, top, self.windows[top], pieces, padded)
         return np.array(pieces, np.int64).reshape(-1, 5), np.array(padded, np.int64)
 
     def _fill(self, tiers, top, window, pieces, padded) -> None:
-        """Close one sequence that starts with the longest rest."""
+        """Close one sequence that starts with the longest rest of the tier ``top``; longer tiers are packed."""
         taken: list[tuple[int, int, int]] = [tiers[top].pop()]
         gap = window - taken[0][0]
         while gap:
