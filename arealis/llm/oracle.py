@@ -74,7 +74,7 @@ ORACLE: dict[str, str] = {
     "op3_warc_normaliser": f"""
     WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
     SELECT page_id, strlen(html) AS payload_bytes, {_base32("sha")} AS payload_digest,
-           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id = first OR page_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
            CASE WHEN page_id <> first THEN first END AS refers_to
     FROM p
     """,

@@ -73,7 +73,8 @@ def op2_block_naming(spark, root):
 def op3_warc_normaliser(spark, root):
     """Monolithic archives of all pages, normalised, and read back by their index."""
     archives, index = warc.normalise(warc.write_monolithic(load(spark, root, "pages")))
-    return warc.read_records(archives, index, with_payload=False).drop("payload")
+    records = warc.read_records(archives, index, with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query

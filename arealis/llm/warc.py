@@ -1,9 +1,10 @@
 """WARC archives: written as one gzip stream each, normalised to a gzip member per record, read by an index.
 
 ``write_monolithic`` makes archives whose whole file is one gzip stream, as
-many crawlers leave them.  ``normalise`` inflates each stream once, from start
-to end, writes every record as its own member and a sidecar index of record
-id, offset and length, so that a record can be read alone.
+many crawlers leave them.  ``normalise`` takes these or any others, inflates
+each stream once, from start to end, writes every record as its own member and
+a sidecar index of record id, offset and length, so that a record can be read
+alone.  ``read_records`` reads records of any type and origin.
 
 An archive is stored as rows (archive, part, content) whose contents in order
 are the file; parts are bounded, so an archive of any size is streamed through
@@ -28,6 +29,8 @@ ARCHIVE_BYTES = 32 << 20
 PART_BYTES = 1 << 20
 LEVEL = 6
 _GZIP = 31  # zlib window bits for a gzip wrapper
+#: bytes inflated at a time, however far a part expands
+INFLATE_BYTES = 4 << 20
 _DATE = "1970-01-01T00:00:00Z"
 _MADE = "urn:record:"  # record ids of pages that have none
 
@@ -40,10 +43,9 @@ def digest_of(payload: bytes) -> str:
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, made_id: str = "") -> bytes:
     """One WARC record; a revisit carries no payload but names its digest and size.
 
-    A page without an id goes under ``made_id``; it is a revisit that refers to
-    nothing and carries its payload.
+    A page without an id goes under ``made_id``.
     """
-    kind = "response" if refers_to is None and page_id is not None else "revisit"
+    kind = "response" if refers_to is None else "revisit"
     record_id = f"{_MADE}{made_id}" if page_id is None else f"urn:page:{page_id}"
     block = payload if refers_to is None else b""
     lines = [
@@ -127,9 +129,8 @@ def write_monolithic(
 
     Of pages with equal payloads the one with the smallest id is a response,
     the others are revisits that refer to it.  A null payload is empty; rows
-    with a null id get a made-up record id and, as in the SQL, are revisits
-    that refer to nothing, with their payload.  Of rows that repeat an id and
-    payload all are written.
+    with a null id get a made-up record id and are responses, to which nothing
+    refers.  Of rows that repeat an id and payload all are written.
     """
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "utf-8")
     rows = pages.select(
@@ -139,9 +140,7 @@ def write_monolithic(
         F.sha1(payload).alias("sha1"),
     )
     # only payloads that occur more than once need a look-up
-    first = rows.groupBy("sha1", F.octet_length("payload").alias("size")).agg(
-        F.min("page_id").alias("first"), F.max("page_id").alias("last")
-    )
+    first = rows.groupBy("sha1").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
     first = keep(first.where("first <> last").select("sha1", "first"), "repeated-payloads")
     refers_to = F.when(F.col("first") < F.col("page_id"), F.col("first"))
     records = rows.join(first, "sha1", "left").select(
@@ -192,6 +191,8 @@ class _Records:
                     self.looked = len(self.held)
                     return
                 self.fields = parse_head(bytes(self.held[:end]))
+                if not self.fields.get("content-length", "").isdigit():
+                    raise ValueError(f"record {self.fields.get('warc-record-id')} does not state its length")
                 self.need, self.looked = end + 4 + int(self.fields["content-length"]) + 4, 0
             if len(self.held) < self.need:
                 return
@@ -227,10 +228,12 @@ def _normaliser(part_bytes: int, level: int):
                         yield row()
                     archive, inflate, records, inside = name, zlib.decompressobj(_GZIP), _Records(), False
                     content, members, part, start = bytearray(), [], 0, 0
-                while piece:  # a stream may also hold several members already
-                    raw = inflate.decompress(piece)
+                while piece:  # a stream may also hold several members already, and padding after them
+                    if not inside and not (piece := piece.lstrip(b"\0")):
+                        break
+                    raw = inflate.decompress(piece, INFLATE_BYTES)
                     inside = not inflate.eof
-                    piece = inflate.unused_data if inflate.eof else b""
+                    piece = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
                     if inflate.eof:
                         inflate = zlib.decompressobj(_GZIP)
                     for fields, record in records.feed(raw):
@@ -259,10 +262,11 @@ def normalise(archives: DataFrame, *, part_bytes: int = PART_BYTES, level: int =
     a part) and the sidecar index (archive, part, record_id, type, offset,
     length; offsets count from the start of the archive).  An archive is read
     in the order of its parts by one task, because a gzip stream can only be
-    inflated from its start.  One that ends inside a record or its gzip stream
-    is an error.
+    inflated from its start, a few megabytes at a time; there are as many tasks
+    as archives.  One that ends inside a record or its gzip stream is an error.
     """
-    ordered = archives.repartition("archive").sortWithinPartitions("archive", "part")
+    count = archives.select("archive").distinct().count()
+    ordered = archives.repartition(max(1, count), "archive").sortWithinPartitions("archive", "part")
     stored = keep(ordered.mapInArrow(_normaliser(part_bytes, level), _NORMAL), "normalised")
     index = stored.select("archive", "part", F.explode("members").alias("m")).select("archive", "part", "m.*")
     return stored, keep(index, "index")
@@ -270,14 +274,55 @@ def normalise(archives: DataFrame, *, part_bytes: int = PART_BYTES, level: int =
 
 # ---------------------------------------------------------------- reading
 
-_READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
+_READ = (
+    "record_id string, record_type string, page_id bigint, target_uri string, content_type string, payload_bytes bigint, "
+    "payload_digest string, digest_matches boolean, refers_to_id string, refers_to bigint, payload binary"
+)
 _READ_ARROW = pa.schema(
-    [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
+    [
+        ("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("target_uri", pa.string()),
+        ("content_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("digest_matches", pa.bool_()),
+        ("refers_to_id", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()),
+    ]
 )
 
 
 def _page(urn: str | None) -> int | None:
-    return int(urn.strip("<>").rpartition(":")[2]) if urn and not urn.startswith("<" + _MADE) else None
+    """The page of a record id made here; null for any other."""
+    name = urn.removeprefix("urn:page:") if urn else ""
+    return int(name) if name != urn and name.removeprefix("-").isdigit() else None
+
+
+def read_record(record: bytes) -> dict:
+    """What a record says of itself and its payload.
+
+    The payload of an HTTP message is its body; of any other record the whole
+    block.  A record without a payload digest gets that of its payload, a
+    revisit (which has none) null.  ``digest_matches`` compares a stated SHA-1
+    with a payload that is there, and is null where it cannot.
+    """
+    head, _, rest = record.partition(b"\r\n\r\n")
+    fields = parse_head(head)
+    payload = rest[: int(fields["content-length"])]
+    kind, content = fields.get("warc-type", ""), fields.get("content-type", "")
+    if content.replace(" ", "").lower().startswith("application/http"):
+        payload = payload.partition(b"\r\n\r\n")[2]
+    carried = kind != "revisit"
+    stated = fields.get("warc-payload-digest", "")
+    algorithm, colon, value = stated.partition(":")
+    known = value if algorithm.lower() == "sha1" else stated if colon else None
+    own = digest_of(payload) if carried else None
+    size = fields.get("x-payload-length", "")  # a revisit made here states what it does not carry
+    bare = lambda name: fields[name].strip("<>") if name in fields else None
+    return {
+        "record_id": bare("warc-record-id"), "record_type": kind, "page_id": _page(bare("warc-record-id")),
+        "target_uri": fields.get("warc-target-uri"), "content_type": content or None,
+        "payload_bytes": len(payload) if carried else int(size) if size.isdigit() else None,
+        "payload_digest": known or own,
+        "digest_matches": own == value.upper() if carried and algorithm.lower() == "sha1" else None,
+        "refers_to_id": bare("warc-refers-to"), "refers_to": _page(bare("warc-refers-to")),
+        "payload": payload if carried else None,
+    }
 
 
 def _reader(with_payload: bool):
@@ -287,29 +332,19 @@ def _reader(with_payload: bool):
                 out = []
                 for place in places:
                     at = place["offset"] - start
-                    record = zlib.decompress(content[at : at + place["length"]], _GZIP)
-                    head, _, rest = record.partition(b"\r\n\r\n")
-                    fields = parse_head(head)
-                    payload = rest[: int(fields["content-length"])]
-                    kind, stated = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-                    page_id = _page(fields["warc-record-id"])
-                    carried = kind == "response" or page_id is None
-                    if carried and digest_of(payload) != stated:
-                        raise ValueError(f"payload of {fields['warc-record-id']} does not have its digest")
-                    out.append({
-                        "page_id": page_id, "payload_bytes": int(fields["x-payload-length"]),
-                        "payload_digest": stated, "record_type": kind, "refers_to": _page(fields.get("warc-refers-to")),
-                        "payload": payload if with_payload and carried else None,
-                    })
+                    found = read_record(zlib.decompress(content[at : at + place["length"]], _GZIP))
+                    out.append(found if with_payload else found | {"payload": None})
                 yield pa.RecordBatch.from_pylist(out, _READ_ARROW)
 
     return run
 
 
 def read_records(archives: DataFrame, index: DataFrame, *, with_payload: bool = True) -> DataFrame:
-    """The records that ``index`` names, each from its own gzip member; the payloads it has are checked against their digest.
+    """The records that ``index`` names, each from its own gzip member: see :func:`read_record`.
 
-    A subset of the index reads that subset only.
+    ``page_id`` and ``refers_to`` are the pages of record ids made by
+    :func:`write_monolithic`, null for other records.  A subset of the index
+    reads that subset only.
     """
     places = index.groupBy("archive", "part").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))
     rows = archives.select("archive", "part", "start", "content").join(places, ["archive", "part"])

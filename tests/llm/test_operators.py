@@ -171,7 +171,7 @@ def test_warc_pages_without_id(spark):
     found = warc.read_records(stored, index).collect()
     assert index.select("record_id").distinct().count() == len(rows)
     got = collections.Counter((r.page_id, r.record_type, r.refers_to, bytes(r.payload)) for r in found)
-    assert got == collections.Counter((i, "revisit" if i is None else "response", None, (h or "").encode()) for i, _, h in rows)
+    assert got == collections.Counter((i, "response", None, (h or "").encode()) for i, _, h in rows)
 
 
 @pytest.mark.parametrize("compress", [False, True])
