@@ -101,6 +101,32 @@ def match_operators(spark, root):
     )
 
 
+@query
+def match_arrays(spark, root):
+    """Customers by their orders as an array, and a text without regard to case."""
+    made = load(spark, root, "orders").groupBy("o_custkey").agg(
+        F.collect_list(F.struct("o_orderkey", "o_totalprice", "o_orderdate")).alias("orders"),
+        F.collect_set("o_orderstatus").alias("states"),
+        F.max("o_orderpriority").alias("priority"),
+    )
+    spec = {
+        "o_custkey": {"$mod": [3, 1]},
+        "orders": {"$not": {"$size": 2}, "$elemMatch": {"o_totalprice": {"$gt": 150_000}, "o_orderdate": {"$lt": dt.date(1999, 1, 1)}}},
+        "states": {"$all": ["F", "O"], "$elemMatch": {"$in": ["P", "O"], "$ne": "P"}},
+        "priority": {"$regex": "^[1-4].*(low|not|high)", "$options": "i"},
+    }
+    return ops.match(made, spec).select("o_custkey", "priority", F.size("orders").cast("bigint").alias("n"))
+
+
+@query
+def reader_options(spark, root):
+    """A scan of two columns by a given schema, with options of the reader."""
+    orders = load(
+        spark, root, "orders", schema="o_orderkey bigint, o_totalprice double", options={"mergeSchema": "false", "recursiveFileLookup": "true"}
+    )
+    return orders.where("o_totalprice > 100000")
+
+
 @query
 def match_dates(spark, root):
     """Dates compared in the column's own type, absence, and a negated group."""

@@ -106,6 +106,16 @@ SELECT o_custkey, 0::BIGINT AS part, count(*) OVER (PARTITION BY o_custkey) AS n
 FROM orders
 """
 
+ORACLE["match_arrays"] = """
+SELECT o_custkey, max(o_orderpriority) AS priority, count(*) AS n FROM orders GROUP BY 1
+HAVING o_custkey % 3 = 1 AND count(*) <> 2
+   AND count(*) FILTER (WHERE o_totalprice > 150000 AND o_orderdate < TIMESTAMP '1999-01-01') > 0
+   AND count(*) FILTER (WHERE o_orderstatus = 'F') > 0 AND count(*) FILTER (WHERE o_orderstatus = 'O') > 0
+   AND regexp_matches(max(o_orderpriority), '^[1-4].*(low|not|high)', 'i')
+"""
+
+ORACLE["reader_options"] = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000"
+
 ORACLE["group_push_cut"] = """
 SELECT l_returnflag, (row_number() OVER w - 1) // 100 AS part, count(*) OVER (PARTITION BY l_returnflag) AS n,
        l_orderkey, l_linenumber, l_extendedprice

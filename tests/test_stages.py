@@ -125,6 +125,43 @@ def test_lookup(spark, max_array):
     assert got == {1: [1, 2, 3], 2: [9], 3: [7], 4: []}
 
 
+ARRAYS = [
+    (1, [3, 5, 8], [("x", 1), ("y", 9)], "Alpha\nbeta"), (2, [5], [("x", 9)], "BETA"), (3, [], [], None), (4, None, None, "gamma"),
+    (5, [8, None, 3], [("y", None), (None, 1)], "alphabet"), (-7, [8, 8, 3], [("x", 2), ("x", 8)], "zeta"),
+]
+
+
+@pytest.mark.parametrize(
+    "spec, want",
+    [
+        ({"a": {"$all": [3, 8]}}, {1, 5, -7}),
+        ({"a": {"$all": []}}, set()),
+        ({"a": {"$all": [None]}}, {5}),
+        ({"a": {"$size": 0}}, {3}),
+        ({"a": {"$size": 3, "$elemMatch": {"$gt": 4, "$lt": 8}}}, {1}),
+        ({"a": {"$not": {"$elemMatch": {"$gte": 8}}}}, {2, 3, 4}),
+        ({"s": {"$elemMatch": {"n": "x", "v": {"$gt": 5}}}}, {2, -7}),
+        ({"s": {"$elemMatch": {"$or": [{"n": None}, {"v": 9}]}}}, {1, 2, 5}),
+        ({"id": {"$mod": [2, 0]}}, {2, 4}),
+        ({"id": {"$mod": [4, -3]}}, {-7}),
+        ({"t": {"$regex": "^beta", "$options": "im"}}, {1, 2}),
+        ({"t": {"$regex": "alpha"}}, {5}),
+        ({"t": {"$regex": "A.*B", "$options": "is"}}, {1, 5}),
+        ({"t": {"$not": {"$regex": "a$", "$options": "i"}}}, {3, 5}),
+    ],
+)
+def test_array_and_text_conditions(spark, spec, want):
+    df = spark.createDataFrame(ARRAYS, "id int, a array<int>, s array<struct<n:string,v:int>>, t string")
+    assert {r["id"] for r in ops.match(df, spec).collect()} == want
+
+
+def test_unknown_regex_options(spark):
+    df = spark.createDataFrame([("x",)], "t string")
+    for condition in ({"$regex": "x", "$options": "q"}, {"$options": "i"}):
+        with pytest.raises(ValueError):
+            ops.match(df, {"t": condition})
+
+
 def test_lookup_with_a_cut_key(spark):
     left = spark.createDataFrame([(1, "a")], "id int, k string")
     right = spark.createDataFrame([("a", i) for i in range(100)], "r string, w int")
