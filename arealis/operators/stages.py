@@ -192,9 +192,11 @@ def bucket_auto(df: DataFrame, column: str, n: int, *, rows_per_task: int = ROWS
         raise ValueError(f"values of {column!r} have no order to cut at")
     spans = MAX_CUTS - 1
     quantiles = F.percentile_approx(position, [i / spans for i in range(spans + 1)], 10 * MAX_CUTS)
-    summary = known.agg(F.count(F.lit(1)).alias("n"), quantiles.alias("cuts")).first()
-    nulls = df.where(F.col(column).isNull()).count()
-    everything, cuts = max(summary["n"] + nulls, 1), sorted(set(summary["cuts"] or []))
+    # nulls are counted with the rest, and have no quantile
+    every = df.select(F.col(column).alias("_v"))
+    summary = every.agg(F.count(F.lit(1)).alias("n"), F.count("_v").alias("known"), quantiles.alias("cuts")).first()
+    nulls = summary["n"] - summary["known"]
+    everything, cuts = max(summary["n"], 1), sorted(set(summary["cuts"] or []))
     parts = math.ceil(everything / rows_per_task / spans)
     values = known.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
     if everything > rows_per_task and len(cuts) > 1:
@@ -212,11 +214,9 @@ def bucket_auto(df: DataFrame, column: str, n: int, *, rows_per_task: int = ROWS
     if nulls:
         lowest = df.sparkSession.range(1).select(F.lit(None).alias("_v"), F.lit(nulls).alias("_n"), F.lit(0).alias("_bucket"))
         numbered = numbered.union(lowest)
-    # struct order puts a null first, as the least value
-    ends = F.struct("_v")
-    buckets = numbered.groupBy("_bucket").agg(
-        F.min(ends)["_v"].alias("min"), F.max(ends)["_v"].alias("max"), F.sum("_n").alias("count")
-    )
+    # a null is the least value
+    least = F.when(~F.bool_or(F.col("_v").isNull()), F.min("_v"))
+    buckets = numbered.groupBy("_bucket").agg(least.alias("min"), F.max("_v").alias("max"), F.sum("_n").alias("count"))
     dense = F.row_number().over(Window.orderBy("_bucket")) - 1
     return buckets.select(dense.cast("bigint").alias("bucket"), "min", "max", "count")
 
