@@ -431,9 +431,9 @@ def _grow(blocks: DataFrame, info: DataFrame, p: int, params: TreeParams, plan:
                 new = roots.unionAll(new) if plan.depth else roots
             new = stored(new, "splits")
             splits.append(new)
-            here = new.where("node > 0").count()
-            rows += new.count()
-            if not here:
+            found = new.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("node") > 0).alias("here")).first()
+            rows += found["rows"]
+            if not found["here"]:
                 break
     return splits, rows
 

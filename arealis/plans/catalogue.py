@@ -746,10 +746,10 @@ def linear_regression_with_test(spark, root):
 
 @query
 def random_forest_by_key(spark, root):
-    """A forest for every supplier, all grown together."""
+    """A forest for every return flag."""
     return ops.random_forest_by_key(
         load(spark, root, "lineitem"),
-        "l_suppkey",
+        "l_returnflag",
         ["l_quantity", "l_discount", "l_tax"],
         "l_extendedprice",
         id_cols=LINE_ID,
@@ -757,6 +757,19 @@ def random_forest_by_key(spark, root):
     )
 
 
+@query
+def random_forest_all_suppliers(spark, root):
+    """A forest for every supplier, all grown together: the rows they were measured on."""
+    return ops.random_forest_by_key(
+        load(spark, root, "lineitem"),
+        "l_suppkey",
+        LINE_FEATURES,
+        "l_extendedprice",
+        id_cols=LINE_ID,
+        params=ops.ForestParams(num_trees=3, max_depth=2, train_split=0.7),
+    ).select("l_suppkey", "test_n", F.col("rmse").isNotNull().alias("measured"))
+
+
 @query
 def random_forest_stump(spark, root):
     """One tree of one split on all training rows, which SQL can find too."""
@@ -773,10 +786,10 @@ def random_forest_stump(spark, root):
 
 @query
 def gbt_by_key(spark, root):
-    """Boosted trees for every supplier, all grown together."""
+    """Boosted trees for every return flag."""
     return ops.gbt_by_key(
         load(spark, root, "lineitem"),
-        "l_suppkey",
+        "l_returnflag",
         LINE_FEATURES,
         "l_extendedprice",
         id_cols=LINE_ID,

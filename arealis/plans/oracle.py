@@ -526,6 +526,10 @@ SELECT s.l_suppkey, count(*) AS test_n,
 FROM split s JOIN best b ON s.l_suppkey = b.l_suppkey WHERE place >= 80 GROUP BY 1
 """
 
+ORACLE["random_forest_all_suppliers"] = f"""
+WITH split AS ({_LINE_SPLIT}) SELECT l_suppkey, count(*) AS test_n, true AS measured FROM split WHERE place >= 70 GROUP BY 1
+"""
+
 ORACLE["gbt_held_out"] = f"""
 WITH split AS ({_LINE_SPLIT})
 SELECT asked.l_returnflag, n AS test_n FROM (VALUES ('R'), ('N'), ('none'), ('A')) asked(l_returnflag)
