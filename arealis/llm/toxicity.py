@@ -188,24 +188,26 @@ def _train(category: int, own: np.ndarray, folds: int):
 
     def run(table: pa.Table) -> pa.Table:
         model = table.column("model")[0].as_py()
-        table = table.sort_by("id")  # sums in one order, whatever the shuffle's
-        fold = table.column("fold").to_numpy()
-        features = table.column("features").to_pylist()
-        earlier = np.array(table.column("earlier").to_pylist(), np.float64).reshape(len(fold), category)
-        y = np.array([x[category] for x in table.column("labels").to_pylist()])
-        use = np.flatnonzero(fold != model)
-        row = np.repeat(np.arange(len(use)), [len(features[i]) for i in use])
-        column = np.array([f for i in use for f in features[i]], np.int64)
-        mine = own[column]
-        w = fit_logistic(row[mine], column[mine], earlier[use], y[use], n_words)
+        table = table.sort_by("id").combine_chunks()  # sums in one order, whatever the shuffle's
+        column = lambda name: table.column(name).combine_chunks()
+        n, fold = len(table), column("fold").to_numpy()
+        features = column("features")
+        row = np.repeat(np.arange(n), features.value_lengths().to_numpy())
+        word = features.flatten().to_numpy()
+        earlier = column("earlier").flatten().to_numpy().reshape(n, category)
+        y = column("labels").flatten().to_numpy().reshape(n, -1)[:, category]
+        use = fold != model
+        mine = own[word] & use[row]
+        place = np.cumsum(use) - 1
+        w = fit_logistic(place[row[mine]], word[mine], earlier[use], y[use], n_words)
         if model == folds:
             return pa.Table.from_pylist([{"weights": w.tolist()}], schema)
-        out = []
-        for i in np.flatnonzero(fold == model).tolist():
-            score = w[features[i]].sum() + earlier[i] @ w[n_words:-1] + w[-1]
-            row = {c: table.column(c)[i].as_py() for c in ("id", "labels", "fold")}
-            out.append(row | {"features": features[i], "earlier": [*earlier[i], float(_sigmoid(score))]})
-        return pa.Table.from_pylist(out, schema)
+        score = np.bincount(row, w[word], n) + earlier @ w[n_words:-1] + w[-1]
+        told = np.column_stack([earlier, _sigmoid(score)])[~use]
+        out = table.filter(pa.array(~use)).select(["id", "labels", "fold", "features"])
+        bounds = np.arange(len(told) + 1, dtype=np.int32) * (category + 1)
+        out = out.append_column("earlier", pa.ListArray.from_arrays(bounds, pa.array(told.ravel())))
+        return out.append_column("weights", pa.nulls(len(told), pa.list_(pa.float64()))).cast(schema)
 
     return run
 
