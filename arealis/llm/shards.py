@@ -1,8 +1,8 @@
 """Global shuffle into shards by two passes over stored data.
 
 Pass one scatters the records into buckets that fit in memory, by a seeded hash
-of the whole record; records that are equal throughout and too many for a
-bucket are told apart by a number.  Pass two reads each bucket, shuffles it by Fisher-Yates with a
+of id and text; where records that agree in both are too many for a bucket, by
+the whole record and the number of its copy too.  Pass two reads each bucket, shuffles it by Fisher-Yates with a
 seed of its own, and writes it.  The buckets one after the other are a random
 order of all records, which is cut into shards of equal counts.
 
@@ -50,18 +50,18 @@ def external_shuffle(
         raise ValueError("there must be at least one shard")
     columns = [c for c in docs.columns if c not in ("bucket", "shard", "slot")]
     # pass one: scatter
-    record = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in columns])
-    alike = docs.groupBy(record.alias("h")).agg(F.sum(record_size(text_col)).alias("bytes"))
-    sizes = alike.agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("most")).first()
+    record = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    alike = docs.groupBy(record.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(record_size(text_col)).alias("bytes"))
+    sizes = alike.agg(F.sum("bytes").alias("bytes"), F.max(F.when(F.col("n") > 1, F.col("bytes"))).alias("most")).first()
     buckets = max(1, -(-(sizes["bytes"] or 0) // bucket_bytes))
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("record"), record.alias("order"))
     if (sizes["most"] or 0) > bucket_bytes:
-        # equal records are counted, and each copy is scattered by its number
+        # equal records are counted, and each copy is scattered by its record and number
         copies = source.groupBy("record", "order").agg(F.count(F.lit(1)).alias("n"))
         block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {_COPIES}")))
         copies = copies.withColumn("block", block)
         inner = F.sequence(F.col("block") * _COPIES, F.least(F.col("n"), (F.col("block") + 1) * _COPIES) - 1)
-        source = copies.withColumn("copy", F.explode(inner)).select("record", F.xxhash64("order", "copy").alias("order"))
+        source = copies.withColumn("copy", F.explode(inner)).select("record", F.xxhash64("order", "record", "copy").alias("order"))
     bucket = F.pmod("order", F.lit(buckets)).cast("int")
     scattered = source.select(bucket.alias("bucket"), "order", "record")
     scattered = scattered.repartitionById(buckets, F.col("bucket"))
