@@ -31,8 +31,8 @@ COPIES = "_copies"
 _RANGE = "_range"
 #: rows of the sample for each range; the largest of many ranges then holds about twice the mean
 _SAMPLED = 16
-#: the carried counts, a row for each range but the first, are broadcast up to this number of ranges
-_MAX_BROADCAST = 10_000
+#: more ranges are not made: one task sorts the sample, and the carried counts, a row for each range but the first, are broadcast
+_MAX_RANGES = 10_000
 
 
 def largest_key(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
@@ -57,7 +57,7 @@ def _cuts(rows: DataFrame, place: Column, total: int, ranges: int) -> DataFrame:
     sampled = rows.select(place.alias("p")).where(F.pmod(F.xxhash64(F.lit("sample"), "p"), F.lit(every)) == 0)
     sorted_ = sampled.agg(F.array_sort(F.collect_set("p")).alias("s"))
     last = F.size("s") - 1
-    wanted = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.floor(i * F.size("s") / ranges).cast("int"))
+    wanted = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.floor(i.cast("bigint") * F.size("s") / ranges).cast("int"))
     return sorted_.select(F.transform(wanted, lambda i: F.get("s", F.least(i, last))).alias("cuts"))
 
 
@@ -89,7 +89,8 @@ def number_rows(
     and ``_copies`` their number (1 in all rows otherwise).
 
     ``large_keys="auto"`` counts the rows per key first and cuts if one has
-    more than ``rows_per_task``; None never does.
+    more than ``rows_per_task``; None never does.  The ranges hold about that
+    many rows, or more where this would make over 10,000 of them.
     """
     keys, order = list(keys), list(dict.fromkeys(order))
     if large_keys not in ("auto", None):
@@ -103,7 +104,7 @@ def number_rows(
         place = F.row_number().over(frame).cast("bigint") - 1
         return df.withColumns({AT: place, COPIES: F.lit(1).cast("bigint")}), False
 
-    ranges = math.ceil(total / rows_per_task)
+    ranges = min(math.ceil(total / rows_per_task), _MAX_RANGES)
     place = F.struct(*keys, *[c for c in order if c not in keys])
     cuts = _cuts(df, place, total, ranges).scalar()
 
@@ -118,15 +119,13 @@ def number_rows(
     carried = counts.select(
         *[F.col(k).alias(f"_c_{i}") for i, k in enumerate(keys)], F.col(_RANGE).alias("_c_range"), earlier.alias("_carried")
     ).where("_carried > 0")
-    if ranges <= _MAX_BROADCAST:
-        carried = F.broadcast(carried)
 
     runs = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(COPIES))
     inside = Window.partitionBy(*keys, _RANGE).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = ranged(runs).withColumn("_inside", F.sum(COPIES).over(inside) - F.col(COPIES))
     met = same([F.col(k) for k in keys], [F.col(f"_c_{i}") for i in range(len(keys))]) & (F.col(_RANGE) == F.col("_c_range"))
     at = F.col("_inside") + F.coalesce("_carried", F.lit(0))
-    return numbered.join(carried, met, "left").select(*df.columns, at.alias(AT), COPIES), True
+    return numbered.join(F.broadcast(carried), met, "left").select(*df.columns, at.alias(AT), COPIES), True
 
 
 def split_runs(rows: DataFrame, keys: Sequence[str], size: int, reach: int = 0, *, out: str = "_part") -> DataFrame:

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from arealis.operators import for_keys, moving_average, moving_average_docs, number_rows
+from arealis.operators.positions import _cuts
 from arealis.operators.skew import order_number
 
 SCHEMA = "k string, d date, id int, v double"
@@ -130,6 +131,17 @@ def test_ranges_are_even(spark):
     assert sorted(map(repr, first.collect())) == sorted(map(repr, placed.select(first.columns).collect()))
 
 
+def test_many_ranges(spark):
+    """The product of a range's number and the sample's size is more than an int holds."""
+    n = 50_000
+    df = spark.range(n).select(F.lit("k").alias("k"), "id")
+    cuts = _cuts(df, F.struct("id"), n, n).first()["cuts"]
+    assert [c["id"] for c in cuts] == list(range(1, n))
+    placed, cut = number_rows(df, ["k"], ["id"], rows_per_task=1)
+    assert cut and placed.where("_at <> id OR _copies <> 1").count() == 0 and placed.count() == n
+    assert placed.agg(F.max("_at")).first()[0] == n - 1
+
+
 def test_places_of_null_keys_nulls_and_empty_tables(spark):
     rows = [(None, None, 1.0), (None, "a", None), ("x", None, None), ("x", "b", 2.0), ("x", "a", 3.0)] * 3
     df = spark.createDataFrame(rows, "k string, d string, v double")
