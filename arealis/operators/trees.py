@@ -195,20 +195,30 @@ def _to_blocks(key_type: pa.DataType, p: int):
     return run
 
 
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of a batch one at a time, as views of it: a batch holds hundreds of them, of which no second copy is made."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1)
+
+
+def _array(block: pa.RecordBatch, column: str, kind: type) -> np.ndarray:
+    """The bytes of a block's column as numbers, not copied."""
+    return np.frombuffer(block.column(column)[0].as_buffer(), kind)
+
+
 def _to_bins(key_type: pa.DataType, p: int):
     """Features as the number of split values below them; labels about the middle of their key's."""
     schema = pa.schema([("key", key_type), ("ids", pa.binary()), ("train", pa.binary()), ("bins", pa.binary()), ("y", pa.binary()), ("scale", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bins, labels = [], []
-            for x, y, cuts, middle in zip(*(batch.column(c) for c in ("x", "y", "cuts", "middle"))):
-                x = np.frombuffer(x.as_py(), np.float64).reshape(-1, p)
-                places = [np.searchsorted(np.array(c, np.float64), x[:, i], "left") for i, c in enumerate(cuts.as_py())]
-                bins.append(np.stack(places, axis=1).astype(np.uint8).tobytes())
-                labels.append((np.frombuffer(y.as_py(), np.float64) - middle.as_py()).tobytes())
-            rest = [batch.column(c) for c in ("key", "ids", "train")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(bins, pa.binary()), pa.array(labels, pa.binary()), batch.column("scale")], schema=schema)
+        for block in _single(batches):
+            x, cuts = _array(block, "x", np.float64).reshape(-1, p), block.column("cuts")[0].as_py()
+            places = [np.searchsorted(np.array(c, np.float64), x[:, i], "left") for i, c in enumerate(cuts)]
+            bins = np.stack(places, axis=1).astype(np.uint8).tobytes()
+            labels = (_array(block, "y", np.float64) - block.column("middle")[0].as_py()).tobytes()
+            rest = [block.column(c) for c in ("key", "ids", "train")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([bins], pa.binary()), pa.array([labels], pa.binary()), block.column("scale")], schema=schema)
 
     return run
 
@@ -216,14 +226,14 @@ def _to_bins(key_type: pa.DataType, p: int):
 class _Block:
     """One block and the trees of its key so far."""
 
-    def __init__(self, row: dict, p: int, plan: _Plan):
+    def __init__(self, row: pa.RecordBatch, p: int, plan: _Plan):
         self.plan, self.p = plan, p
-        self.bins = np.frombuffer(row["bins"], np.uint8).reshape(-1, p)
-        self.y = np.frombuffer(row["y"], np.float64)
-        self.train = np.frombuffer(row["train"], bool)
-        self.ids = np.frombuffer(row["ids"], np.int64).view(np.uint64)
-        self.scale = row["scale"]
-        model = row["model"] or []
+        self.bins = _array(row, "bins", np.uint8).reshape(-1, p)
+        self.y = _array(row, "y", np.float64)
+        self.train = _array(row, "train", bool)
+        self.ids = _array(row, "ids", np.uint64)
+        self.scale = row.column("scale")[0].as_py()
+        model = row.column("model")[0].as_py() or []
         self.model = np.array([tuple(m[c] for c in _SPLIT.names) for m in model], _SPLIT)
 
     def __len__(self) -> int:
@@ -309,31 +319,30 @@ def _histograms(trees: range, level: int, p: int, plan: _Plan, key_type: pa.Data
     schema = pa.schema([("key", key_type), *zip("tree node feature bin w s".split(), kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, row in enumerate(batch.drop_columns(["key"]).to_pylist()):
-                block, found = _Block(row, p, plan), []
-                for tree in trees:
-                    at, _ = block.follow(tree)
-                    weight = block.weights(tree)
-                    here = np.flatnonzero((at >= 1 << level) & (weight > 0))
-                    if not len(here):
-                        continue
-                    nodes, place = np.unique(at[here], return_inverse=True)
-                    w, target = weight[here], block.targets(tree)[here] * weight[here]
-                    # two halves, each of which adds up exactly as a double
-                    high, low = (target >> 20).astype(float), (target & 0xFFFFF).astype(float)
-                    looked = _looked_at(plan, tree, nodes, p)
-                    for f in range(p):
-                        use = looked[place, f]
-                        spot = place[use] * 256 + block.bins[here[use], f]
-                        count = np.bincount(spot, w[use])
-                        sums = (np.bincount(spot, high[use]).astype(np.int64) << 20) + np.bincount(spot, low[use]).astype(np.int64)
-                        some = np.flatnonzero(count)
-                        found.append((np.full(len(some), tree), nodes[some >> 8], np.full(len(some), f), some & 255, count[some].astype(np.int64), sums[some]))
-                if found:
-                    columns = [np.concatenate(c) for c in zip(*found)]
-                    keys = batch.column("key").take(pa.array(np.full(len(columns[0]), i)))
-                    yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, k) for c, k in zip(columns, kinds)]], schema=schema)
+        for row in _single(batches):
+            block, found = _Block(row, p, plan), []
+            for tree in trees:
+                at, _ = block.follow(tree)
+                weight = block.weights(tree)
+                here = np.flatnonzero((at >= 1 << level) & (weight > 0))
+                if not len(here):
+                    continue
+                nodes, place = np.unique(at[here], return_inverse=True)
+                w, target = weight[here], block.targets(tree)[here] * weight[here]
+                # two halves, each of which adds up exactly as a double
+                high, low = (target >> 20).astype(float), (target & 0xFFFFF).astype(float)
+                looked = _looked_at(plan, tree, nodes, p)
+                for f in range(p):
+                    use = looked[place, f]
+                    spot = place[use] * 256 + block.bins[here[use], f]
+                    count = np.bincount(spot, w[use])
+                    sums = (np.bincount(spot, high[use]).astype(np.int64) << 20) + np.bincount(spot, low[use]).astype(np.int64)
+                    some = np.flatnonzero(count)
+                    found.append((np.full(len(some), tree), nodes[some >> 8], np.full(len(some), f), some & 255, count[some].astype(np.int64), sums[some]))
+            if found:
+                columns = [np.concatenate(c) for c in zip(*found)]
+                keys = row.column("key").take(pa.array(np.zeros(len(columns[0]), np.int64)))
+                yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, k) for c, k in zip(columns, kinds)]], schema=schema)
 
     return run
 
@@ -344,15 +353,12 @@ def _errors(p: int, plan: _Plan, key_type: pa.DataType):
     schema = pa.schema([("key", key_type), *[(c, pa.float64()) for c in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.drop_columns(["key"]).to_pylist():
-                block = _Block(row, p, plan)
-                test = ~block.train
-                y, error = block.y[test], (block.y - block.predictions(plan.trees))[test]
-                out.append([float(test.sum()), y.sum(), y @ y, error @ error])
-            columns = [pa.array(c, pa.float64()) for c in np.array(out).reshape(-1, 4).T]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], schema=schema)
+        for row in _single(batches):
+            block = _Block(row, p, plan)
+            test = ~block.train
+            y, error = block.y[test], (block.y - block.predictions(plan.trees))[test]
+            columns = [pa.array([float(v)], pa.float64()) for v in (test.sum(), y.sum(), y @ y, error @ error)]
+            yield pa.RecordBatch.from_arrays([row.column("key"), *columns], schema=schema)
 
     return run
 

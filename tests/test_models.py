@@ -1,7 +1,9 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from arealis import operators as ops
 from arealis.functions import split_percentile
 from arealis.functions.split import MODULUS, row_hash
-from arealis.operators import moments
+from arealis.operators import moments, trees
 from arealis.operators.keyed import spread_by_size
 
 # ---------------------------------------------------------------- features
@@ -610,6 +612,36 @@ def test_many_keys_odd_keys_and_constants(spark):
     assert empty.collect() == []
 
 
+@pytest.mark.parametrize("step", ["bins", "histograms", "errors"])
+def test_trees_hold_one_block_of_a_batch(step):
+    """What a Python worker holds beside a batch does not grow with the number of its blocks."""
+    plan = trees._Plan(2, 2, 8, 2, 1.0, False, False, 1.0, False, 1)
+    rows, rng = 2_000, np.random.default_rng(3)
+    block = {
+        "key": "a", "ids": rng.integers(0, 2**62, rows).tobytes(), "train": (np.arange(rows) % 3 > 0).tobytes(),
+        "y": rng.random(rows).tobytes(), "scale": 1024.0,
+    }
+    if step == "bins":
+        run = trees._to_bins(pa.string(), 2)
+        block |= {"x": rng.random(2 * rows).tobytes(), "cuts": [[0.25, 0.5], [0.75]], "middle": 0.5}
+    else:
+        run = trees._histograms(range(2), 0, 2, plan, pa.string()) if step == "histograms" else trees._errors(2, plan, pa.string())
+        root = [{"tree": t, "node": 0, "feature": -1, "bin": -1, "left": 0.5, "right": 0.0} for t in range(2)]
+        block |= {"bins": rng.integers(0, 8, 2 * rows).astype(np.uint8).tobytes(), "model": root if step == "errors" else None}
+
+    def peak(blocks):
+        batch = pa.RecordBatch.from_pylist([block] * blocks)
+        tracemalloc.start()
+        out = sum(b.num_rows for b in run(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    peak(1)
+    (few, low), (many, high) = peak(3), peak(300)
+    assert many == 100 * few and high < 4 * low
+
+
 def test_trees_check_their_columns(steps):
     with pytest.raises(ValueError):
         ops.random_forest_by_key(steps, "k", ["x", "y"], "y", ["a"], id_cols=["id"])
