@@ -10,22 +10,27 @@ partitions as the cluster has cores, or a multiple.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark import StorageLevel
-from pyspark.ml.clustering import LDA, BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
+from pyspark.ml.clustering import LDA, BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arealis.operators.features import as_vector, prepare_features
 from arealis.operators.stages import drop_incomplete, select_features
-from arealis.sources.stored import stored
+from arealis.sources.stored import discard, stored
 
 PARTITIONS = 8
+#: directed edges of a graph in a partition
+_EDGES_PER_PARTITION = 2_000_000
+#: what the degree of a vertex without weight counts as
+_LEAST_DEGREE = 2.0**-52
 
 
 @dataclass(frozen=True)
@@ -179,19 +184,60 @@ def lda(
 
 
 def power_iteration(
-    edges: DataFrame, src: str, dst: str, weight: str, k: int, *, max_iter: int = 20, partitions: int = PARTITIONS
+    edges: DataFrame, src: str, dst: str, weight: str, k: int, *, max_iter: int = 20, seed: int = 1, partitions: int = PARTITIONS
 ) -> DataFrame:
-    """Cluster the vertices of a weighted similarity graph: id, cluster."""
+    """Cluster the vertices of a weighted similarity graph: id, cluster.
+
+    Power iteration clustering: a vector over the vertices is replaced by the
+    weighted means over their neighbours until its change settles, then
+    clustered by k-means.  The start is normal, by a hash of seed and id.  The
+    edges are laid out by one end once; a pass shuffles the vector and the sums.
+    """
     _check(k, max_iter)
+    spark = edges.sparkSession
     # the two directions of an edge, and its repeats, are one edge
     low, high = F.least(src, dst).cast("bigint"), F.greatest(src, dst).cast("bigint")
-    merged = (
+    total = F.sum(F.col(weight).cast("double"))
+    merged = stored(
         edges.where(F.col(src) != F.col(dst))
         .groupBy(low.alias("src"), high.alias("dst"))
-        .agg(F.sum(F.col(weight).cast("double")).alias("weight"))
+        .agg(F.when((total >= 0) & (total < math.inf), total).otherwise(F.raise_error(F.lit("weights must be finite and at least 0"))).alias("weight")),
+        "edges",
+    )
+    both = merged.select(F.col("src").alias("end"), F.col("dst").alias("from"), "weight").unionAll(
+        merged.select(F.col("dst").alias("end"), F.col("src").alias("from"), "weight")
     )
-    # read by every iteration, in one layout
-    part = F.pmod(F.xxhash64("src", "dst"), F.lit(partitions)).cast("int")
-    laid_out = stored(merged, "edges").repartitionById(partitions, part).sortWithinPartitions("src", "dst")
-    clusterer = PowerIterationClustering(k=k, maxIter=max_iter, weightCol="weight")
-    return clusterer.assignClusters(laid_out).select("id", F.col("cluster").cast("int").alias("cluster"))
+    uniform = [F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "id"), F.lit(1 << 52)) / float(1 << 52) for i in range(2)]
+    normal = F.sqrt(-2 * F.log(1 - uniform[0])) * F.cos(2 * math.pi * uniform[1])
+    degrees = both.groupBy(F.col("end").alias("id")).agg(F.sum("weight").alias("degree"))
+    vector = stored(degrees.select("id", "degree", normal.alias("value")), "vector")
+    first = vector.agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs("value")).alias("norm")).first()
+    if not first["n"]:
+        return vector.select("id", F.lit(0).alias("cluster"))
+    norm, tol = first["norm"], max(1e-5 / first["n"], 1e-8)
+
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * merged.count() / _EDGES_PER_PARTITION))
+    by_from = both.repartition(width, "from").sortWithinPartitions("from").persist(StorageLevel.MEMORY_AND_DISK)
+    change, tables = 0.0, [vector]
+    try:
+        for _ in range(max_iter):
+            now = vector.select("id", "degree", (F.col("value") / F.lit(norm)).alias("value"))
+            given = by_from.join(now.select(F.col("id").alias("from"), "value"), "from")
+            sums = given.groupBy(F.col("end").alias("id")).agg(F.sum(F.col("weight") * F.col("value")).alias("sum"))
+            mean = F.col("sum") / F.greatest("degree", F.lit(_LEAST_DEGREE))
+            passed = stored(sums.join(now, "id").select("id", "degree", mean.alias("value"), F.col("value").alias("before")), "vector")
+            tables.append(passed)
+            size = passed.agg(F.sum(F.abs("value"))).first()[0]
+            if not size:
+                break
+            vector, norm = passed, size
+            before, change = change, vector.agg(F.sum(F.abs(F.col("value") / F.lit(norm) - F.col("before")))).first()[0]
+            if abs(change - before) <= tol:
+                break
+    finally:
+        by_from.unpersist()
+    prepared = vector.select("id", F.array(F.col("value") / F.lit(norm)).alias("features"))
+    with _points(prepared, "id", partitions) as points:
+        model = KMeans(k=k, maxIter=20, seed=0).fit(points)
+    discard(merged, *[t for t in tables if t is not vector])
+    return _predict(model, prepared, "id").select("id", F.col("prediction").cast("int").alias("cluster"))

@@ -730,6 +730,37 @@ def test_power_iteration(spark):
     assert got[0] != got[10]
 
 
+def test_power_iteration_equals_dense_algebra(spark):
+    """The clusters are intervals of the vector that dense products give from the same start, at any layout."""
+    rng = np.random.default_rng(8)
+    n = 60
+    edges = [(int(a), int(b) + 100, float(w)) for a, b, w in zip(rng.integers(0, n, 400), rng.integers(0, n, 400), rng.integers(1, 9, 400))]
+    df = spark.createDataFrame(edges, "a long, b long, w double")
+    ids = sorted({i for a, b, _ in edges for i in (a, b)})
+    uniform = [F.pmod(F.xxhash64(F.lit(1), F.lit(i), "id"), F.lit(1 << 52)) / float(1 << 52) for i in range(2)]
+    drawn = spark.createDataFrame([(i,) for i in ids], "id long").select("id", *[u.alias(f"u{i}") for i, u in enumerate(uniform)]).collect()
+    v = np.array([np.sqrt(-2 * np.log(1 - r["u0"])) * np.cos(2 * np.pi * r["u1"]) for r in sorted(drawn)])
+    weights, place = np.zeros((len(ids), len(ids))), {i: p for p, i in enumerate(ids)}
+    for a, b, w in edges:
+        weights[place[a], place[b]] += w
+        weights[place[b], place[a]] += w
+    for _ in range(5):
+        v = (weights / weights.sum(axis=1)[:, None]) @ (v / np.abs(v).sum())
+    for parts in (1, 7):
+        found = ops.power_iteration(df.repartition(parts), "a", "b", "w", 3, max_iter=5, partitions=parts).collect()
+        got = {r["id"]: r["cluster"] for r in found}
+        assert sorted(got) == ids and set(got.values()) <= {0, 1, 2}
+        along = [got[i] for _, i in sorted(zip(v, ids))]
+        assert sum(x != y for x, y in zip(along, along[1:])) == len(set(along)) - 1
+
+
+def test_power_iteration_refuses_negative_weights(spark):
+    with pytest.raises(Exception, match="at least 0"):
+        ops.power_iteration(spark.createDataFrame([(1, 2, -1.0), (2, 3, 1.0)], "a long, b long, w double"), "a", "b", "w", 2)
+    empty = spark.createDataFrame([(1, 1, 1.0)], "a long, b long, w double")
+    assert ops.power_iteration(empty, "a", "b", "w", 2).collect() == []
+
+
 @pytest.mark.parametrize("operator", [ops.kmeans, ops.bisecting_kmeans, ops.gaussian_mixture, ops.lda])
 def test_clustering_parameters(blobs, operator):
     with pytest.raises(ValueError):
