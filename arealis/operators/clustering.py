@@ -27,6 +27,8 @@ from arealis.operators.stages import drop_incomplete, select_features
 from arealis.sources.stored import discard, stored
 
 PARTITIONS = 8
+#: entities of a partition in a topic model, some seconds a pass
+_TOPIC_ROWS = 20_000
 #: directed edges of a graph in a partition
 _EDGES_PER_PARTITION = 2_000_000
 #: what the degree of a vertex without weight counts as
@@ -55,13 +57,18 @@ def _prepared(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
     return prepare_features(stored(rows, "entities"), key, features)
 
 
-@contextmanager
-def _points(prepared: DataFrame, key: str, partitions: int):
-    """Feature vectors in the pinned layout, kept while a model is fitted."""
+def _laid_out(prepared: DataFrame, key: str, partitions: int) -> DataFrame:
+    """The pinned layout: parts by a hash of the key."""
     if partitions < 1:
         raise ValueError("partitions must be at least 1")
     part = F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int")
-    laid_out = prepared.repartitionById(partitions, part).sortWithinPartitions(key, "features")
+    return prepared.repartitionById(partitions, part)
+
+
+@contextmanager
+def _points(prepared: DataFrame, key: str, partitions: int):
+    """Feature vectors in the pinned layout, kept while a model is fitted."""
+    laid_out = _laid_out(prepared, key, partitions).sortWithinPartitions(key, "features")
     points = as_vector(laid_out).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield points
@@ -155,20 +162,27 @@ def lda(
     *,
     max_iter: int = 20,
     seed: int = 1,
-    partitions: int = PARTITIONS,
+    partitions: int | None = None,
 ) -> Clustering:
     """Topic mixture of each entity, its scaled features taken as term weights.
 
-    Every iteration reads all entities.  predictions: key, topic_distribution, prediction (the topic with the
+    Every iteration reads all entities.  An entity takes long, so without
+    ``partitions`` their number grows with the entities (from ``PARTITIONS``
+    on), in the fit and in the predictions; the fit still depends on the data alone.  predictions: key, topic_distribution, prediction (the topic with the
     largest share); components: topic, terms, weights; summary: log_likelihood
     and log_perplexity.
     """
     _check(k, max_iter)
     prepared = _prepared(df, key, features)
+    if partitions is None:
+        partitions = max(PARTITIONS, math.ceil(prepared.count() / _TOPIC_ROWS))
     with _points(prepared, key, partitions) as corpus:
         model = LDA(k=k, maxIter=max_iter, seed=seed, subsamplingRate=1.0).fit(corpus)
-        summary = {"log_likelihood": model.logLikelihood(corpus), "log_perplexity": model.logPerplexity(corpus)}
-    topics = model.transform(as_vector(prepared)).select(
+        likelihood = model.logLikelihood(corpus)
+    # the library's perplexity is the likelihood by the sum of all weights, but would find the likelihood again
+    weights = prepared.agg(F.sum(F.aggregate("features", F.lit(0.0), lambda acc, v: acc + v))).first()[0]
+    summary = {"log_likelihood": likelihood, "log_perplexity": -likelihood / weights if weights else math.nan}
+    topics = model.transform(as_vector(_laid_out(prepared, key, partitions))).select(
         key, vector_to_array("topicDistribution").alias("topic_distribution")
     )
     predictions = topics.withColumn(

@@ -5,6 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.ml.clustering import LDA
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from arealis import operators as ops
 from arealis.functions import split_percentile
 from arealis.functions.split import MODULUS, row_hash
-from arealis.operators import moments, trees
+from arealis.operators import clustering, moments, trees
+from arealis.operators.features import as_vector
 from arealis.operators.keyed import spread_by_size
 
 # ---------------------------------------------------------------- features
@@ -722,6 +724,21 @@ def test_lda(spark, blobs):
     assert {t for r in got.components.collect() for t in r["terms"]} == {"p", "q"}
 
 
+def test_lda_in_parts(spark, blobs, monkeypatch):
+    """More entities, more tasks, in the fit and in the predictions; the figures are the library's."""
+    small = ops.lda(blobs.coalesce(1), "k", ["p", "q"], 3, max_iter=2)
+    assert small.predictions.rdd.getNumPartitions() == clustering.PARTITIONS
+    monkeypatch.setattr(clustering, "_TOPIC_ROWS", 20)
+    got = ops.lda(blobs.coalesce(1), "k", ["p", "q"], 3, max_iter=2)
+    assert got.predictions.rdd.getNumPartitions() == 19 and got.predictions.count() == 380
+    points = as_vector(ops.prepare_features(blobs, "k", ["p", "q"])).select("k", "features")
+    part = F.pmod(F.xxhash64("k"), F.lit(19)).cast("int")
+    corpus = points.repartitionById(19, part).sortWithinPartitions("k").cache()
+    model = LDA(k=3, maxIter=2, seed=1, subsamplingRate=1.0).fit(corpus)
+    assert got.summary["log_likelihood"] == pytest.approx(model.logLikelihood(corpus), rel=1e-6)
+    assert got.summary["log_perplexity"] == pytest.approx(model.logPerplexity(corpus), rel=1e-6)
+
+
 def test_power_iteration(spark):
     edges = [(a, b, 1.0) for g in (range(0, 6), range(10, 16)) for a in g for b in g if a < b] + [(5, 10, 0.01), (3, 3, 9.0)]
     df = spark.createDataFrame(edges + [(1, 0, 1.0)], "a long, b long, w double")
