@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -170,32 +170,48 @@ def group(
     if not pushes:
         return df.groupBy(*by).agg(*[spec.alias(name) for name, spec in scalars.items()])
 
-    if scalars:
-        base = df.groupBy(*by).agg(*[spec.alias(name) for name, spec in scalars.items()])
-    else:
-        base = df.select(*by).distinct()
-    arrays: DataFrame | None = None
+    # a row for each part that a group can have, so that a group's parts never meet in one task
+    base = df.groupBy(*by).agg(*[spec.alias(name) for name, spec in scalars.items()], _most_parts(pushes.values()).alias("_parts"))
+    joined = _each_part(base, by)
     for name, spec in pushes.items():
         parts = push_parts(df, by, spec, name, large_keys=large_keys, rows_per_task=rows_per_task)
-        arrays = parts if arrays is None else _join_null_safe(arrays, parts, [*by, "part"], "full")
-    joined = _join_null_safe(base, arrays, by, "left")
+        joined = _join_null_safe(joined, parts, [*by, "part"])
+    # a set has fewer elements than its group has rows, so not every part is there
+    joined = joined.where(reduce(lambda a, b: a | b, [F.col(name).isNotNull() for name in pushes], F.col("part") == 0))
     filled = [
-        F.coalesce(name, F.array().cast(arrays.schema[name].dataType)).alias(name)
+        F.coalesce(name, F.array().cast(joined.schema[name].dataType)).alias(name)
         if name in pushes
         else F.col(name)
         for name in accumulators
     ]
-    return joined.select(*by, F.coalesce("part", F.lit(0).cast("bigint")).alias("part"), *filled)
+    return joined.select(*by, "part", *filled)
+
+
+def _most_parts(pushes: Iterable[Push]) -> Column:
+    """Parts that hold a group's elements, at least 1; copies, which a set leaves out, count too."""
+
+    def parts(spec: Push) -> Column:
+        elements = F.count(F.col(spec.fields[0]) if spec.scalar else F.lit(1))
+        return F.floor((elements - 1) / spec.max_array) + 1
+
+    return reduce(lambda a, b: F.greatest(a, b), map(parts, pushes), F.lit(1).cast("bigint"))
+
+
+def _each_part(groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A row for each part of a group below ``_parts``; in two steps, as a sequence is held whole."""
+    step, last = 10_000, F.col("_parts") - 1
+    blocks = groups.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / step))))
+    first = F.col("_block") * step
+    part = F.explode(F.sequence(first, F.least(first + (step - 1), last)))
+    return blocks.select(*by, part.alias("part"), *[c for c in groups.columns if c not in (*by, "_parts")])
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
-    """Join in which null keys match each other, with one copy of the keys."""
+def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join in which null keys match each other, with one copy of the keys."""
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in on], *[c for c in right.columns if c not in on])
     condition = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in on])
-    joined = left.join(renamed, condition, how)
-    keys = [F.coalesce(left[k], renamed[f"_r_{k}"]).alias(k) for k in on]
-    rest = [left[c] for c in left.columns if c not in on] + [renamed[c] for c in right.columns if c not in on]
-    return joined.select(*keys, *rest)
+    joined = left.join(renamed, condition, "left")
+    return joined.select(*[left[c] for c in left.columns], *[renamed[c] for c in right.columns if c not in on])
 
 
 def count_rows(df: DataFrame, out: str = "count") -> DataFrame:

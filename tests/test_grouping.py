@@ -125,3 +125,32 @@ def test_two_pushes_line_up(spark):
     both = {"x": ops.push(["o", "v"], ["o", "v"], max_array=9), "y": ops.push(["v"], ["o", "v"], max_array=9)}
     for r in ops.group(df, "k", both, rows_per_task=40).collect():
         assert [e["v"] for e in r["x"]] == [e["v"] for e in r["y"]] and len(r["x"]) == min(9, 500 - 9 * r["part"])
+
+
+@pytest.mark.parametrize("rows_per_task", [400, 100_000])
+def test_parts_of_a_group_are_spread(spark, rows_per_task):
+    """The parts of one group do not meet in one task, neither with its count nor with a second array."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    df = spark.range(2000).select(F.lit("a").alias("k"), F.col("id").alias("o"), (F.col("id") % 7).alias("v"))
+    both = {"n": ops.rows(), "x": ops.push(["o"], ["o"], max_array=10), "y": ops.push("v", ["o"], max_array=10)}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = ops.group(df, "k", both, rows_per_task=rows_per_task).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r["part"] for r in got) == list(range(200)) and {r["n"] for r in got} == {2000}
+    per_task = [sum(r["task"] == t for r in got) for t in {r["task"] for r in got}]
+    assert len(per_task) == 4 and max(per_task) < 100
+
+
+def test_only_parts_with_elements_are_there(spark):
+    """A set has fewer parts than its group's rows could fill; 25,000 parts are more than one block of them."""
+    df = spark.range(25_000).select(F.lit("a").alias("k"), (F.col("id") % 3).alias("v"), "id")
+    df = df.union(spark.createDataFrame([("b", None, 1), (None, 5, 2), (None, 5, 3)], "k string, v long, id long"))
+    sets = ops.group(df, "k", {"set": ops.add_to_set("v", max_array=1)}).collect()
+    assert sorted(map(tuple, sets), key=str) == [("a", 0, [0]), ("a", 1, [1]), ("a", 2, [2]), ("b", 0, []), (None, 0, [5])]
+    ids = ops.group(df.where("k = 'a'"), "k", {"ids": ops.push("id", ["id"], max_array=1)})
+    assert ids.where("part = ids[0] AND size(ids) = 1").count() == ids.count() == 25_000
